@@ -24,6 +24,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col(f"{OWN}n_lines").alias("n_lines"), F.col(f"{OWN}n_dropped").alias("n_dropped"), digest.alias("kept_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewave.llm.quality import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewave.llm.decontam import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,6 +52,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_quality": op3_quality,
+    "op5_decontam": op5_decontam,
     "op7_bpe": op7_bpe,
     "op10_url_filter": op10_url_filter,
 }
