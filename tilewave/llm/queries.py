@@ -44,6 +44,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewave.llm.minhash import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewave.llm.url_filter import filter_urls
 
@@ -55,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op5_decontam": op5_decontam,
     "op7_bpe": op7_bpe,
+    "op9_dart_minhash": op9_dart_minhash,
     "op10_url_filter": op10_url_filter,
 }
 
