@@ -30,6 +30,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewave.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewave.llm.decontam import find_leaks
 
@@ -59,6 +65,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_quality": op3_quality,
+    "op4_toxicity": op4_toxicity,
     "op5_decontam": op5_decontam,
     "op7_bpe": op7_bpe,
     "op9_dart_minhash": op9_dart_minhash,
