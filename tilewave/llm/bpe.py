@@ -46,16 +46,20 @@ class BpeMonoid:
         ranks = self.ranks
         if piece in ranks:
             return [ranks[piece]]
+        get, none = ranks.get, len(self.tokens) + 256
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+        pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while pairs:
+            best = min(pairs)
+            if best == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
         return [ranks[p] for p in parts]
 
     def stable(self, a: int, b: int) -> bool:
@@ -135,6 +139,18 @@ class BpeMonoid:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
+#: One coder for all tasks of a worker, by a digest of its vocabulary and pattern.
+_CODERS: dict[bytes, Callable[[str], tuple[int, str, bytes]]] = {}
+
+
+def shared_coder(data: bytes, pattern: str) -> Callable[[str], tuple[int, str, bytes]]:
+    key = hashlib.sha256(data + pattern.encode()).digest()
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = text_coder(read_ranks(data), pattern)
+    return _CODERS[key]
+
+
 def text_coder(ranks: dict[bytes, int], pattern: str) -> Callable[[str], tuple[int, str, bytes]]:
     """text -> number of ids, ids joined by spaces, decoded bytes."""
     import regex
@@ -185,7 +201,7 @@ def _coded(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str, tex
     digests = "n_tokens" in schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coded = text_coder(read_ranks(shipped.value), pattern)
+        coded = shared_coder(shipped.value, pattern)
         for batch in batches:
             texts = batch.column(1)
             rows = [coded(texts[i].as_py()) for i in range(len(texts))] if not digests else None
