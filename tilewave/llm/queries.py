@@ -42,6 +42,12 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewave.llm.pii import pii_digest
+
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_decontam": op5_decontam,
+    "op6_pii": op6_pii,
     "op7_bpe": op7_bpe,
     "op9_dart_minhash": op9_dart_minhash,
     "op10_url_filter": op10_url_filter,
