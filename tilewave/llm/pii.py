@@ -89,14 +89,15 @@ def spans_of(text: Column, kind: str, pattern: str, need: Column) -> Column:
     between = F.when(need, F.split(text, pattern, -1)).otherwise(none)
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        begin = acc["at"] + F.length(F.get(between, i))
-        stop = begin + F.length(F.get(found, i))
-        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), stop.alias("stop"), F.lit(kind).alias("kind"), F.get(found, i).alias("text"))
+    def step(acc: Column, pair: Column) -> Column:
+        begin = acc["at"] + F.length(pair["between"])
+        stop = begin + F.length(pair["found"])
+        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), stop.alias("stop"), F.lit(kind).alias("kind"), pair["found"].alias("text"))
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    places = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, step)["out"]
+    # pairs are built before the fold, as a lambda evaluates what stands in it for each element
+    pairs = F.zip_with(between, found, lambda x, y: F.struct(x.alias("between"), y.alias("found")))
+    return F.aggregate(F.filter(pairs, lambda p: p["found"].isNotNull()), start, step)["out"]
 
 
 def _votes(span: Column, text: Column, base: bool) -> Column:
