@@ -56,6 +56,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewave.llm.sharding import kd_shards
+
+    return kd_shards(table(spark, sf_dir, "documents"), shards=8)
+
+
 def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewave.llm.minhash import near_classes
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontam": op5_decontam,
     "op6_pii": op6_pii,
     "op7_bpe": op7_bpe,
+    "op8_kd_sharding": op8_kd_sharding,
     "op9_dart_minhash": op9_dart_minhash,
     "op10_url_filter": op10_url_filter,
 }
