@@ -133,6 +133,20 @@ def measured(ids: list, texts: list[bytes], min_repeat: int, max_covered: float,
     return [ids, n_words, word_chars, symbols, [dup_lines(t) for t in texts], repeated, failed, kept, spans, longest]
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the first, texts) of about SLICE bytes."""
+    begin, part, total = 0, [], 0
+    for k, x in enumerate(texts):
+        text = x.as_py() or b""
+        if part and total + len(text) > SLICE:
+            yield begin, part
+            begin, part, total = k, [], 0
+        part.append(text)
+        total += len(text)
+    if part:
+        yield begin, part
+
+
 def quality_rules(docs: DataFrame, min_repeat: int = 6, max_covered: float = 0.4, max_longest: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, the base counts, base_failed, kept, covered_words, longest_repeat.
 
@@ -144,18 +158,23 @@ def quality_rules(docs: DataFrame, min_repeat: int = 6, max_covered: float = 0.4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            begin = 0
-            sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(1)]
-            while begin < batch.num_rows:
-                end, total = begin, 0
-                while end < batch.num_rows and (end == begin or total + sizes[end] <= SLICE):
-                    total += sizes[end]
-                    end += 1
-                part = batch.slice(begin, end - begin)
-                texts = [x or b"" for x in part.column(1).to_pylist()]
-                cols = measured(part.column(0).to_pylist(), texts, min_repeat, max_covered, max_longest)
+            for begin, texts in slices(batch.column(1)):
+                cols = measured(batch.column(0).slice(begin, len(texts)).to_pylist(), texts, min_repeat, max_covered, max_longest)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
-                begin = end
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     return own.mapInArrow(run, SCHEMA)
+
+
+def drop_rejects(docs: DataFrame, min_repeat: int = 6, max_covered: float = 0.4, max_longest: int = 200, text_col: str = "text") -> DataFrame:
+    """docs less the rows whose text isn't kept; no row is dealt out, and all columns pass through."""
+    column = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept: list[bool] = []
+            for begin, texts in slices(batch.column(column).cast(pa.binary())):
+                kept += measured([], texts, min_repeat, max_covered, max_longest)[7].tolist()
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

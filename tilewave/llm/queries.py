@@ -24,6 +24,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col(f"{OWN}n_lines").alias("n_lines"), F.col(f"{OWN}n_dropped").alias("n_dropped"), digest.alias("kept_sha256"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewave.llm.secret_scan import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewave.llm.quality import quality_rules
 
@@ -76,6 +82,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_secret_scan": op2_secret_scan,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_decontam": op5_decontam,
