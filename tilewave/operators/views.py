@@ -31,17 +31,17 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def macroblocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """f, m, bx, by, y: 16x16 blocks of full pictures."""
-    cell = "int(((i div 16) + by * 16) * 64 + i % 16 + bx * 16)"
-    tiles = pictures(spark, sf_dir).selectExpr("f", "pic", "explode(sequence(0, 15)) m").selectExpr("f", "pic", "cast(m as bigint) m", "cast(m % 4 as bigint) bx", "m div 4 by")
-    return tiles.selectExpr("f", "m", "bx", "by", f"transform(sequence(0, 255), i -> pic[{cell}]) y")
+    """f, m, mx, my, y: 16x16 blocks of full pictures."""
+    cell = "int(((i div 16) + my * 16) * 64 + i % 16 + mx * 16)"
+    tiles = pictures(spark, sf_dir).selectExpr("f", "pic", "explode(sequence(0, 15)) m").selectExpr("f", "pic", "cast(m as bigint) m", "cast(m % 4 as bigint) mx", "m div 4 my")
+    return tiles.selectExpr("f", "m", "mx", "my", f"transform(sequence(0, 255), i -> pic[{cell}]) y")
 
 
 def rgb_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """g, r, g_, b: three 64-pixel planes of an 8x8 tile; the incomplete last group is left out."""
     value = "transform(embedding, e -> least(greatest(128 + cast(floor(cast(e as double) * 256 + 0.5) as bigint), 0L), 255L)) p"
     rows = table(spark, sf_dir, "embeddings").selectExpr("vec_id div 3 g", "vec_id % 3 c", value)
-    return rows.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("c", "p"))).alias("t")).where("size(t) = 3").selectExpr("g", "t[0].p r", "t[1].p gr", "t[2].p b")
+    return rows.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("c", "p"))).alias("t")).where("size(t) = 3").selectExpr("g", "get(t, 0).p r", "get(t, 1).p gr", "get(t, 2).p b")
 
 
 def pcm(spark: SparkSession, sf_dir: str) -> DataFrame:

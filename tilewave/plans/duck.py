@@ -10,7 +10,7 @@ BLK8 = """blk8 AS (
   FROM (SELECT vec_id, label, unnest(embedding) AS e, CAST(generate_subscripts(embedding, 1) AS BIGINT) AS k FROM embeddings))"""
 
 PIX = """pix AS (
-  SELECT f, x, y, (y // 16) * 4 + x // 16 AS m, x // 16 AS bx, y // 16 AS by, p FROM (
+  SELECT f, x, y, (y // 16) * 4 + x // 16 AS m, p FROM (
     SELECT vec_id // 64 AS f,
            (((vec_id % 64) // 4) % 4) * 16 + (vec_id % 2) * 8 + (k - 1) % 8 AS x,
            (((vec_id % 64) // 4) // 4) * 16 + ((vec_id % 4) // 2) * 8 + (k - 1) // 8 AS y,
