@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewave.llm import line_dedup
+from tilewave.llm import line_dedup, url_filter
 from tilewave.llm.common import table
 
 #: The rules that op10 is asked to apply.
@@ -95,4 +95,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
+    "op10_url_filter": url_filter.sql(URL_RULES),
 }

@@ -54,15 +54,15 @@ def levels_of(host: Column) -> tuple[Column, Column]:
     return domain, suffix
 
 
-def _strength(units: DataFrame, level: str, pairs: int) -> DataFrame:
-    """One row: pairs of (rate of all, prior strength of the level) from the spread between units."""
-    p = F.col("all_bad") / F.greatest(F.col("all_n"), F.lit(1))
-    spread = F.col(f"spread_{level}") / F.greatest(F.col("all_n"), F.lit(1))
-    k = F.col(f"units_{level}") / F.greatest(F.col("all_n"), F.lit(1))
-    noise = p * (1 - p)
-    rho = F.when((noise > 0) & (k < 1), (spread / noise - k) / (1 - k)).otherwise(F.lit(1.0))
-    rho = F.least(F.greatest(rho, F.lit(0.001)), F.lit(0.999))
-    return 1 / rho - 1
+def strength(n: int, bad: int, spread: float, units: int) -> float:
+    """Prior strength of a level, from the weighted spread of its units' rates: the share of it that chance doesn't explain.
+
+    n, bad: labelled pages and bad ones; spread: sum of n_u * (rate_u - rate)**2; units: those with labelled pages.
+    """
+    rate = bad / max(n, 1)
+    noise, k = rate * (1 - rate), units / max(n, 1)
+    rho = (spread / max(n, 1) / noise - k) / (1 - k) if noise > 0 and k < 1 else 1.0
+    return 1 / min(max(rho, 0.001), 0.999) - 1
 
 
 def host_reputation(labelled: DataFrame, hosts: DataFrame, z: float = 1.645) -> DataFrame:
@@ -73,23 +73,19 @@ def host_reputation(labelled: DataFrame, hosts: DataFrame, z: float = 1.645) ->
     every = stored(every.withColumns({"domain": domain, "suffix": suffix}), "hosts")
     by_domain = every.groupBy("domain", "suffix").agg(F.sum("n").alias("n_d"), F.sum("n_bad").alias("bad_d"))
     by_suffix = by_domain.groupBy("suffix").agg(F.sum("n_d").alias("n_s"), F.sum("bad_d").alias("bad_s"))
-    total = by_suffix.agg(F.coalesce(F.sum("n_s"), F.lit(0)).alias("all_n"), F.coalesce(F.sum("bad_s"), F.lit(0)).alias("all_bad"))
-
-    def spread(units: DataFrame, n: str, bad: str, level: str) -> DataFrame:
-        rate = F.col("all_bad") / F.col("all_n")
-        part = F.when(F.col(n) > 0, F.col(n) * F.pow(F.col(bad) / F.col(n) - rate, F.lit(2.0))).otherwise(0.0)
-        return units.crossJoin(F.broadcast(total)).agg(F.coalesce(F.sum(part), F.lit(0.0)).alias(f"spread_{level}"), F.count(F.when(F.col(n) > 0, 1)).alias(f"units_{level}"))
-
-    whole = total  # one row each
-    for units, n, bad, level in ((by_suffix, "n_s", "bad_s", "s"), (by_domain, "n_d", "bad_d", "d"), (every, "n", "n_bad", "h")):
-        whole = whole.crossJoin(F.broadcast(spread(units, n, bad, level)))
-    whole = whole.select((F.col("all_bad") / F.greatest(F.col("all_n"), F.lit(1))).alias("p"), *[_strength(whole, x, 0).alias(f"m_{x}") for x in "sdh"])
-    joined = every.join(by_domain, ["domain", "suffix"]).join(by_suffix, "suffix").crossJoin(F.broadcast(whole))
-    mean_s = (F.col("m_s") * F.col("p") + F.col("bad_s")) / (F.col("m_s") + F.col("n_s"))
-    mean_d = (F.col("m_d") * F.col("mean_s") + F.col("bad_d")) / (F.col("m_d") + F.col("n_d"))
-    a = F.col("m_h") * F.col("mean_d") + F.col("n_bad")
-    b = F.col("m_h") * (1 - F.col("mean_d")) + F.col("n") - F.col("n_bad")
-    out = joined.withColumn("mean_s", mean_s).withColumn("mean_d", mean_d).withColumns({"a": a, "b": b})
+    n, bad = every.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_bad"), F.lit(0))).first()
+    rate = bad / max(n, 1)
+
+    def strength_of(units: DataFrame, n_u: str, bad_u: str) -> float:
+        part = F.when(F.col(n_u) > 0, F.col(n_u) * F.pow(F.col(bad_u) / F.col(n_u) - rate, F.lit(2.0))).otherwise(0.0)
+        spread, k = units.agg(F.coalesce(F.sum(part), F.lit(0.0)), F.count(F.when(F.col(n_u) > 0, 1))).first()
+        return strength(n, bad, spread, k)
+
+    m_s, m_d, m_h = strength_of(by_suffix, "n_s", "bad_s"), strength_of(by_domain, "n_d", "bad_d"), strength_of(every, "n", "n_bad")
+    out = every.join(by_domain, ["domain", "suffix"]).join(by_suffix, "suffix")
+    out = out.withColumn("mean_s", (m_s * rate + F.col("bad_s")) / (m_s + F.col("n_s")))
+    out = out.withColumn("mean_d", (m_d * F.col("mean_s") + F.col("bad_d")) / (m_d + F.col("n_d")))
+    out = out.withColumns({"a": m_h * F.col("mean_d") + F.col("n_bad"), "b": m_h * (1 - F.col("mean_d")) + F.col("n") - F.col("n_bad")})
     out = out.withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
     deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("a") + F.col("b") + 1))
     return out.select("host", "n", "n_bad", "mean", (F.col("mean") - z * deviation).alias("lower"))
@@ -109,3 +105,40 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], labelled: Da
     blocked = stored(host_reputation(outcomes, own).select("host", (F.col("lower") > threshold).alias("bad_host")), "reputation")
     verdict = F.coalesce(F.col("says"), F.when(F.col("bad_host"), "block").otherwise("allow"))
     return own.join(blocked, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+
+
+def sql(rules: Sequence[tuple[str, str]], z: float = 1.645, threshold: float = 0.5) -> str:
+    """The same for DuckDB over the view pages, with the pages that a rule decides as labelled ones."""
+    cases = []
+    for says, text in sorted(rules, key=lambda r: (len(r[1]), r[1]), reverse=True):
+        name, _, tail = text.partition("/")
+        cases.append((f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{tail}')", text, says))
+    rule = "CASE " + " ".join(f"WHEN {c} THEN '{t}'" for c, t, _ in cases) + " END"
+    says = "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, _, v in cases) + " END"
+    long = ", ".join(f"'{x}'" for x in LONG_SUFFIXES)
+
+    def m(units: str, n: str, bad: str, name: str) -> str:
+        k = f"(count(*) FILTER ({n} > 0))::DOUBLE / greatest(any_value(t.n), 1)"
+        spread = f"coalesce(sum({n} * pow({bad} / {n} - t.p, 2)) FILTER ({n} > 0), 0) / greatest(any_value(t.n), 1)"
+        noise = "any_value(t.p) * (1 - any_value(t.p))"
+        rho = f"CASE WHEN {noise} > 0 AND {k} < 1 THEN ({spread} / ({noise}) - {k}) / (1 - {k}) ELSE 1.0 END"
+        return f"{name} AS (SELECT 1 / least(greatest({rho}, 0.001), 0.999) - 1 AS {name} FROM {units}, t)"
+
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS raw, coalesce(rest, '') AS rest FROM u),
+p AS (SELECT page_id, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM s),
+r AS (SELECT *, {rule} AS rule, {says} AS says FROM p),
+h0 AS (SELECT host, count(says) AS n, (count(*) FILTER (says = 'block'))::DOUBLE AS bad, string_split(host, '.') AS l FROM r GROUP BY host),
+h1 AS (SELECT *, len(l) < 2 AS bare, array_to_string(list_slice(l, -2, -1), '.') AS two FROM h0),
+h AS (SELECT host, n, bad, CASE WHEN bare THEN host WHEN two IN ({long}) THEN two ELSE l[-1] END AS suffix,
+      CASE WHEN bare THEN host WHEN two IN ({long}) AND len(l) > 2 THEN array_to_string(list_slice(l, -3, -1), '.') ELSE two END AS domain FROM h1),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
+x AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
+t AS (SELECT sum(n) AS n, sum(bad) / greatest(sum(n), 1) AS p FROM h),
+{m('x', 'x.n', 'x.bad', 'ms')}, {m('d', 'd.n', 'd.bad', 'md')}, {m('h', 'h.n', 'h.bad', 'mh')},
+post AS (SELECT h.host, h.n, h.bad, mh, (md * (ms * t.p + x.bad) / (ms + x.n) + d.bad) / (md + d.n) AS mean_d FROM h JOIN d USING (domain, suffix) JOIN x USING (suffix), t, ms, md, mh),
+ab AS (SELECT host, mh * mean_d + bad AS a, mh * (1 - mean_d) + n - bad AS b FROM post),
+v AS (SELECT host, a / (a + b) - {z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > {threshold} AS blocked FROM ab)
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN v USING (host)
+"""
