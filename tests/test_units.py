@@ -6,8 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewave.functions import exprs, tables
-from tilewave.operators import arithmetic_coder, quantize, transform
-from tilewave.plans.signals import mdct_roundtrip
+from tilewave.operators import arithmetic_coder, audio_coder, picture_coder, quantize, transform
 from tilewave.sources import container, generators
 
 
@@ -58,11 +57,74 @@ def test_arithmetic_coder_round_trip_and_gain():
     assert len(code) < 0.35 * len(rare) and arithmetic_coder.decode(code, len(rare)) == rare
 
 
+def snr(x, y):
+    return 10 * np.log10((x**2).sum() / ((x - y) ** 2).sum())
+
+
 def test_lapped_transform_reconstructs():
-    x = 0.5 * np.sin(2 * np.pi * 440 * np.arange(20 * 512) / 44_100)
-    assert np.abs(mdct_roundtrip(x) - x).max() < 5e-4
-    error = mdct_roundtrip(x, 0) - x
-    assert 10 * np.log10((x**2).sum() / (error**2).sum()) > 40
+    x = 0.5 * np.sin(2 * np.pi * 440 * np.arange(20 * 512 + 100) / 44_100)
+    coef = (audio_coder.frames_of(x) * audio_coder.WINDOW) @ audio_coder.BASIS
+    y = audio_coder.signal_of(coef / audio_coder.steps(0, 44_100), 0, 44_100, len(x))
+    assert np.abs(y - x).max() < 5e-4
+    assert np.allclose(audio_coder.WINDOW[:512] ** 2 + audio_coder.WINDOW[512:] ** 2, 1, atol=1e-6)
+
+
+def test_audio_coder_round_trip_and_trend():
+    t = np.arange(12 * 512) / 44_100
+    both = 0.5 * np.stack([np.sin(2 * np.pi * 440 * t), np.sin(2 * np.pi * 880 * t)])
+    results = []
+    for quality in (0, 8, 16):
+        packets, levels = audio_coder.encode(both, quality, 44_100)
+        back = audio_coder.decode(packets, 2)
+        assert (back == levels).all()
+        rec = audio_coder.left_right(np.stack([audio_coder.signal_of(x, quality, 44_100, both.shape[1]) for x in back]))
+        results.append((min(snr(a, b) for a, b in zip(both, rec)), sum(map(len, packets))))
+    assert results[0][0] > 30
+    assert results == sorted(results, reverse=True)
+
+
+def gradient(size, shift=0):
+    x, y = np.meshgrid(np.arange(size), np.arange(size))
+    return (4 * (x + shift) & 255) // 2 + (4 * y & 255) // 2
+
+
+def psnr(a, b):
+    error = ((a - b) ** 2).mean()
+    return 100 if not error else 10 * np.log10(255**2 / error)
+
+
+@pytest.mark.parametrize("qp,floor", [(1, 35), (8, 25), (28, 20)])
+def test_picture_coder_round_trip(qp, floor):
+    pictures = [gradient(64, k) for k in range(4)]
+    packets, rebuilt = picture_coder.encode_period(pictures, qp)
+    assert all((a == b).all() for a, b in zip(rebuilt, picture_coder.decode_period(packets, 64, 64)))
+    assert min(psnr(a, b) for a, b in zip(pictures, rebuilt)) > floor
+    assert np.mean([len(p) for p in packets[1:]]) < len(packets[0])
+
+
+def test_picture_coder_of_a_flat_picture_and_rate_order():
+    flat = np.full((64, 64), 90)
+    packets, rebuilt = picture_coder.encode_period([flat, flat], 1)
+    assert psnr(flat, rebuilt[0]) > 30 and len(packets[1]) < 40
+    sizes = [len(picture_coder.encode_period([gradient(64)], qp)[0][0]) for qp in (1, 8, 28)]
+    assert sizes == sorted(sizes, reverse=True)
+
+
+def test_directional_predictions():
+    recon = np.zeros((48, 48), np.int64)
+    recon[15, 16:32] = 10 * np.arange(16)
+    recon[16:32, 15] = 10 * np.arange(16)
+    made = picture_coder.predictions(recon, 16, 16)
+    assert (made[1] == 10 * np.arange(16)).all() and (made[2] == 10 * np.arange(16)[:, None]).all()
+    assert all((p == 128).all() for p in picture_coder.predictions(recon, 0, 0))
+
+
+def test_vector_predictor():
+    around = {(0, 1): (1, 9), (1, 0): (5, 3), (2, 0): (7, 1)}
+    assert picture_coder.predicted_vector(around, {}, 1, 1) == (5, 3)
+    assert picture_coder.predicted_vector({(0, 0): (3, -4)}, {}, 1, 0) == (3, -4)
+    assert picture_coder.predicted_vector({(0, 0): (3, -3)}, {(1, 0): (0, 0)}, 1, 0) == (1, -1)
+    assert picture_coder.predicted_vector({}, {}, 0, 0) == (0, 0)
 
 
 def test_container_round_trip(tmp_path):

@@ -1,7 +1,7 @@
-"""Adaptive binary arithmetic coding: inherently serial within a sequence, so a grouped function per sequence.
+"""Adaptive binary arithmetic coding: inherently serial within a sequence, so it runs in a grouped function per sequence.
 
-32-bit interval, two counters per context, halved when they reach 65536 together. Bits are packed into an
-integer list; encode and decode are each other's inverse.
+A 32-bit interval is split by the counts of zeros and ones of a context, which start at one each and are halved when
+they reach 65536 together.
 """
 
 from __future__ import annotations
@@ -12,78 +12,136 @@ QUARTER = HALF >> 1
 LIMIT = 65536
 
 
-class Model:
-    """Counts of zeros and ones of a context."""
+class Interval:
+    """What encoder and decoder share: the interval and the contexts' counts."""
 
     def __init__(self):
-        self.n = [1, 1]
+        self.low, self.high, self.counts = 0, TOP, {}
 
-    def split(self, low: int, high: int) -> int:
-        return low + (high - low) * self.n[0] // (self.n[0] + self.n[1])
+    def narrow(self, bit: int, context: int) -> None:
+        n = self.counts[context]
+        middle = self.low + (self.high - self.low) * n[0] // (n[0] + n[1])
+        if bit:
+            self.low = middle + 1
+        else:
+            self.high = middle
+        n[bit] += 1
+        if n[0] + n[1] >= LIMIT:
+            n[:] = [(x >> 1) | 1 for x in n]
 
-    def count(self, bit: int) -> None:
-        self.n[bit] += 1
-        if sum(self.n) >= LIMIT:
-            self.n = [(x >> 1) | 1 for x in self.n]
+    def middle(self, context: int) -> int:
+        n = self.counts.setdefault(context, [1, 1])
+        return self.low + (self.high - self.low) * n[0] // (n[0] + n[1])
 
+    def settled(self) -> bool:
+        return (self.low ^ self.high) >> 31 == 0
 
-def encode(bits: list[int], contexts: list[int] | None = None) -> list[int]:
-    models: dict[int, Model] = {}
-    low, high, pending, out = 0, TOP, 0, []
+    def straddles(self) -> bool:
+        return self.low > QUARTER and self.high <= 3 * QUARTER
 
-    def put(bit: int) -> None:
-        nonlocal pending
-        out.append(bit)
-        out.extend([1 - bit] * pending)
-        pending = 0
+    def shift(self, less: int = 0) -> None:
+        self.low, self.high = ((self.low - less) << 1) & TOP, (((self.high - less) << 1) & TOP) | 1
 
-    for i, bit in enumerate(bits):
-        model = models.setdefault(contexts[i] if contexts else 0, Model())
-        middle = model.split(low, high)
-        if bit:
-            low = middle + 1
-        else:
-            high = middle
-        model.count(bit)
+
+class Encoder(Interval):
+    def __init__(self):
+        super().__init__()
+        self.out: list[int] = []
+        self.pending = 0
+
+    def _emit(self, bit: int) -> None:
+        self.out.append(bit)
+        self.out += [1 - bit] * self.pending
+        self.pending = 0
+
+    def put(self, bit: int, context: int = 0) -> None:
+        self.middle(context)
+        self.narrow(bit, context)
         while True:
-            if (low ^ high) >> 31 == 0:
-                put(low >> 31)
-            elif low > QUARTER and high <= 3 * QUARTER:
-                pending += 1
-                low -= QUARTER + 1
-                high -= QUARTER + 1
+            if self.settled():
+                self._emit(self.low >> 31)
+                self.shift()
+            elif self.straddles():
+                self.pending += 1
+                self.shift(QUARTER + 1)
             else:
-                break
-            low, high = (low << 1) & TOP, ((high << 1) & TOP) | 1
-    pending += 1
-    put(0 if low < QUARTER else 1)
-    return out
+                return
 
+    def finish(self) -> list[int]:
+        self.pending += 1
+        self._emit(0 if self.low < QUARTER else 1)
+        return self.out
 
-def decode(code: list[int], n: int, contexts: list[int] | None = None) -> list[int]:
-    models: dict[int, Model] = {}
-    low, high, place, out = 0, TOP, 32, []
-    value = int("".join(map(str, (code + [0] * 32)[:32])), 2)
-    for i in range(n):
-        model = models.setdefault(contexts[i] if contexts else 0, Model())
-        middle = model.split(low, high)
-        bit = int(value > middle)
-        if bit:
-            low = middle + 1
-        else:
-            high = middle
-        model.count(bit)
-        out.append(bit)
+
+class Decoder(Interval):
+    """Beyond the end of the code, zeros are read."""
+
+    def __init__(self, code: list[int]):
+        super().__init__()
+        self.code, self.place = code, 32
+        self.value = int("".join(map(str, (code + [0] * 32)[:32])), 2)
+
+    def _read(self) -> int:
+        bit = self.code[self.place] if self.place < len(self.code) else 0
+        self.place += 1
+        return bit
+
+    def get(self, context: int = 0) -> int:
+        bit = int(self.value > self.middle(context))
+        self.narrow(bit, context)
         while True:
-            if (low ^ high) >> 31 == 0:
-                pass
-            elif low > QUARTER and high <= 3 * QUARTER:
-                low -= QUARTER + 1
-                high -= QUARTER + 1
-                value -= QUARTER + 1
-            else:
-                break
-            low, high = (low << 1) & TOP, ((high << 1) & TOP) | 1
-            value = ((value << 1) & TOP) | (code[place] if place < len(code) else 0)
-            place += 1
-    return out
+            less = 0
+            if not self.settled():
+                if not self.straddles():
+                    return bit
+                less = QUARTER + 1
+            self.value = (((self.value - less) << 1) & TOP) | self._read()
+            self.shift(less)
+
+
+def encode(bits: list[int], contexts: list[int] | None = None) -> list[int]:
+    coder = Encoder()
+    for i, bit in enumerate(bits):
+        coder.put(bit, contexts[i] if contexts else 0)
+    return coder.finish()
+
+
+def decode(code: list[int], n: int, contexts: list[int] | None = None) -> list[int]:
+    coder = Decoder(code)
+    return [coder.get(contexts[i] if contexts else 0) for i in range(n)]
+
+
+def put_golomb(coder: Encoder, value: int, context: int) -> None:
+    """Unsigned Exp-Golomb: zeros, one fewer than the bits of value + 1, then value + 1."""
+    text = bin(value + 1)[2:]
+    for bit in "0" * (len(text) - 1) + text:
+        coder.put(int(bit), context)
+
+
+def get_golomb(coder: Decoder, context: int) -> int:
+    zeros = 0
+    while not coder.get(context):
+        zeros += 1
+    value = 1
+    for _ in range(zeros):
+        value = value * 2 + coder.get(context)
+    return value - 1
+
+
+def put_signed(coder: Encoder, value: int, context: int) -> None:
+    put_golomb(coder, 0 if value == 0 else 2 * abs(value) + (value < 0) - 1, context)
+
+
+def get_signed(coder: Decoder, context: int) -> int:
+    m = get_golomb(coder, context) + 1
+    return 0 if m == 1 else -(m // 2) if m % 2 else m // 2
+
+
+def pack(bits: list[int]) -> bytes:
+    """Bits to bytes, the first bit lowest."""
+    padded = bits + [0] * (-len(bits) % 8)
+    return bytes(sum(b << k for k, b in enumerate(padded[i : i + 8])) for i in range(0, len(padded), 8))
+
+
+def unpack(data: bytes) -> list[int]:
+    return [(byte >> k) & 1 for byte in data for k in range(8)]

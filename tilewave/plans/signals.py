@@ -133,28 +133,6 @@ def overlap_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.groupBy(F.expr(f"n div {HOP} hop")).agg(F.expr("max(round(abs(rec - v), 9)) worst"))
 
 
-def mdct_roundtrip(signal: np.ndarray, levels: float | None = None, rate: int = 44_100) -> np.ndarray:
-    """Forward and inverse lapped transform of a signal, frame by frame; levels: quality at which coefficients are rounded."""
-    n = -(-len(signal) // HOP) * HOP
-    x = np.r_[np.zeros(HOP), signal, np.zeros(n - len(signal) + HOP)]
-    i, k = np.arange(SIZE), np.arange(HOP)
-    window = np.sin(np.pi * (i + 0.5) / SIZE)
-    basis = np.cos(np.pi / SIZE * np.outer(i + 0.5 + HOP // 2, 2 * k + 1))
-    frames = np.stack([x[a : a + SIZE] for a in range(0, len(x) - HOP, HOP)]) * window
-    coef = frames @ basis
-    if levels is not None:
-        weights = np.empty(HOP)
-        for b, first, end in tables.bark_bands(rate):
-            weights[first:end] = 1 + (b / 24) ** 2
-        step = 0.02 * 2 ** (min(levels, 31) / 3) * weights
-        coef = np.trunc(coef / step + np.copysign(0.5, coef)) * step
-    back = (coef @ basis.T) * (4 / SIZE) * window
-    out = np.zeros(len(x))
-    for f, part in enumerate(back):
-        out[f * HOP : f * HOP + SIZE] += part
-    return out[HOP : HOP + len(signal)]
-
-
 # ---- quantization -------------------------------------------------------------------------------------------
 
 

@@ -25,7 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-MAGIC, PACKET_MAGIC, AUDIO_MAGIC, VERSION = b"EVX3", b"EP", b"EVA3", 1
+#: Defaults of the options magic, packet_magic and audio_magic: files of other writers have their own.
+MAGIC, PACKET_MAGIC, AUDIO_MAGIC, VERSION = b"TWPC", b"TP", b"TWAS", 1
 HEADER, DESCRIPTOR, PACKET = struct.Struct("<4sIBB"), struct.Struct("<BBHHfIBBBx"), struct.Struct("<2sBBQI")
 VIDEO, AUDIO = 0, 1
 PACKETS_SCHEMA = "file string, seq long, stream_id int, stream_type int, ts_us long, size long, payload_at long, payload binary"
@@ -46,23 +47,23 @@ class Stream:
     quality: int = 0
 
 
-def write_header(out, streams: list[Stream]) -> None:
+def write_header(out, streams: list[Stream], magic: bytes = MAGIC) -> None:
     """Ids are given in order from 0."""
-    out.write(HEADER.pack(MAGIC, HEADER.size + len(streams) * DESCRIPTOR.size, VERSION, len(streams)))
+    out.write(HEADER.pack(magic, HEADER.size + len(streams) * DESCRIPTOR.size, VERSION, len(streams)))
     for i, s in enumerate(streams):
         out.write(DESCRIPTOR.pack(s.stream_type, i, s.width, s.height, s.frame_rate, s.sample_rate, s.channels, s.bit_depth, s.quality))
 
 
-def write_packet(out, stream_id: int, stream_type: int, ts_us: int, payload: bytes) -> None:
+def write_packet(out, stream_id: int, stream_type: int, ts_us: int, payload: bytes, magic: bytes = PACKET_MAGIC) -> None:
     if not payload:
         raise ValueError("a packet needs a payload")
-    out.write(PACKET.pack(PACKET_MAGIC, stream_id, stream_type, ts_us, len(payload)))
+    out.write(PACKET.pack(magic, stream_id, stream_type, ts_us, len(payload)))
     out.write(payload)
 
 
-def read_streams(src) -> list[tuple[int, Stream]]:
-    magic, size, version, count = HEADER.unpack(src.read(HEADER.size))
-    if magic != MAGIC or version != VERSION or size != HEADER.size + count * DESCRIPTOR.size:
+def read_streams(src, magic: bytes = MAGIC) -> list[tuple[int, Stream]]:
+    found, size, version, count = HEADER.unpack(src.read(HEADER.size))
+    if found != magic or version != VERSION or size != HEADER.size + count * DESCRIPTOR.size:
         raise ValueError("not a packet container")
     out = []
     for _ in range(count):
@@ -71,12 +72,12 @@ def read_streams(src) -> list[tuple[int, Stream]]:
     return out
 
 
-def read_packets(src, payload: bool = True) -> Iterator[tuple[int, int, int, int, int, int, bytes | None]]:
+def read_packets(src, payload: bool = True, magic: bytes = PACKET_MAGIC) -> Iterator[tuple[int, int, int, int, int, int, bytes | None]]:
     """(seq, stream_id, stream_type, ts_us, size, payload_at, payload); the file is at its first packet."""
     seq = 0
     while len(head := src.read(PACKET.size)) == PACKET.size:
-        magic, stream_id, kind, ts, size = PACKET.unpack(head)
-        if magic != PACKET_MAGIC:
+        found, stream_id, kind, ts, size = PACKET.unpack(head)
+        if found != magic:
             raise ValueError(f"no packet at {src.tell() - PACKET.size}")
         at = src.tell()
         data = src.read(size) if payload else None
@@ -99,6 +100,10 @@ def files_of(path: str) -> list[str]:
     return sorted(p for p in glob.glob(f"{path}/*") if not os.path.basename(p).startswith(("_", "."))) if os.path.isdir(path) else [path]
 
 
+def magics(options: dict) -> tuple[bytes, bytes]:
+    return options.get("magic", MAGIC.decode()).encode(), options.get("packet_magic", PACKET_MAGIC.decode()).encode()
+
+
 class FilePartition(InputPartition):
     def __init__(self, path: str, start: int = 0):
         self.path, self.start = path, start
@@ -108,18 +113,19 @@ class ContainerReader(DataSourceReader):
     def __init__(self, options: dict):
         self.files = files_of(options["path"])
         self.streams, self.payload = options.get("table", "packets") == "streams", options.get("payload", "true") != "false"
+        self.magics = magics(options)
 
     def partitions(self) -> list[FilePartition]:
         return [FilePartition(f) for f in self.files]
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
-            streams = read_streams(f)
+            streams = read_streams(f, self.magics[0])
             if self.streams:
                 for i, s in streams:
                     yield (partition.path, i, s.stream_type, s.width, s.height, s.frame_rate, s.sample_rate, s.channels, s.bit_depth, s.quality)
             else:
-                for row in read_packets(f, self.payload):
+                for row in read_packets(f, self.payload, self.magics[1]):
                     yield (partition.path, *row)
 
 
@@ -127,7 +133,7 @@ class ContainerStreamReader(DataSourceStreamReader):
     """New files of a folder, in the order of their names."""
 
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path, self.magics = options["path"], magics(options)
 
     def initialOffset(self) -> dict:
         return {"files": 0}
@@ -140,8 +146,8 @@ class ContainerStreamReader(DataSourceStreamReader):
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
-            read_streams(f)
-            for row in read_packets(f):
+            read_streams(f, self.magics[0])
+            for row in read_packets(f, True, self.magics[1]):
                 yield (partition.path, *row)
 
 
@@ -150,7 +156,7 @@ class ContainerWriter(DataSourceWriter):
 
     def __init__(self, options: dict):
         self.path = options["path"].removeprefix("file://").removeprefix("file:")
-        self.streams = [Stream(**s) for s in json.loads(options["streams"])]
+        self.streams, self.magics = [Stream(**s) for s in json.loads(options["streams"])], magics(options)
 
     def write(self, rows) -> WriterCommitMessage:
         import uuid
@@ -159,9 +165,9 @@ class ContainerWriter(DataSourceWriter):
         done = f"{self.path}/part-{uuid.uuid4().hex}"
         part = f"{self.path}/.{os.path.basename(done)}"
         with open(part, "wb") as f:
-            write_header(f, self.streams)
+            write_header(f, self.streams, self.magics[0])
             for r in rows:
-                write_packet(f, r.stream_id, r.stream_type, r.ts_us, bytes(r.payload))
+                write_packet(f, r.stream_id, r.stream_type, r.ts_us, bytes(r.payload), self.magics[1])
         os.rename(part, done)
         message = WriterCommitMessage()
         message.file = done
@@ -196,15 +202,15 @@ class ContainerSource(DataSource):
 AUDIO_HEADER = struct.Struct("<4sIIBBB")
 
 
-def write_audio(out, sample_rate: int, channels: int, bit_depth: int, quality: int, frames: list[bytes]) -> None:
-    out.write(AUDIO_HEADER.pack(AUDIO_MAGIC, AUDIO_HEADER.size, sample_rate, channels, bit_depth, quality))
+def write_audio(out, sample_rate: int, channels: int, bit_depth: int, quality: int, frames: list[bytes], magic: bytes = AUDIO_MAGIC) -> None:
+    out.write(AUDIO_HEADER.pack(magic, AUDIO_HEADER.size, sample_rate, channels, bit_depth, quality))
     for frame in frames:
         out.write(struct.pack("<I", len(frame)) + frame)
 
 
-def read_audio(src) -> tuple[dict, list[bytes]]:
-    magic, size, rate, channels, depth, quality = AUDIO_HEADER.unpack(src.read(AUDIO_HEADER.size))
-    if magic != AUDIO_MAGIC or size != AUDIO_HEADER.size:
+def read_audio(src, magic: bytes = AUDIO_MAGIC) -> tuple[dict, list[bytes]]:
+    found, size, rate, channels, depth, quality = AUDIO_HEADER.unpack(src.read(AUDIO_HEADER.size))
+    if found != magic or size != AUDIO_HEADER.size:
         raise ValueError("not a raw audio stream")
     frames = []
     while len(head := src.read(4)) == 4:
