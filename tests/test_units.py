@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tilewave.functions import exprs, tables
 from tilewave.operators import arithmetic_coder, audio_coder, picture_coder, quantize, transform
+from tilewave.plans.extras import write_metrics
 from tilewave.sources import container, generators
+from tilewave.streaming.buffers import GroupBuffer
 
 
 def test_scans_are_permutations_and_inverse():
@@ -173,3 +175,18 @@ def test_generators(spark):
         want.append(s & 255)
     assert generators.noise(spark, 1, 3).first().v == want
     assert abs(generators.sine(spark, 10).agg(F.max("v")).first()[0]) <= 0.5
+
+
+def test_group_buffer_orders_flushes_and_forces():
+    b = GroupBuffer()
+    got = [b.push(i) for i in range(5)]
+    assert got[0] == [(0, 0, -1)] and got[1:4] == [[], [], []]
+    assert [x[0] for x in got[4]] == [4, 2, 1, 3]
+    assert b.push(5) == b.push(6) == []
+    assert b.push(9, "force") == [(6, 0, 1), (5, 1, 1), (9, 0, -1)]
+    assert b.push(10) == [] and b.push(0, "end") == [(10, 0, 0)] and b.flush() == []
+
+
+def test_metrics_are_written_as_csv(spark, tmp_path):
+    write_metrics(spark.range(3).selectExpr("id picture", "id * 1.5 psnr"), str(tmp_path / "m"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "m")).count() == 3

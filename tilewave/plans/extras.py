@@ -104,3 +104,48 @@ def block_peek(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """Per-picture figures as CSV with a header, one file per partition."""
     metrics.write.mode("overwrite").option("header", True).csv(path)
+
+
+# ---- merging of offsets -------------------------------------------------------------------------------------
+
+_SLOTS = "(c.choice BETWEEN 1 AND 29 AND o.kind = 'band' AND o.slot BETWEEN c.choice - 1 AND c.choice + 2) OR (c.choice >= 30 AND o.kind = 'edge' AND o.class = c.choice - 30)"
+
+
+@query(f"""{filters._CELLS}, gain AS (SELECT *, 2 * off * err - n * off * off AS gain, CASE WHEN off = 0 THEN 1 ELSE 4 END AS bits FROM offs),
+cand AS (SELECT f, m, 0 AS seq, 0 AS gain, 2 AS bits FROM (SELECT DISTINCT f, m FROM offs)
+ UNION ALL SELECT g.f, g.m, 1 + s, sum(gain), 7 + 4 - count(*) + sum(bits) FROM gain g, range(0, 29) o(s) WHERE kind = 'band' AND slot BETWEEN s AND s + 3 GROUP BY g.f, g.m, s HAVING max(abs(off)) > 0
+ UNION ALL SELECT f, m, 30 + class, sum(gain), 4 + 4 - count(*) + sum(bits) FROM gain WHERE kind = 'edge' GROUP BY f, m, class HAVING max(abs(off)) > 0),
+c AS (SELECT f, m, arg_min(seq, struct_pack(c := {filters.RATE} * bits - gain, s := seq))::BIGINT AS choice, min({filters.RATE} * bits - gain)::BIGINT AS cost FROM cand GROUP BY f, m),
+used AS (SELECT c.f, c.m, o.kind, o.slot, o.class, o.off FROM c JOIN offs o ON o.f = c.f AND o.m = c.m AND ({_SLOTS})),
+merged AS (SELECT c.f, c.m, d.step, {filters.RATE} - coalesce(sum(2 * u.off * w.err - w.n * u.off * u.off), 0)::BIGINT AS cost
+ FROM c JOIN (SELECT unnest([1, 4]) AS step) d ON CASE d.step WHEN 1 THEN c.m % 4 > 0 ELSE c.m >= 4 END LEFT JOIN used u ON u.f = c.f AND u.m = c.m - d.step LEFT JOIN cells w ON w.f = c.f AND w.m = c.m AND w.kind = u.kind AND w.slot = u.slot AND w.class = u.class GROUP BY ALL)
+SELECT c.f, c.m, c.cost AS own, l.cost AS left_cost, t.cost AS top_cost, CASE WHEN coalesce(t.cost < least(c.cost, coalesce(l.cost, c.cost)), FALSE) THEN 'top' WHEN coalesce(l.cost < c.cost, FALSE) THEN 'left' ELSE 'own' END AS taken
+FROM c LEFT JOIN merged l ON l.f = c.f AND l.m = c.m AND l.step = 1 LEFT JOIN merged t ON t.f = c.f AND t.m = c.m AND t.step = 4""")
+def offset_merge_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a block does better with its left or upper neighbour's own parameters; each is costed from the block's own sums."""
+    own = filters.offset_search(spark, sf_dir)
+    offs = filters._offsets(spark, sf_dir)
+    slots = _SLOTS.replace("c.choice", "choice").replace("o.", "")
+    used = own.join(offs, ["f", "m"]).where(slots).select("f", "m", "kind", "slot", "class", "off")
+    cells = offs.select("f", "m", "kind", "slot", "class", "err", "n")
+    rows = own.selectExpr("f", "m", "cost own")
+    for name, step, inside in (("left_cost", 1, "m % 4 > 0"), ("top_cost", 4, "m >= 4")):
+        moved = used.selectExpr("f", f"m + {step} m", "kind", "slot", "class", "off")
+        gain = moved.join(cells, ["f", "m", "kind", "slot", "class"]).groupBy("f", "m").agg(F.expr("sum(2 * off * err - n * off * off) gain"))
+        rows = rows.join(gain, ["f", "m"], "left").withColumn(name, F.expr(f"if({inside}, {filters.RATE} - coalesce(gain, 0L), null)")).drop("gain")
+    taken = "case when coalesce(top_cost < least(own, coalesce(left_cost, own)), false) then 'top' when coalesce(left_cost < own, false) then 'left' else 'own' end taken"
+    return rows.selectExpr("f", "m", "own", "left_cost", "top_cost", taken)
+
+
+@query(f"WITH {duck.PIX} SELECT f, count(*)::BIGINT AS n, sum(p * (y * 64 + x + 1))::BIGINT AS checksum FROM pix WHERE x < least(64 - f % 7, 60) AND y < least(64 - f % 5, 62) GROUP BY f")
+def crop_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture cut to the smaller of two extents."""
+    keep = "i % 64 < least(64 - k % 7, 60) and i div 64 < least(64 - k % 5, 62)"
+    rows = views.pictures(spark, sf_dir).selectExpr("f", f"{let('f', 'k', f'filter(transform(pic, (p, i) -> if({keep}, p * (i + 1), null)), q -> q is not null)')} a")
+    return rows.selectExpr("f", "cast(size(a) as bigint) n", f"{total('a')} checksum")
+
+
+@query(f"WITH {duck.PKT} SELECT stream_id, count(*) FILTER (size > 0 AND size < 40)::BIGINT AS good, count(*) FILTER (size IS NULL OR size = 0 OR size >= 40)::BIGINT AS bad FROM pkt GROUP BY stream_id")
+def decode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of a length that a decoder takes, and others."""
+    return views.packets(spark, sf_dir).groupBy("stream_id").agg(F.count(F.when((F.col("size") > 0) & (F.col("size") < 40), 1)).alias("good"), F.count(F.when(F.col("size").isNull() | (F.col("size") == 0) | (F.col("size") >= 40), 1)).alias("bad"))

@@ -16,26 +16,49 @@ def _stateful(rows: DataFrame, function, output: str, state: str) -> DataFrame:
     return rows.groupBy("part").applyInPandasWithState(function, output, state, "append", GroupStateTimeout.NoTimeout)
 
 
+def group_order(n: int) -> list[int]:
+    """Places of a group of n pictures in coding order: the last is the anchor, then the middle, then the others."""
+    middle = [(n - 1) // 2] if n > 1 else []
+    return [n - 1] + middle + [i for i in range(n - 1) if i not in middle]
+
+
+class GroupBuffer:
+    """Holds pictures until a group is whole. flag: "force" makes a picture a key picture, "end" flushes what is held."""
+
+    def __init__(self, started: bool = False, held: list[int] | None = None, groups: int = 0):
+        self.started, self.held, self.groups = started, list(held or []), groups
+
+    def flush(self) -> list[tuple[int, int, int]]:
+        out = [(self.held[i], place, self.groups) for place, i in enumerate(group_order(len(self.held)))] if self.held else []
+        self.groups += bool(self.held)
+        self.held = []
+        return out
+
+    def push(self, seq: int, flag: str | None = None) -> list[tuple[int, int, int]]:
+        """(seq, place, group) of what can be coded now; a key picture has group -1."""
+        if flag == "end":
+            return self.flush()
+        if not self.started or flag == "force":
+            out = self.flush()
+            self.started, self.groups = True, 0
+            return out + [(seq, 0, -1)]
+        self.held.append(seq)
+        return self.flush() if len(self.held) == GROUP else []
+
+
 def group_buffer(rows: DataFrame) -> DataFrame:
-    """rows (part, seq): the first picture goes at once; each four after it are held, then put out in coding order."""
+    """rows (part, seq, and perhaps flag): the first picture goes at once; each four after it are held, then put out in coding order."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        started, held = (bool(state.get[0]), list(state.get[1])) if state.exists else (False, [])
+        buffer = GroupBuffer(*state.get) if state.exists else GroupBuffer()
         out: list[tuple] = []
-        for seq in sorted(s for b in batches for s in b["seq"]):
-            if not started:
-                out.append((key[0], int(seq), 0, -1))
-                started = True
-                continue
-            held.append(int(seq))
-            if len(held) == GROUP:
-                group = (seq - key[0] * 1000 - 1) // GROUP
-                out += [(key[0], held[i], place, int(group)) for place, i in enumerate((3, 1, 0, 2))]
-                held = []
-        state.update((started, held))
+        for b in [pd.concat(list(batches)).sort_values("seq")]:
+            for seq, flag in zip(b["seq"], b["flag"] if "flag" in b else [None] * len(b)):
+                out += [(key[0], *x) for x in buffer.push(int(seq), flag)]
+        state.update((buffer.started, buffer.held, buffer.groups))
         yield pd.DataFrame(out, columns=["part", "seq", "place", "grp"])
 
-    return _stateful(rows, run, "part long, seq long, place long, grp long", "started boolean, held array<long>")
+    return _stateful(rows, run, "part long, seq long, place long, grp long", "started boolean, held array<long>, groups int")
 
 
 def reorder_buffer(rows: DataFrame) -> DataFrame:
