@@ -92,7 +92,7 @@ def spans_of(text: Column, kind: str, pattern: str, need: Column) -> Column:
     def step(acc: Column, pair: Column) -> Column:
         begin = acc["at"] + F.length(pair["between"])
         stop = begin + F.length(pair["found"])
-        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), stop.alias("stop"), F.lit(kind).alias("kind"), pair["found"].alias("text"))
+        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind) if kind in KINDS else len(KINDS)).alias("rank"), stop.alias("stop"), F.lit(kind).alias("kind"), pair["found"].alias("text"))
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     # pairs are built before the fold, as a lambda evaluates what stands in it for each element

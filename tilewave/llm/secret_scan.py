@@ -37,7 +37,7 @@ def candidates(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", tex
     pattern = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{min_chars},}}+"
     own = text_of(docs, id_col, text_col)
     text = F.col("text")
-    own = own.withColumn("spans", spans_of(text, "email", pattern, text.rlike(pattern)))
+    own = own.withColumn("spans", spans_of(text, "secret", pattern, text.rlike(pattern)))
     near = F.transform(
         "spans",
         lambda s: F.struct(

@@ -103,8 +103,9 @@ def assign_shards(rows: DataFrame, shards: int, group_share: float = 0.01, dims:
                 searches.append(_Search(node, n, d, r[f"min_k{d}"], r[f"max_k{d}"], r.weight))
         open_ = list(searches)
         while open_:
-            buckets = max(16, min(4096, MOST_BUCKETS // len(open_)))
-            table = [(s.node, s.dim, s.place, s.low, s.high, s.step(buckets)) for s in open_]
+            wave = open_[: MOST_BUCKETS // 16]
+            buckets = min(4096, MOST_BUCKETS // len(wave))
+            table = [(s.node, s.dim, s.place, s.low, s.high, s.step(buckets)) for s in wave]
             at = spark.createDataFrame(table, "node int, dim int, place long, low long, high long, step long")
             value = F.element_at(F.array(*keys), F.col("dim") + 1)
             near = placed.join(F.broadcast(at), "node").where(F.col("place").isNull() | (value == F.col("place")))  # a row a node
@@ -113,7 +114,7 @@ def assign_shards(rows: DataFrame, shards: int, group_share: float = 0.01, dims:
             by: dict[int, dict[int, int]] = {}
             for r in counts:
                 by.setdefault(r.node, {})[r.b] = r.w
-            for s in open_:
+            for s in wave:
                 s.narrow(by.get(s.node, {}), s.step(buckets), group_share * target, target / 1000)
             open_ = [s for s in open_ if s.cut is None]
         cuts = [(s.node, s.dim, *s.cut) for s in searches] or [(0, 0, 0, 0)]
