@@ -36,10 +36,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(SPACE)))
-
-
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
@@ -48,8 +44,10 @@ def hashed_lines(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_c
     """(doc, pos, h1, h2) of each line whose key has at least min_chars code points."""
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     lines = docs.select(doc.alias("doc"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
-    lines = lines.where(F.length("line") >= min_chars).select("doc", "pos", line_key(F.col("line")).alias("key"))
-    return lines.where(F.length("key") >= min_chars).select("doc", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    # a key is as long as its stripped line, so short ones go before case is looked at
+    lines = lines.where(F.length("line") >= min_chars).select("doc", "pos", F.btrim("line", F.lit(SPACE)).alias("line")).where(F.length("line") >= min_chars)
+    key = ascii_lower(F.col("line"))
+    return lines.select("doc", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
 
 
 class LineRuns:
