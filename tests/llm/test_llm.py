@@ -436,6 +436,26 @@ def test_near_classes_of_a_hot_family(spark):
     assert all(got[i] == 0 for i in range(150)) and all(got[i] == i for i in range(150, 200))
 
 
+def test_near_classes_of_many_families_in_large_buckets(spark):
+    """Texts of the same 24 passages less four: alike only inside pairs, which neither end of a bucket shows."""
+    from tilewave.llm.minhash import near_classes
+
+    rng = random.Random(17)
+    passages = [prose(rng, 40) for _ in range(24)]
+    gone: list[frozenset] = []
+    for _ in range(4000):
+        a = frozenset(rng.sample(range(24), 4))
+        b = (a - {rng.choice(sorted(a))}) | {rng.choice(sorted(set(range(24)) - a))}
+        if all(len(x & g) <= 1 for x in (a, b) for g in gone):
+            gone += [a, b]
+    texts = [" ".join(p for k, p in enumerate(passages) if k not in g) for g in gone]
+    grams = [shingles(t) for t in texts]
+    alike = [(i, j) for j in range(len(texts)) for i in range(j) if sum((grams[i] & grams[j]).values()) >= 0.8 * sum((grams[i] | grams[j]).values())]
+    assert len(texts) > 20 and alike == [(i, i + 1) for i in range(0, len(texts), 2)]
+    got = {r.doc_id: r.class_id for r in near_classes(docs_of(spark, texts), bands=8, rows=1, small_bucket=4).collect()}
+    assert got == {i: i // 2 * 2 for i in range(len(texts))}
+
+
 def test_near_classes_edge_cases(spark, edge_docs):
     from tilewave.llm.minhash import near_classes
 

@@ -12,8 +12,9 @@ classes are the connected components of what holds.
 
 Equal texts (up to A-Z case and white space) are one node. In a band's bucket each node is first
 paired with the bucket's smallest node; then, if nodes of a bucket aren't yet of one class, nodes of
-different classes are paired, in full up to `small_bucket` nodes, else with the largest node: no bucket
-ever gives all its pairs. Hot buckets are split by the adaptive skew join.
+different classes are paired, in full up to `small_bucket` nodes, else with the largest node. What a bucket
+then still holds in different classes is paired in full, whatever its size: two nodes of a bucket are of one
+class or were compared. Hot buckets are split by the adaptive skew join.
 
 Edge cases: a text of one to four words has one shingle, all its words; texts without words are equal
 to one another. A null text is an empty one. A null doc_id has a null class. Rows that repeat a doc_id are one document
@@ -265,8 +266,16 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, bands: int = 26, rows
     pairs2 = left.join(right, "key").where("a < b and la != lb").select("a", "b")
     pairs2 = pairs2.union(rest.where((F.col("size") > small_bucket) & (F.col("doc") < F.col("high"))).select(F.col("doc").alias("a"), F.col("high").alias("b")))
     pairs2 = stored(_likely(pairs2.distinct(), bits, least).join(pairs, ["a", "b"], "left_anti"), "pairs2")
-    more = linked(pairs2, grams_of(pairs2, "grams2"))
-    labels = components(edges.union(more))
+    edges = stored(edges.union(linked(pairs2, grams_of(pairs2, "grams2"))), "edges2")
+    labels = components(edges)
+    # the rest: all pairs across the classes of a bucket, whatever its size, so that none is left unchecked
+    rest = stored(rest.select("doc", "key").join(labels, "doc", "left").select("doc", "key", F.coalesce("label", "doc").alias("label")), "rest2")
+    split = stored(rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key"), "split2")
+    rest = stored(rest.join(split, "key", "left_semi"), "rest3")
+    left, right = rest.select("key", F.col("doc").alias("a"), F.col("label").alias("la")), rest.select("key", F.col("doc").alias("b"), F.col("label").alias("lb"))
+    pairs3 = left.join(right, "key").where("a < b and la != lb").select("a", "b").distinct()
+    pairs3 = stored(_likely(pairs3, bits, least).join(pairs.union(pairs2), ["a", "b"], "left_anti"), "pairs3")
+    labels = components(edges.union(linked(pairs3, grams_of(pairs3, "grams3"))))
     found = nodes.join(labels.select(F.col("doc").alias("node"), "label"), "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
     none = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
     return found.union(none)
