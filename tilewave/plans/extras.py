@@ -54,7 +54,17 @@ def split_framed(buffers: DataFrame, column: str, keys: list[str]) -> DataFrame:
 @query("SELECT user_id AS part, event_id // 4096 AS chunk, row_number() OVER (PARTITION BY user_id, event_id // 4096 ORDER BY event_id) - 1 AS nth, props AS payload FROM events WHERE event_id % 3 = 0")
 def framed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's payloads framed into buffers, one per 4096 events, and split again."""
-    rows = views.table(spark, sf_dir, "events").where("event_id % 3 = 0").selectExpr("user_id part", "event_id div 4096 chunk", "event_id", "cast(props as binary) p")
+    return _framed(views.table(spark, sf_dir, "events").where("event_id % 3 = 0"))
+
+
+@query()
+def framed_split_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """framed_split over all events."""
+    return _framed(views.table(spark, sf_dir, "events"))
+
+
+def _framed(events: DataFrame) -> DataFrame:
+    rows = events.selectExpr("user_id part", "event_id div 4096 chunk", "event_id", "cast(props as binary) p")
     frame = "concat(unhex(lpad(hex(shiftleft(length(x.p) & 255, 24) | shiftleft(length(x.p) & 65280, 8)), 8, '0')), x.p)"
     framed = rows.groupBy("part", "chunk").agg(F.sort_array(F.collect_list(F.struct("event_id", "p"))).alias("s"))
     framed = framed.selectExpr("part", "chunk", f"aggregate(transform(s, x -> {frame}), cast('' as binary), (a, b) -> concat(a, b)) b")
