@@ -15,3 +15,16 @@ def test_all_events_are_framed_and_split(spark, sf_dir):
         nth[user, event // 4096] += 1
     got = [(r.part, r.chunk, r.nth, r.payload) for r in QUERIES["framed_split_all"](spark, sf_dir).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_all_coefficients_are_quantized(spark, sf_dir):
+    from tilewave.operators import audio_coder
+
+    rows = duckdb.sql(f"SELECT event_id, value / 500 FROM '{sf_dir}/events.parquet'").fetchall()
+    x = np.zeros(max(n for n, _ in rows) + 1)
+    for n, v in rows:
+        x[n] = v
+    want = audio_coder.levels_of(x, 8, 44_100)
+    got = QUERIES["audio_quantize_all"](spark, sf_dir).toPandas()
+    assert len(got) == want.size and (want[got["frame"], got["k"]] == got["level"]).mean() > 0.9999
+    assert (got.loc[got["k"] >= 16, "level"] != 0).any()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilewave.functions import tables
-from tilewave.operators import views
+from tilewave.operators import audio_coder, views
 from tilewave.plans import duck
 from tilewave.plans.registry import query
 
@@ -150,6 +150,21 @@ def audio_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("frame", "k", "cast(sign(coef) * floor(abs(coef) / (0.02D * pow(2D, 8 / 3D)) + 0.5D) as bigint) level")
 
 
+@query()
+def audio_quantize_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All coefficients of each frame, divided by the step and their band's weight, rounded and clamped to 16 bits."""
+    basis, step = audio_coder.WINDOW[:, None] * audio_coder.BASIS, audio_coder.steps(8, 44_100)
+
+    def product(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.zeros(SIZE)
+        x[rows["i"].to_numpy()] = rows["v"].to_numpy()
+        q = x @ basis / step
+        level = np.clip(np.sign(q) * np.floor(np.abs(q) + 0.5), -32768, 32767).astype(np.int64)
+        return pd.DataFrame({"frame": key[0], "k": np.arange(HOP), "level": level})
+
+    return _hops(spark, sf_dir).select("frame", "i", "v").groupBy("frame").applyInPandas(product, "frame long, k long, level long")
+
+
 _BARK = f"edges AS (SELECT unnest([{', '.join(map(str, tables.BARK_EDGES_HZ))}]) AS hz, generate_subscripts([{', '.join(map(str, tables.BARK_EDGES_HZ))}], 1) - 1 AS b)"
 
 
