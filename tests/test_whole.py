@@ -28,3 +28,34 @@ def test_all_coefficients_are_quantized(spark, sf_dir):
     got = QUERIES["audio_quantize_all"](spark, sf_dir).toPandas()
     assert len(got) == want.size and (want[got["frame"], got["k"]] == got["level"]).mean() > 0.9999
     assert (got.loc[got["k"] >= 16, "level"] != 0).any()
+
+
+def moved_pictures():
+    now = np.random.default_rng(3).integers(0, 256, (64, 64))
+    return now, np.roll(now, (13, -22), (0, 1))
+
+
+def test_wide_searches_find_far_moves():
+    from tilewave.operators import block_search, picture_coder
+
+    now, before = moved_pictures()
+    assert block_search.full(block_search.sads(now[16:32, 32:48], before), 32, 16, 4) == (-22, 13, 4 * 36)
+    flat = np.full((64, 64), 90)
+    far = flat.copy()
+    flat[0:16, 16:32], far[16:32, 32:48] = 200, 200
+    assert block_search.coarse_to_fine(block_search.sads(flat[0:16, 16:32], far), 16, 0, 4) == (16, 16, 4 * 33)
+    sizes = [len(picture_coder.encode_period([before, now], 8, radius)[0][1]) for radius in (2, 16)]
+    assert sizes[1] < 0.85 * sizes[0]
+
+
+def test_wide_search_equals_brute_force(spark, sf_dir):
+    from tilewave.plans.filters import picture_pairs
+
+    pairs = {r.f: [np.array(p).reshape(64, 64) for p in (r.a, r.b)] for r in picture_pairs(spark, sf_dir).collect()}
+    wide, fine, narrow = ({(r.f, r.m): (r.cost, r.dx, r.dy) for r in QUERIES[n](spark, sf_dir).collect()} for n in ("motion_search_full_wide", "motion_search_coarse_to_fine_wide", "motion_search_full"))
+    assert set(wide) == set(fine) == set(narrow)
+    for (f, m), got in wide.items():
+        a, b = pairs[f]
+        x, y = m % 4 * 16, m // 4 * 16
+        costs = [np.abs(a[y : y + 16, x : x + 16] - b[y + v : y + v + 16, x + u : x + u + 16]).sum() + 4 * (abs(u) + abs(v) + 1) for v in range(-31, 32) for u in range(-31, 32) if 0 <= x + u <= 48 and 0 <= y + v <= 48]
+        assert got[0] == min(costs) and got[0] <= fine[f, m][0] and got[0] <= narrow[f, m][0]

@@ -13,9 +13,10 @@ import numpy as np
 
 from tilewave.functions import tables
 from tilewave.operators import arithmetic_coder as ac
+from tilewave.operators import block_search
 from tilewave.operators.quantize import luma_dc_scale
 
-BLOCK, RADIUS, NONE = 16, 4, 7
+BLOCK, NONE = 16, 7
 _BASIS = np.array(tables.basis(8), np.int64).reshape(8, 8)
 _INTRA, _INTER = (np.array(t, np.int64).reshape(8, 8) for t in (tables.INTRA_MATRIX, tables.INTER_MATRIX))
 _INTRA_DEAD, _INTER_DEAD = (np.array(t, np.int64).reshape(8, 8) for t in (tables.INTRA_DEADZONE, tables.INTER_DEADZONE))
@@ -136,8 +137,8 @@ def predicted_vector(vectors: dict, before: dict, bx: int, by: int) -> tuple[int
 class Walk:
     """State of a period: the rebuilt picture before, and the decisions of this and the last picture."""
 
-    def __init__(self, height: int, width: int, qp: int):
-        self.height, self.width, self.qp = height, width, qp
+    def __init__(self, height: int, width: int, qp: int, radius: int = block_search.RADIUS):
+        self.height, self.width, self.qp, self.radius = height, width, qp, radius
         self.before: np.ndarray | None = None
         self.last_vectors: dict = {}
 
@@ -181,9 +182,7 @@ class Walk:
         mode = min(range(7), key=lambda k: (np.abs(block - made[k]).sum(), k))
         found = [(False, mode, (0, 0), made[mode])]
         if self.before is not None:
-            moves = [(dx, dy) for dy in range(-RADIUS, RADIUS + 1) for dx in range(-RADIUS, RADIUS + 1) if 0 <= x + dx <= self.width - BLOCK and 0 <= y + dy <= self.height - BLOCK]
-            cost = lambda v: (np.abs(block - self._moved(x, y, v)).sum() + abs(v[0]) + abs(v[1]) + 1, v[0] ** 2 + v[1] ** 2)
-            vector = min(moves, key=cost)
+            vector = block_search.full(block_search.sads(block, self.before), x, y, 1, self.radius)[:2]
             found.append((True, NONE, vector, self._moved(x, y, vector)))
         best = None
         for inter, m, vector, prediction in found:
@@ -282,9 +281,9 @@ def get_levels(coder: ac.Decoder, base: int) -> np.ndarray:
     return out
 
 
-def encode_period(pictures: list[np.ndarray], qp: int) -> tuple[list[bytes], list[np.ndarray]]:
+def encode_period(pictures: list[np.ndarray], qp: int, radius: int = block_search.RADIUS) -> tuple[list[bytes], list[np.ndarray]]:
     """A packet per picture, the first a key picture, and the pictures as a decoder rebuilds them."""
-    walk, packets, rebuilt = Walk(*pictures[0].shape, qp), [], []
+    walk, packets, rebuilt = Walk(*pictures[0].shape, qp, radius), [], []
     for p in pictures:
         coder = ac.Encoder()
         rebuilt.append(walk.picture(p.astype(np.int64), coder))

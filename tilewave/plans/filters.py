@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewave.functions import tables
 from tilewave.functions.exprs import array, let, rdiv, total
-from tilewave.operators import views
+from tilewave.operators import block_search, views
 from tilewave.plans import duck
 from tilewave.plans.registry import query
 
@@ -281,6 +283,36 @@ def motion_search_coarse_to_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("f", "m", "g.dx dx", "g.dy dy", "g.cost cost")
 
 
+def _searched(rows: DataFrame, columns: list[str], found) -> DataFrame:
+    """f, m and columns of found(block, pictures after the first, x, y) for each block of a row's first picture; none if None."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for f, *pictures in batch.itertuples(index=False):
+                now, *refs = (np.array(p, np.int64).reshape(64, 64) for p in pictures)
+                for m in range(16):
+                    x, y = m % 4 * 16, m // 4 * 16
+                    row = found(now[y : y + 16, x : x + 16], refs, x, y)
+                    if row is not None:
+                        out.append((f, m, *row))
+            yield pd.DataFrame(out, columns=["f", "m", *columns])
+
+    return rows.mapInPandas(run, ", ".join(f"{c} long" for c in ["f", "m", *columns]))
+
+
+@query()
+def motion_search_full_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All displacements that radius 16 reaches, up to 31."""
+    return _searched(picture_pairs(spark, sf_dir).select("f", "a", "b"), ["dx", "dy", "cost"], lambda block, refs, x, y: block_search.full(block_search.sads(block, refs[0]), x, y, RATE))
+
+
+@query()
+def motion_search_coarse_to_fine_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps 16, 8, 4, 2, 1."""
+    return _searched(picture_pairs(spark, sf_dir).select("f", "a", "b"), ["dx", "dy", "cost"], lambda block, refs, x, y: block_search.coarse_to_fine(block_search.sads(block, refs[0]), x, y, RATE))
+
+
 def _sad_zero() -> str:
     return f"{_sad('b', 'px', 'py')} + {RATE}"
 
