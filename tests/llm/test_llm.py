@@ -82,6 +82,14 @@ def test_line_dedup_edge_cases(spark, edge_docs):
     assert dedup_lines(edge_docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_different_texts_under_one_id(spark):
+    from tilewave.llm.line_dedup import dedup_lines
+
+    rows = [(1, "a line of one"), (2, "a line of one\nkept by the first"), (2, "kept by the second\na line of one"), (None, "kept without id\na line of one"), (None, "a line of one\nanother without id")]
+    out = dedup_lines(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)).collect()
+    assert sorted((r.doc_id or 0, r.text, r["__tw_n_dropped"]) for r in out) == [(0, "another without id", 1), (0, "kept without id", 1), (1, "a line of one", 0), (2, "kept by the first", 1), (2, "kept by the second", 1)]
+
+
 # ---- secrets ------------------------------------------------------------------------------------------------
 
 

@@ -40,14 +40,21 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def hashed_lines(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, pos, h1, h2) of each line whose key has at least min_chars code points."""
+def text_hash(text: Column) -> Column:
+    """Tells rows of one doc_id apart: their positions are their own, and those of equal texts are equal."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def hashed_lines(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_col: str = "text", by_text: bool = False) -> DataFrame:
+    """(doc, pos, h1, h2) of each line whose key has at least min_chars code points; with by_text, the text's hash too."""
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    lines = docs.select(doc.alias("doc"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
+    row = [text_hash(F.col(text_col)).alias("row")] if by_text else []
+    kept = ["doc", "row"] if by_text else ["doc"]
+    lines = docs.select(doc.alias("doc"), *row, F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
     # a key is as long as its stripped line, so short ones go before case is looked at
-    lines = lines.where(F.length("line") >= min_chars).select("doc", "pos", F.btrim("line", F.lit(SPACE)).alias("line")).where(F.length("line") >= min_chars)
+    lines = lines.where(F.length("line") >= min_chars).select(*kept, "pos", F.btrim("line", F.lit(SPACE)).alias("line")).where(F.length("line") >= min_chars)
     key = ascii_lower(F.col("line"))
-    return lines.select("doc", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
+    return lines.select(*kept, "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
 
 
 class LineRuns:
@@ -116,19 +123,19 @@ def build_runs(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: i
 
 
 def dropped_lines(docs: DataFrame, runs: LineRuns, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, drops): the positions of the lines that a document loses. Hot keys are split by the adaptive skew join."""
+    """(doc, row, drops): the positions of the lines that a text of a document loses. Hot keys are split by the adaptive skew join."""
     firsts = runs.firsts().select(F.col("h1"), F.col("h2"), F.col("first"))
-    lost = hashed_lines(docs, min_chars, id_col, text_col).join(firsts.hint("merge"), HASH).where("doc > first")
-    return lost.groupBy("doc").agg(F.collect_set("pos").alias("drops"))
+    lost = hashed_lines(docs, min_chars, id_col, text_col, by_text=True).join(firsts.hint("merge"), HASH).where("doc > first")
+    return lost.groupBy("doc", "row").agg(F.collect_set("pos").alias("drops"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text less its dropped lines, and __tw_n_lines and __tw_n_dropped."""
     runs = build_runs(docs, min_chars, batches, fanout, id_col, text_col)
     lost = dropped_lines(docs, runs, min_chars, id_col, text_col)
-    lost = lost.select(F.col("doc").alias(f"{OWN}doc"), F.col("drops").alias(f"{OWN}drops"))
+    lost = lost.select(F.col("doc").alias(f"{OWN}doc"), F.col("row").alias(f"{OWN}row"), F.col("drops").alias(f"{OWN}drops"))
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    both = docs.withColumn(f"{OWN}doc", doc).join(lost, f"{OWN}doc", "left")
+    both = docs.withColumn(f"{OWN}doc", doc).withColumn(f"{OWN}row", text_hash(F.col(text_col))).join(lost, [f"{OWN}doc", f"{OWN}row"], "left")
     lines, drops = lines_of(F.col(text_col)), F.col(f"{OWN}drops")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drops)
     text = F.when(drops.isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
