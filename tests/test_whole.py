@@ -59,3 +59,23 @@ def test_wide_search_equals_brute_force(spark, sf_dir):
         x, y = m % 4 * 16, m // 4 * 16
         costs = [np.abs(a[y : y + 16, x : x + 16] - b[y + v : y + v + 16, x + u : x + u + 16]).sum() + 4 * (abs(u) + abs(v) + 1) for v in range(-31, 32) for u in range(-31, 32) if 0 <= x + u <= 48 and 0 <= y + v <= 48]
         assert got[0] == min(costs) and got[0] <= fine[f, m][0] and got[0] <= narrow[f, m][0]
+
+
+def test_chained_searches(spark, sf_dir):
+    from tilewave.operators import block_search
+
+    now, before = moved_pictures()
+    block = now[16:32, 32:48]
+    half = (before[29:45, 10:26] + before[29:45, 11:27] + 1) // 2
+    assert (block_search.predicted(block, before, 32, 16, 4) == block).all()
+    assert block_search.subpel(half, before, 10, 29)[:2] == (0, 5)
+    x = np.linspace(0, 250, 64).astype(np.int64)[None, :] + np.zeros((64, 1), np.int64)
+    x[32:48, 16:32] = x[5:21, 21:37]
+    assert block_search.intra(block_search.sads(x[32:48, 16:32], x), 16, 32)[2] == 0
+    rows = {n: {(r.f, r.m): r for r in QUERIES[n](spark, sf_dir).collect()} for n in ("motion_search_intra", "motion_search_intra_refined", "bidir_average", "bidir_search", "subpel_search_at_best")}
+    coarse, fine = rows["motion_search_intra"], rows["motion_search_intra_refined"]
+    assert set(coarse) <= set(fine) and all(fine[k].cost <= coarse[k].cost for k in coarse) and any(fine[k].cost < coarse[k].cost for k in coarse)
+    still, moved = rows["bidir_average"], rows["bidir_search"]
+    assert set(still) == set(moved) and sum(moved[k].fwd for k in moved) < sum(still[k].fwd for k in still)
+    wide = {(r.f, r.m): (r.dx, r.dy) for r in QUERIES["motion_search_full_wide"](spark, sf_dir).collect()}
+    assert {k: (r.dx, r.dy) for k, r in rows["subpel_search_at_best"].items()} == wide

@@ -341,6 +341,37 @@ def bidir_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("f", "m", "fwd", "bwd", "bi", f"case when fwd <= bwd and fwd <= bi + 8 * {RATE} then 0L when bwd <= bi + 8 * {RATE} then 1L else 2L end choice")
 
 
+@query()
+def motion_search_intra_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The start grid of motion_search_intra, then steps 8, 4, 2, 1 around the best, in the part that is coded already."""
+    return _searched(views.pictures(spark, sf_dir).selectExpr("f", "pic", "pic again"), ["dx", "dy", "cost"], lambda block, refs, x, y: block_search.intra(block_search.sads(block, refs[0]), x, y))
+
+
+@query()
+def bidir_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole- and sub-sample searches in the pictures before and after, and the average of what they find."""
+
+    def found(block: np.ndarray, refs: list[np.ndarray], x: int, y: int) -> tuple:
+        before, after = (block_search.predicted(block, r, x, y, RATE) for r in refs)
+        fwd, bwd, bi = (int(np.abs(block - p).sum()) for p in (before, after, (before + after + 1) >> 1))
+        return fwd, bwd, bi, 0 if fwd <= bwd and fwd <= bi + 8 * RATE else 1 if bwd <= bi + 8 * RATE else 2
+
+    three = picture_pairs(spark, sf_dir).join(views.pictures(spark, sf_dir).selectExpr("f - 1 f", "pic c"), "f")
+    return _searched(three.select("f", "a", "b", "c"), ["fwd", "bwd", "bi", "choice"], found)
+
+
+@query()
+def subpel_search_at_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half and quarter samples around the best whole-sample place, with that place's displacement."""
+
+    def found(block: np.ndarray, refs: list[np.ndarray], x: int, y: int) -> tuple:
+        dx, dy, _ = block_search.full(block_search.sads(block, refs[0]), x, y, RATE)
+        sad, place, _ = block_search.subpel(block, refs[0], x + dx, y + dy)
+        return dx, dy, place, sad
+
+    return _searched(picture_pairs(spark, sf_dir).select("f", "a", "b"), ["dx", "dy", "place", "sad"], found)
+
+
 _VECTORS = "mv AS (SELECT DISTINCT f, m, m % 4 AS c, (f * 7 + m * 5) % 9 - 4 AS vx, (f * 3 + m * 11) % 9 - 4 AS vy FROM pix)"
 
 
