@@ -79,3 +79,12 @@ def test_chained_searches(spark, sf_dir):
     assert set(still) == set(moved) and sum(moved[k].fwd for k in moved) < sum(still[k].fwd for k in still)
     wide = {(r.f, r.m): (r.dx, r.dy) for r in QUERIES["motion_search_full_wide"](spark, sf_dir).collect()}
     assert {k: (r.dx, r.dy) for k, r in rows["subpel_search_at_best"].items()} == wide
+
+
+def test_short_chunks_are_resampled(spark, sf_dir, tmp_path):
+    duckdb.sql(f"COPY (SELECT * FROM '{sf_dir}/events.parquet' WHERE event_id < 10) TO '{tmp_path}/events.parquet'")
+    iv = [v for (v,) in duckdb.sql(f"SELECT CAST(floor(value * 100 + 0.5) AS BIGINT) FROM '{tmp_path}/events.parquet' ORDER BY event_id").fetchall()]
+    rows = QUERIES["linear_resample_all"](spark, str(tmp_path)).collect()
+    got = [r.v for r in sorted(rows, key=lambda r: r.n)]
+    assert len(iv) == 10 and np.allclose(got, np.interp(np.arange(8) * 4 / 3, np.arange(10), iv), atol=1e-3)
+    assert QUERIES["linear_resample"](spark, str(tmp_path)).count() == 0

@@ -85,6 +85,14 @@ def linear_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.selectExpr("chunk", f"inline(transform(array(s), z -> {value})[0])")
 
 
+@query()
+def linear_resample_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """linear_resample with short chunks over their own length: a last one, or one with gaps."""
+    chunks = views.pcm(spark, sf_dir).groupBy(F.expr("n div 1000 chunk")).agg(F.sort_array(F.collect_list(F.struct("n", "iv"))).alias("s"))
+    value = "transform(sequence(0, (3 * size(z) + 3) div 4 - 1), j -> struct(cast(j as bigint) n, round(z[int(j * 4 div 3)].iv + (z[int(least(j * 4 div 3 + 1, size(z) - 1))].iv - z[int(j * 4 div 3)].iv) * (j * 4 % 3) / 3D, 4) v))"
+    return chunks.selectExpr("chunk", f"inline(transform(array(s), z -> {value})[0])")
+
+
 # ---- lapped transform ---------------------------------------------------------------------------------------
 
 
