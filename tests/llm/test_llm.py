@@ -464,6 +464,70 @@ def test_near_classes_of_many_families_in_large_buckets(spark):
     assert got == {i: i // 2 * 2 for i in range(len(texts))}
 
 
+def brute_classes(texts, similarity=0.8):
+    grams, parent = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sum((grams[i] & grams[j]).values()) >= similarity * sum((grams[i] | grams[j]).values()):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in range(len(texts))}
+
+
+def hot_families(rng, n):
+    """Copies of a text with edits around a similarity of 0.8, copies of copies, and texts around a common passage."""
+    base, passage = prose(rng, 150).split(), prose(rng, 120)
+    texts = []
+
+    def edited(w, k):
+        w = w[:]
+        for _ in range(k):
+            at, new = rng.randrange(len(w)), [f"new{rng.randrange(10**6)}"]
+            w[at : at + 1] = rng.choice([new, [], new + [w[at]]])
+        return w
+
+    for _ in range(n):
+        copy = edited(base, rng.randint(1, 8))
+        texts.append(" ".join(copy))
+        if rng.random() < 0.15:
+            texts.append(" ".join(edited(copy, rng.randint(1, 4))))
+    for _ in range(n // 2):
+        own = passage + " " + prose(rng, rng.randint(10, 50))
+        texts.append(own)
+        if rng.random() < 0.2:
+            texts.append(" ".join(edited(own.split(), rng.randint(1, 4))))
+    rng.shuffle(texts)
+    return texts
+
+
+def test_near_classes_of_hot_families_equal_brute_force(spark, monkeypatch):
+    """Bands of one row put nearly all in common buckets, so that only the search inside them decides."""
+    from tilewave.llm import families
+    from tilewave.llm.minhash import near_classes
+
+    monkeypatch.setattr(families, "PART", 500)
+    texts = hot_families(random.Random(18), 140)
+    want = brute_classes(texts)
+    assert 30 < len(set(want.values())) < len(texts) - 60
+    got = {r.doc_id: r.class_id for r in near_classes(docs_of(spark, texts), bands=24, rows=1, small_bucket=1).collect()}
+    assert got == want
+
+
+def test_near_classes_of_repeated_ids(spark):
+    from tilewave.llm.minhash import near_classes
+
+    a, b, c = (prose(random.Random(k), 60) for k in (21, 22, 23))
+    rows = [(2, a), (5, a), (5, b), (7, b), (8, c), (8, c), (None, a)]
+    got = sorted((r.doc_id or 0, r.class_id or 0) for r in near_classes(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)).collect())
+    assert got == [(0, 0), (2, 2), (5, 2), (5, 2), (7, 2), (8, 8), (8, 8)]
+
+
 def test_near_classes_edge_cases(spark, edge_docs):
     from tilewave.llm.minhash import near_classes
 

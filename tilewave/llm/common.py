@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir, else one of our own (tests)."""
+    """The folder that driver and executors share: the cluster's spark.checkpoint.dir. A local master may leave it unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tilewave-")
         atexit.register(shutil.rmtree, at.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -48,6 +51,23 @@ def drop_stored(df: DataFrame) -> None:
     drop_path(df.sparkSession, df.stored_at)  # type: ignore[attr-defined]
 
 
+class Scratch:
+    """Stores tables as stored() does, and deletes them when the result no longer reads them."""
+
+    def __init__(self) -> None:
+        self.held: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, tag: str) -> DataFrame:
+        self.held.append(stored(df, tag))
+        return self.held[-1]
+
+    def drop(self, *but: DataFrame) -> None:
+        for df in self.held:
+            if not any(df is x for x in but):
+                drop_stored(df)
+        self.held = [df for df in self.held if any(df is x for x in but)]
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

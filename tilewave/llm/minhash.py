@@ -10,15 +10,16 @@ keep the same dart at a coordinate with a probability equal to their weighted Ja
 Bands of the signature are joined; pairs are verified by their exact weighted Jaccard similarity, and
 classes are the connected components of what holds.
 
-Equal texts (up to A-Z case and white space) are one node. In a band's bucket each node is first
-paired with the bucket's smallest node; then, if nodes of a bucket aren't yet of one class, nodes of
-different classes are paired, in full up to `small_bucket` nodes, else with the largest node. What a bucket
-then still holds in different classes is paired in full, whatever its size: two nodes of a bucket are of one
-class or were compared. Hot buckets are split by the adaptive skew join.
+Equal texts (up to A-Z case and white space) are one node, named by their smallest doc_id. In a band's bucket each
+node is first paired with the bucket's most central one, that which meets most others in all its buckets. Buckets that
+then still hold several classes are searched in full: those of up to `small_bucket` nodes by pairs across
+classes, larger ones by families.cross_links, which finds every link of the bucket without pairing all. So two nodes of a
+bucket are of one class, or are known not to be alike. Hot buckets are split by the adaptive skew join.
 
 Edge cases: a text of one to four words has one shingle, all its words; texts without words are equal
-to one another. A null text is an empty one. A null doc_id has a null class. Rows that repeat a doc_id are one document
-and share a class. An empty table gives an empty table. Extra columns are ignored.
+to one another. A null text is an empty one. A null doc_id has a null class. Rows that repeat a doc_id are one document:
+what any of its texts is alike to is of its class, and all its rows have that class. An empty table gives an empty
+table. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewave.llm.common import stored
+from tilewave.llm.common import Scratch
+from tilewave.llm.families import anchors_of, cross_links, differences, groups_of
 
 WORDS = 5
 SLICE = 3 << 20
@@ -140,9 +142,9 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def text_signatures(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, c1, c2 (hash of the normal form), bands (band hashes), bits (two bytes of each coordinate)."""
+    """doc_id, c1, c2 (hash of the normal form), bands (band hashes)."""
     k = bands * rows
-    names = ["doc_id", "c1", "c2", "bands", "bits"]
+    names = ["doc_id", "c1", "c2", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,15 +157,13 @@ def text_signatures(docs: DataFrame, bands: int, rows: int, id_col: str, text_co
                 has = np.bincount(owner, minlength=len(texts)) > 0
                 c = [xxhash.xxh3_128_intdigest(f) for f in forms]
                 halves = np.array([[x >> 64, x & 0xFFFFFFFFFFFFFFFF] for x in c], np.uint64).astype(np.int64)
-                bits = (sig & np.uint64(0xFFFF)).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(begin, len(texts)), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
                     pa.array([row if h else [] for row, h in zip(key.view(np.int64), has)], pa.list_(pa.int64())),
-                    pa.array([row.tobytes() for row in bits], pa.binary()),
                 ], names)
 
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id long, c1 long, c2 long, bands array<long>, bits binary")
+    return own.mapInArrow(run, "doc_id long, c1 long, c2 long, bands array<long>")
 
 
 def _grams(texts: DataFrame) -> DataFrame:
@@ -175,14 +175,16 @@ def _grams(texts: DataFrame) -> DataFrame:
                 owner, code, _ = elements(part)
                 small = (code & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 edge = np.searchsorted(owner, np.arange(len(part) + 1))
-                grams = [np.sort(small[a:b]).tobytes() for a, b in zip(edge, edge[1:])]
+                grams = [np.unique(small[a:b]).tobytes() for a, b in zip(edge, edge[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(part)), pa.array(grams, pa.binary())], ["doc", "grams"])
 
     return texts.mapInArrow(run, "doc long, grams binary")
 
 
-def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of the rows (a, b, ga, gb) whose weighted Jaccard similarity is at least `similarity`."""
+def linked(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of the pairs whose weighted Jaccard similarity is at least `similarity`. a is joined last, as it may be in very many pairs."""
+    ga = grams.select(F.col("doc").alias("a"), F.col("grams").alias("ga"))
+    gb = grams.select(F.col("doc").alias("b"), F.col("grams").alias("gb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,89 +195,72 @@ def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a long, b long")
-
-
-def _likely(pairs: DataFrame, bits: DataFrame, least: int) -> DataFrame:
-    """The pairs whose signatures agree at `least` coordinates or more: far below what alike texts ever have."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [int(np.count_nonzero(np.frombuffer(x.as_buffer(), np.uint16) == np.frombuffer(y.as_buffer(), np.uint16))) >= least for x, y in zip(batch.column(2), batch.column(3))]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    x = bits.select(F.col("doc").alias("a"), F.col("bits").alias("x"))
-    y = bits.select(F.col("doc").alias("b"), F.col("bits").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    both = pairs.join(gb.hint("merge"), "b").join(ga.hint("merge"), "a").select("a", "b", "ga", "gb")
     return both.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: Scratch) -> DataFrame:
     """(doc, label): each node of the edges (a, b) and the smallest node of its component. Labels spread and jump."""
-    links = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = stored(links.groupBy(F.col("a").alias("doc")).agg(F.least(F.min("b"), F.col("doc")).alias("label")), "labels")
+    links = keep(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "links")
+    labels = keep(links.groupBy(F.col("a").alias("doc")).agg(F.least(F.min("b"), F.col("doc")).alias("label")), "labels")
     while True:
         of_b = labels.select(F.col("doc").alias("b"), F.col("label").alias("near"))
         spread = links.join(of_b, "b").groupBy(F.col("a").alias("doc")).agg(F.min("near").alias("near"))
         mine = labels.join(spread, "doc").select("doc", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         top = labels.select(F.col("doc").alias("label"), F.col("label").alias("jump"))
-        new = stored(mine.join(top, "label").select("doc", "old", F.least("label", "jump").alias("label")), "labels")
+        new = keep(mine.join(top, "label").select("doc", "old", F.least("label", "jump").alias("label")), "labels")
         if new.where("label < old").isEmpty():
-            return new.select("doc", "label")
+            return new
         labels = new.select("doc", "label")
 
 
+def _split(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """rows (doc, key, ...) with each doc's label, of the keys that hold several."""
+    named = rows.join(labels.select("doc", F.col("label").alias("of")), "doc", "left").select(*rows.columns, F.coalesce("of", "doc").alias("label"))
+    several = named.groupBy(key).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select(key)
+    return named.join(several, key, "left_semi")
+
+
 def near_classes(docs: DataFrame, similarity: float = 0.8, bands: int = 26, rows: int = 5, small_bucket: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id: the smallest doc_id of the row's class of near-duplicates. One row per row of docs."""
-    sigs = stored(text_signatures(docs, bands, rows, id_col, text_col), "signatures")
+    keep = Scratch()
+    sigs = keep(text_signatures(docs, bands, rows, id_col, text_col), "signatures")
     # equal texts: one node, their smallest doc_id
-    same = stored(sigs.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).where("copies > 1"), "copies")
-    nodes = sigs.join(same.select("c1", "c2", "node"), ["c1", "c2"], "left").select("doc_id", F.coalesce("node", "doc_id").alias("node"))
-    nodes = stored(nodes, "nodes")
-    firsts = sigs.join(nodes.where("doc_id != node").select("doc_id").distinct(), "doc_id", "left_anti")
-    keyed = stored(firsts.select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("band", "key")).select("doc", F.xxhash64("band", "key").alias("key")), "keyed")
-    buckets = stored(keyed.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("size")).where("low < high"), "buckets")
-    crowd = stored(keyed.join(buckets, "key"), "crowd")
-    bits = firsts.select(F.col("doc_id").alias("doc"), "bits").join(crowd.select("doc").distinct(), "doc", "left_semi")
-    bits = stored(bits, "bits")
+    same = keep(sigs.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).where("copies > 1"), "copies")
+    own = sigs.join(same.select("c1", "c2", "node"), ["c1", "c2"], "left").select("doc_id", "bands", F.coalesce("node", "doc_id").alias("node"))
+    nodes = keep(own.select("doc_id", "node"), "nodes")
+    firsts = own.where("doc_id = node")
+    keyed = keep(firsts.select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("band", "key")).select("doc", F.xxhash64("band", "key").alias("key")), "keyed")
+    buckets = keyed.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("size")).where("low < high")
+    crowd = keep(keyed.join(buckets.select("key", "size"), "key"), "crowd")
+    central = keep(crowd.groupBy("doc").agg(F.sum("size").alias("central")), "central")
+    # rank: by how many a node meets, then the smallest
+    crowd = keep(crowd.join(central, "doc").select("doc", "key", "size", F.struct("central", (-F.col("doc")).alias("minus")).alias("rank")), "ranked")
+    crowd = keep(crowd.join(crowd.groupBy("key").agg(F.max("rank").alias("top")), "key").select("doc", "key", "size", "top"), "topped")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    # alike texts agree at a coordinate with a chance of `similarity` at least: 6 deviations less
-    least = int(bands * rows * similarity - 6 * math.sqrt(bands * rows * similarity * (1 - similarity)))
-
-    def linked(pairs: DataFrame, grams: DataFrame) -> DataFrame:
-        ga = grams.select(F.col("doc").alias("a"), F.col("grams").alias("ga"))
-        gb = grams.select(F.col("doc").alias("b"), F.col("grams").alias("gb"))
-        return _alike(pairs.join(ga, "a").join(gb, "b").select("a", "b", "ga", "gb"), similarity)
-
-    def grams_of(pairs: DataFrame, tag: str) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-        # the same plan at every size: a list of documents is broadcast at none
-        return stored(_grams(texts.join(wanted.hint("merge"), "doc", "left_semi")), tag)
-
-    stars = crowd.where("doc > low").select(F.col("low").alias("a"), F.col("doc").alias("b")).distinct()
-    pairs = stored(_likely(stars, bits, least), "pairs")
-    edges = stored(linked(pairs, grams_of(pairs, "grams")), "edges")
-    labels = components(edges)
+    # the same plan at every size: a list of documents is broadcast at none
+    grams = keep(_grams(texts.join(central.select("doc").hint("merge"), "doc", "left_semi")), "grams")
+    stars = crowd.select((-F.col("top.minus")).alias("a"), F.col("doc").alias("b")).where("a != b").distinct()
+    # the rows of one doc_id are one document
+    several = nodes.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("doc_id")
+    repeats = nodes.join(several, "doc_id").where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    edges = keep(linked(stars, grams, similarity).union(repeats), "edges")
+    labels = components(edges, keep)
     # buckets whose nodes aren't of one class yet
-    named = crowd.join(labels, "doc", "left").select("doc", "key", "high", "size", F.coalesce("label", "doc").alias("label"))
-    named = stored(named, "named")
-    split = stored(named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key"), "split")
-    rest = stored(named.join(split, "key", "left_semi"), "rest")
+    rest = keep(_split(crowd, labels, "key"), "rest")
     few = rest.where(F.col("size") <= small_bucket)
     left, right = few.select("key", F.col("doc").alias("a"), F.col("label").alias("la")), few.select("key", F.col("doc").alias("b"), F.col("label").alias("lb"))
-    pairs2 = left.join(right, "key").where("a < b and la != lb").select("a", "b")
-    pairs2 = pairs2.union(rest.where((F.col("size") > small_bucket) & (F.col("doc") < F.col("high"))).select(F.col("doc").alias("a"), F.col("high").alias("b")))
-    pairs2 = stored(_likely(pairs2.distinct(), bits, least).join(pairs, ["a", "b"], "left_anti"), "pairs2")
-    edges = stored(edges.union(linked(pairs2, grams_of(pairs2, "grams2"))), "edges2")
-    labels = components(edges)
-    # the rest: all pairs across the classes of a bucket, whatever its size, so that none is left unchecked
-    rest = stored(rest.select("doc", "key").join(labels, "doc", "left").select("doc", "key", F.coalesce("label", "doc").alias("label")), "rest2")
-    split = stored(rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key"), "split2")
-    rest = stored(rest.join(split, "key", "left_semi"), "rest3")
-    left, right = rest.select("key", F.col("doc").alias("a"), F.col("label").alias("la")), rest.select("key", F.col("doc").alias("b"), F.col("label").alias("lb"))
-    pairs3 = left.join(right, "key").where("a < b and la != lb").select("a", "b").distinct()
-    pairs3 = stored(_likely(pairs3, bits, least).join(pairs.union(pairs2), ["a", "b"], "left_anti"), "pairs3")
-    labels = components(edges.union(linked(pairs3, grams_of(pairs3, "grams3"))))
-    found = nodes.join(labels.select(F.col("doc").alias("node"), "label"), "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
+    pairs = left.join(right, "key").where("a < b and la != lb").select("a", "b").distinct()
+    apart = keep(differences(groups_of(rest.where(F.col("size") > small_bucket)), grams, similarity), "apart")
+    anchors = keep(anchors_of(apart), "anchors")
+    to_anchor = apart.join(anchors, "grp").where("doc != anchor").select(F.col("anchor").alias("a"), F.col("doc").alias("b"))
+    found = keep(linked(pairs.union(to_anchor.distinct()), grams, similarity), "found")
+    labels = components(edges.union(found), keep)
+    if not anchors.isEmpty():
+        crossed = keep(linked(cross_links(_split(apart, labels, "grp"), anchors), grams, similarity), "crossed")
+        if not crossed.isEmpty():
+            labels = components(edges.union(found).union(crossed), keep)
+    keep.drop(nodes, labels)
+    out = nodes.join(labels.select(F.col("doc").alias("node"), "label"), "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
     none = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
-    return found.union(none)
+    return out.union(none)
