@@ -26,8 +26,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays, that of the smallest doc_id."""
+    """One document of each class of near-duplicates stays, that of the smallest doc_id. Rows that share a doc_id but not a
+    text stay as well: they tie texts together that aren't alike, and none may be lost by that."""
     gone = minhash.near_classes(docs).where("doc_id != class_id").select("doc_id").distinct()
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.groupBy("doc_id").agg(F.min(text).alias("x"), F.max(text).alias("y")).where("x != y").select("doc_id")
+    gone = gone.join(several, "doc_id", "left_anti")
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
