@@ -310,6 +310,51 @@ def test_pii_base_equals_brute_force(spark, edge_docs):
     assert pii_digest(edge_docs.limit(0)).count() == 0
 
 
+def test_pii_time_grows_with_the_matches(spark):
+    import time
+
+    from tilewave.llm.pii import pii_digest
+
+    def seconds(n):
+        text = " ".join(f"mail a{i}@example.org 212-555-{i % 9000 + 1000}" for i in range(n))
+        began = time.perf_counter()
+        assert pii_digest(docs_of(spark, [text])).first().n_email == n
+        return time.perf_counter() - began
+
+    seconds(500)
+    few = seconds(2_000)
+    assert seconds(20_000) < 3 * 10 * few
+
+
+def test_pii_places_and_context_in_long_rows_of_matches(spark):
+    from pyspark.sql import functions as F
+
+    from tilewave.llm.pii import spans_of
+
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(["a@b.c", "ä ", "x" * rng.randint(0, 50), " ", "😀", "d@e.f,"]) for _ in range(rng.choice([3, 40, 900]))) for _ in range(40)]
+    pattern = "[a-z]@[a-z]\\.[a-z]"
+    df = docs_of(spark, texts).select("doc_id", "text", spans_of(F.col("text"), "email", pattern, F.lit(True)).alias("s"))
+    for r in df.collect():
+        want = [(m.start(), m.end(), m[0], r.text[: m.start()][-32:], r.text[m.end() :][:1]) for m in re.finditer(pattern, r.text)]
+        assert [(s.start, s.stop, s.text, s.before, s.after) for s in r.s] == want
+
+
+def test_pii_clears_what_base_spans_overlap(spark):
+    from pyspark.sql import functions as F
+
+    from tilewave.llm.pii import SPAN, clear_of
+
+    rng = random.Random(13)
+    rows = []
+    for i in range(60):
+        span = lambda: (lambda a: (a, 0, a + rng.randint(1, 12), "email", "", "", ""))(rng.randrange(600))
+        rows.append((i, [span() for _ in range(rng.choice([0, 5, 300]))], [span() for _ in range(rng.choice([0, 4, 20]))]))
+    got = {r.i: sorted(r.c) for r in spark.createDataFrame(rows, f"i int, l {SPAN}, b {SPAN}").select("i", clear_of(F.col("l"), F.col("b")).alias("c")).collect()}
+    for i, loose, base in rows:
+        assert got[i] == sorted(x for x in loose if not any(b[0] < x[2] and b[2] > x[0] for b in base))
+
+
 def test_pii_adds_spans_in_context(spark):
     from tilewave.llm.pii import pii_digest
 

@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,5 +83,10 @@ def crc32_of(text: Column) -> Column:
     return F.crc32(text.cast("binary"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, evaluated once: a lambda evaluates what stands in it for each element, so a value is bound outside."""
+    return F.transform(F.array(value), body)[0]
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -13,7 +13,8 @@ the spans are stored, and counted and judged from there.
 
 Edge cases: a null or empty text has no spans. Positions are code points, ends exclusive. Repeated
 rows give repeated results, an empty table an empty one. Extra columns are ignored. The patterns are
-possessive or bounded, so that very long runs take neither quadratic time nor stack.
+possessive or bounded, and places are summed up in stretches, so that neither very long runs nor very many matches in
+a text take quadratic time or stack.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewave.llm.common import stored
+from tilewave.llm.common import let, stored
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 #: Base patterns. Look-behinds say where a leftmost match can begin; \G lets one begin where the last ended.
@@ -57,7 +58,9 @@ CUES = {
 AGAINST = "version|isbn|order|ref|invoice|serial|part no"
 ENDINGS = "com|org|net|edu|gov|io|de|fr|es|uk|eu|info|biz"
 COUNTRIES = "AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE"
-SPAN = "array<struct<start:int,rank:int,stop:int,kind:string,text:string>>"
+SPAN = "array<struct<start:int,rank:int,stop:int,kind:string,text:string,before:string,after:string>>"
+#: Characters before a span that labelers see, and values that a fold runs over at once.
+NEAR, CHUNK = 32, 128
 
 
 def digits(text: Column) -> Column:
@@ -82,28 +85,81 @@ def valid(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
+def scan(values: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """For each place what step makes of the values before it. Folds run over stretches of CHUNK values and then over
+    the stretches, as a fold copies what it has put out so far at each step."""
+
+    def fold(part: Column, begin: Column) -> Column:
+        none = F.struct(begin.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, none, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+
+    def parted(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(CHUNK)), lambda i: F.slice(v, i, F.lit(CHUNK)))
+
+    def whole(parts: Column) -> Column:
+        begins = fold(F.transform(parts, lambda part: F.aggregate(part, start, step)), start)
+        return F.flatten(F.zip_with(parts, begins, fold))
+
+    return let(let(values, parted), whole)
+
+
 def spans_of(text: Column, kind: str, pattern: str, need: Column) -> Column:
-    """Leftmost non-overlapping matches with their places: what lies between them is counted along."""
-    none = F.array().cast("array<string>")
-    found = F.when(need, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
-    between = F.when(need, F.split(text, pattern, -1)).otherwise(none)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    """Leftmost non-overlapping matches with their places, up to NEAR characters before them and the one after.
+
+    What lies between the matches is counted along. Nothing is cut out of the whole text at a place, as that takes longer
+    the further on the place is.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    rank = KINDS.index(kind) if kind in KINDS else len(KINDS)
+
+    def end(x: Column) -> Column:
+        return F.substring(x, -NEAR, NEAR)
+
+    def placed(v: Column) -> Column:
+        f, b = v["found"], v["between"]
+        offsets = scan(F.zip_with(F.slice(b, F.lit(1), F.size(f)), f, lambda x, y: F.length(x) + F.length(y)), F.lit(0), lambda at, n: at + n)
+        ends = F.zip_with(F.slice(b, F.lit(1), F.size(f)), f, lambda x, y: end(F.concat(end(x), end(y))))
+
+        def spans(w: Column) -> Column:
+            def span(x: Column, i: Column) -> Column:
+                begin = F.get(w["offsets"], i) + F.length(F.get(b, i))
+                # a match has 5 characters at least, so that seven more pieces hold NEAR of them
+                before = end(F.concat(*[F.coalesce(F.get(w["ends"], i - k), F.lit("")) for k in range(7, 0, -1)], end(F.get(b, i))))
+                after = F.substring(F.concat(F.substring(F.get(b, i + 1), 1, 1), F.substring(F.coalesce(F.get(f, i + 1), F.lit("")), 1, 1)), 1, 1)
+                return F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + F.length(x)).alias("stop"), F.lit(kind).alias("kind"), x.alias("text"), before.alias("before"), after.alias("after"))
+
+            return F.transform(f, span)
+
+        return let(F.struct(offsets.alias("offsets"), ends.alias("ends")), spans)
+
+    pieces = F.struct(found.alias("found"), F.split(text, pattern, -1).alias("between"))
+    return F.when(need, let(pieces, placed)).otherwise(F.array().cast(SPAN))
+
+
+def clear_of(loose: Column, base: Column) -> Column:
+    """The loose spans that no base span overlaps: both are put in order, and the base spans' largest end so far and
+    smallest start to come are carried along."""
+    far = F.lit(2**31 - 1)
+
+    def swept(events: Column) -> Column:
+        def judged(w: Column) -> Column:
+            free = F.zip_with(events, F.arrays_zip(w["ended"].alias("ended"), F.reverse(w["begins"]).alias("begins")), lambda e, x: F.struct(e.alias("e"), ((x["ended"] <= e["start"]) & (x["begins"] >= e["span"]["stop"])).alias("free")))
+            return F.transform(F.filter(free, lambda x: x["free"] & ~x["e"]["base"]), lambda x: x["e"]["span"])
+
+        ended = scan(F.transform(events, lambda e: F.when(e["base"], e["span"]["stop"]).otherwise(0)), F.lit(0), lambda at, x: F.greatest(at, x))
+        begins = scan(F.reverse(F.transform(events, lambda e: F.when(e["base"], e["start"]).otherwise(far))), far, lambda at, x: F.least(at, x))
+        return let(F.struct(ended.alias("ended"), begins.alias("begins")), judged)
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["between"])
-        stop = begin + F.length(pair["found"])
-        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind) if kind in KINDS else len(KINDS)).alias("rank"), stop.alias("stop"), F.lit(kind).alias("kind"), pair["found"].alias("text"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def events(spans: Column, is_base: bool) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(is_base).alias("base"), s.alias("span")))
 
-    # pairs are built before the fold, as a lambda evaluates what stands in it for each element
-    pairs = F.zip_with(between, found, lambda x, y: F.struct(x.alias("between"), y.alias("found")))
-    return F.aggregate(F.filter(pairs, lambda p: p["found"].isNotNull()), start, step)["out"]
+    both = F.array_sort(F.concat(events(base, True), events(loose, False)))
+    return F.when((F.size(base) > 0) & (F.size(loose) > 0), let(both, swept)).otherwise(loose)
 
 
-def _votes(span: Column, text: Column, base: bool) -> Column:
+def _votes(span: Column, base: bool) -> Column:
     """The span with its labelers' votes (1 for, 0 against, -1 none) and its shape."""
-    kind, match = span["kind"], span["text"]
-    before = F.lower(F.substring(text, F.greatest(span["start"] - 31, F.lit(1)), F.least(span["start"], F.lit(32))))
+    kind, match, before, after = span["kind"], span["text"], F.lower(span["before"]), span["after"]
 
     def by_kind(of: dict[str, Column], other: Column) -> Column:
         return reduce(lambda rest, k: F.when(kind == k, of[k]).otherwise(rest), of, other)
@@ -122,7 +178,6 @@ def _votes(span: Column, text: Column, base: bool) -> Column:
         },
         F.lit(-1),
     )
-    after = F.substring(text, span["stop"] + 1, F.lit(1))
     length = F.length(match)
     shape = F.concat_ws("", F.when(length < 12, "s").when(length < 20, "m").otherwise("l"), F.when(after.rlike(r"^[\p{L}\p{N}_]"), "w").when(after == "", "e").otherwise("o"))
     return F.struct(*[span[c].alias(c) for c in ("start", "rank", "stop", "kind")], F.lit(1 if base else 0).alias("pattern"), gazetteer.alias("gazetteer"), context.alias("context"), shape.alias("shape"))
@@ -132,8 +187,8 @@ def _valid_span(kind: str) -> Callable[[Column], Column]:
     return lambda span: valid(kind, span["text"])
 
 
-def _voter(text: Column, base: bool) -> Callable[[Column], Column]:
-    return lambda span: _votes(span, text, base)
+def _voter(base: bool) -> Callable[[Column], Column]:
+    return lambda span: _votes(span, base)
 
 
 def _of_kind(kind: str) -> Callable[[Column], Column]:
@@ -150,10 +205,9 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     loose_needs = {"email": text.rlike(r"[\[(]at[\])]")}
     own = own.withColumns({f"loose_{k}": spans_of(text, k, p, loose_needs.get(k, F.col("digit"))) for k, p in LOOSE.items()})
     base = F.concat(*[F.filter(F.col(k), _valid_span(k)) for k in BASE])
-    own = own.select("doc_id", "text", base.alias("base"), F.concat(*[F.col(f"loose_{k}") for k in LOOSE]).alias("loose"))
-    clear = F.filter("loose", lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (b["stop"] > s["start"])))
-    own = own.withColumn("loose", clear)
-    marked = [F.array_sort(F.transform(c, _voter(text, c == "base"))).alias(c) for c in ("base", "loose")]
+    own = own.select("doc_id", base.alias("base"), F.concat(*[F.col(f"loose_{k}") for k in LOOSE]).alias("loose"))
+    own = own.withColumn("loose", clear_of(F.col("loose"), F.col("base")))
+    marked = [F.array_sort(F.transform(c, _voter(c == "base"))).alias(c) for c in ("base", "loose")]
     return own.select("doc_id", *marked)
 
 

@@ -37,18 +37,8 @@ def candidates(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", tex
     pattern = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{min_chars},}}+"
     own = text_of(docs, id_col, text_col)
     text = F.col("text")
-    own = own.withColumn("spans", spans_of(text, "secret", pattern, text.rlike(pattern)))
-    near = F.transform(
-        "spans",
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            s["stop"].alias("stop"),
-            s["text"].alias("found"),
-            F.lower(F.substring(text, F.greatest(s["start"] - 31, F.lit(1)), F.least(s["start"], F.lit(32)))).alias("before"),
-            F.substring(text, s["stop"] + 1, F.lit(8)).alias("after"),
-        ),
-    )
-    return own.select("doc_id", F.explode(near).alias("c")).select("doc_id", "c.*")
+    found = own.select("doc_id", F.explode(spans_of(text, "secret", pattern, text.rlike(pattern))).alias("s"))
+    return found.select("doc_id", "s.start", "s.stop", F.col("s.text").alias("found"), F.lower("s.before").alias("before"), F.col("s.after").alias("after"))
 
 
 def _share(text: Column, pattern: str) -> Column:
