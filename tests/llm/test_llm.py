@@ -109,6 +109,37 @@ def test_secret_scan_finds_keys_and_not_words(spark):
     assert got == want
 
 
+def test_secret_scan_candidates_equal_brute_force(spark):
+    from tilewave.llm.secret_scan import candidates
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["ab1", "X", "/", "-9", "key=", " ", '"', "é", "zzzzzzzz", "\n", "0" * 9]) for _ in range(rng.randint(0, 40))) for _ in range(150)] + [None, "", "x" * 50_000]
+    want = []
+    for i, t in enumerate(texts):
+        for m in re.finditer("[A-Za-z0-9+/_=-]+", t or ""):
+            if len(m[0]) >= 20 or len(m[0]) >= 8 and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
+                want.append((i, m.start(), m.end(), m[0]))
+    assert sorted((r.doc_id, r.start, r.stop, r.found) for r in candidates(docs_of(spark, texts)).collect()) == want
+
+
+def test_secret_scan_judges_what_formats_leave_open(spark):
+    """Keys of no known format, learnt from how those of known ones move and what stands beside them."""
+    from tilewave.llm.secret_scan import scan_secrets
+
+    rng = random.Random(4)
+    texts, want = [], set()
+    for i in range(200):
+        n = 40 if i % 4 else 28
+        key = "".join(rng.choice("0123456789abcdef") for _ in range(n))
+        if i % 2 == 0:
+            texts.append(f'{prose(rng, 20)} secret = "{key}" {prose(rng, 5)}')
+            want.add(i)
+        else:
+            texts.append(prose(rng, 20) + " https://example.org/" + "/".join(rng.choice(WORDS) for _ in range(8)) + f"/page{rng.randrange(10**6)} " + "".join(rng.choice(WORDS) for _ in range(6)))
+    got = {r.doc_id for r in scan_secrets(docs_of(spark, texts)).collect()}
+    assert len(got & want) >= 0.9 * len(want) and not got - want
+
+
 def test_secret_scan_edge_cases(spark, edge_docs):
     from tilewave.llm.secret_scan import scan_secrets
 

@@ -1,16 +1,18 @@
 """Secret scan: candidate strings, and a random forest that removes false positives.
 
-Candidates are runs of at least `min_chars` characters that keys and tokens are made of. A forest judges each
-by its length, the transitions between its character classes and between its letters, the share of it that
-dictionary fragments cover, whether it looks like part of a path or address, and the words beside it.
+Candidates are runs of characters that keys and tokens are made of: of at least `min_chars` if letters and digits are
+mixed, of at least `long_chars` otherwise. A forest judges each by its length, the transitions between its
+character classes and between its letters, the share of its four-letter windows that the corpus's words are made of,
+whether it looks like part of a path or address, and the words beside it.
 
-The forest is trained from labelled findings: `labelled`, or else findings labelled by the rules of
-`rule_label` (an assignment of a long random-looking string to a name like token is a secret; a run of letters
-alone, or a part of an address, is none; the rest has no label). At most `sample_rows` findings are used, the first
-by a hash of document and place. All is DataFrame functions and JVM trees.
+The forest is trained from labelled findings: `labelled`, or else findings whose value alone tells (`format_label`: keys of
+known issuers, and hexadecimal digests, are secrets; runs of letters alone are none; the rest has no label). The forest
+sees neither formats nor which characters a value holds, so it learns how such values move and what stands beside them, and
+judges the unlabelled ones by that. At most `sample_rows` findings are used, the first by a hash of document and place.
+All is DataFrame functions and JVM trees.
 
 Edge cases: a null or empty text has no candidates. Places are code points, ends exclusive. If the labelled
-findings are of one kind only, the rules alone decide. Repeated rows give repeated results, an empty
+findings are of one kind only, the formats alone decide. Repeated rows give repeated results, an empty
 table an empty one. Extra columns are ignored. Very long runs are one candidate each, whatever their length.
 """
 
@@ -27,44 +29,51 @@ from tilewave.llm.pii import spans_of
 
 NAMES = "token|secret|passw|pwd|api.?key|apikey|auth|bearer|credential|private.?key|access.?key|signature"
 ADDRESS = r"://|www\.|@|\.(?:com|org|net|html?|png|jpg)"
-# fragments of words in English, German, French and Spanish
-FRAGMENTS = "tion|ment|ing|the|and|ent|ver|con|pro|sch|cht|ein|eit|und|que|eux|aire|oir|ado|mente|ción|able|ness|ful|less|ung|lich|keit|ster|ther|with|from|this|that"
-FEATURES = ["length", "class_moves", "digit_moves", "vowel_moves", "distinct", "digits", "uppers", "hex", "coverage", "path", "named", "assigned", "quoted"]
+#: Values that tell by themselves.
+FORMATS = "^(?:(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})|AKIA[0-9A-Z]{16}|gh[opsru]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{30,})$"
+WORD, FRAGMENT = "(?<![a-z])[a-z]{4,24}(?![a-z])", "(?=([a-z]{4}))"
+FEATURES = ["length", "class_moves", "digit_moves", "vowel_moves", "coverage", "path", "named", "assigned", "quoted"]
 
 
-def candidates(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def candidates(docs: DataFrame, min_chars: int = 8, long_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, stop, found, before, after: one row per candidate."""
-    pattern = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{min_chars},}}+"
+    key = "[A-Za-z0-9+/_=-]"
+    mixed = rf"(?={key}*?[0-9])(?={key}*?[A-Za-z]){key}{{{min_chars},}}+"
+    pattern = rf"(?<!{key})(?:{mixed}|{key}{{{long_chars},}}+)"
     own = text_of(docs, id_col, text_col)
     text = F.col("text")
     found = own.select("doc_id", F.explode(spans_of(text, "secret", pattern, text.rlike(pattern))).alias("s"))
     return found.select("doc_id", "s.start", "s.stop", F.col("s.text").alias("found"), F.lower("s.before").alias("before"), F.col("s.after").alias("after"))
 
 
-def _share(text: Column, pattern: str) -> Column:
-    return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))) / F.greatest(F.length(text), F.lit(1))
-
-
 def _moves(text: Column, pair: str) -> Column:
     """Share of neighbours that a two-character look-ahead pattern describes."""
     return F.regexp_count(text, F.lit(f"(?=(?:{pair}))")) / F.greatest(F.length(text) - 1, F.lit(1))
 
 
-def described(found: DataFrame) -> DataFrame:
+def word_fragments(docs: DataFrame, min_docs: int = 3, share: float = 2e-5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(fragment): the four-letter windows that make up `share` or more of those of the words in `min_docs` documents or more. At most 26**4."""
+    words = text_of(docs, id_col, text_col).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word"))
+    known = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    windows = stored(known.select(F.explode(F.regexp_extract_all("word", F.lit(FRAGMENT), F.lit(1))).alias("fragment")).groupBy("fragment").agg(F.count("*").alias("n")), "fragments")
+    total = windows.agg(F.sum("n")).first()[0] or 0
+    return windows.where(F.col("n") >= share * total).select("fragment")
+
+
+def described(found: DataFrame, fragments: DataFrame) -> DataFrame:
     """The features of candidates."""
     s, before = F.col("found"), F.col("before")
     vowel, other = "[aeiouyAEIOUY]", "[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]"
-    return found.withColumns(
+    found = stored(found.withColumn("finding", F.monotonically_increasing_id()), "candidates")
+    windows = found.select("finding", F.explode(F.regexp_extract_all(F.lower("found"), F.lit(FRAGMENT), F.lit(1))).alias("fragment"))
+    covered = windows.join(F.broadcast(fragments), "fragment").groupBy("finding").agg(F.count("*").alias("covered"))
+    return found.join(covered, "finding", "left").withColumns(
         {
             "length": F.least(F.length(s), F.lit(1024)).cast("double"),
             "class_moves": _moves(s, "[a-z][A-Z0-9]|[A-Z][0-9]|[0-9][A-Za-z]"),
             "digit_moves": _moves(s, "[0-9][0-9]"),
             "vowel_moves": _moves(s, f"{vowel}{other}|{other}{vowel}"),
-            "distinct": F.size(F.array_distinct(F.split(s, ""))) / F.least(F.length(s), F.lit(64)),
-            "digits": _share(s, "[0-9]"),
-            "uppers": _share(s, "[A-Z]"),
-            "hex": _share(s, "[0-9a-f]"),
-            "coverage": _share(F.lower(s), FRAGMENTS),
+            "coverage": F.coalesce("covered", F.lit(0)) / F.greatest(F.length(s) - 3, F.lit(1)),
             "path": (s.contains("/") | before.rlike(rf"(?:{ADDRESS})[^ \n]*$|/$")).cast("double"),
             "named": before.rlike(NAMES).cast("double"),
             "assigned": before.rlike(r"[=:]\s*[\"']?$").cast("double"),
@@ -73,19 +82,18 @@ def described(found: DataFrame) -> DataFrame:
     )
 
 
-def rule_label() -> Column:
-    """1, 0 or null for a described candidate."""
-    random = (F.col("digits") > 0.1) & (F.col("coverage") < 0.3)
-    secret = (F.col("named") == 1) & (F.col("assigned") == 1) & random
-    clean = (F.col("assigned") == 0) & ((F.col("digits") == 0) | (F.col("path") == 1))
-    return F.when(secret, 1.0).when(clean, 0.0)
+def format_label() -> Column:
+    """1, 0 or null for a candidate, by its value alone."""
+    s = F.col("found")
+    secret = s.rlike(FORMATS) & s.rlike("[0-9]") & s.rlike("[A-Za-z]")
+    return F.when(secret, 1.0).when(s.rlike("^[A-Za-z_/-]+$"), 0.0)
 
 
-def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5, sample_rows: int = 20_000, trees: int = 20, depth: int = 6, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5, sample_rows: int = 20_000, trees: int = 20, depth: int = 6, min_chars: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per secret: doc_id, start, stop, score, sha256 of the string. labelled: (doc_id, start, stop, label)."""
-    found = stored(described(candidates(docs, min_chars, id_col, text_col)), "findings")
+    found = stored(described(candidates(docs, min_chars, id_col=id_col, text_col=text_col), word_fragments(docs, id_col=id_col, text_col=text_col)), "findings")
     if labelled is None:
-        marked = found.withColumn("label", rule_label())
+        marked = found.withColumn("label", format_label())
     else:
         marked = found.join(labelled.select("doc_id", "start", "stop", F.col("label").cast("double").alias("label")), ["doc_id", "start", "stop"])
     chosen = marked.where("label is not null").orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start").limit(sample_rows)
@@ -96,5 +104,5 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold:
         forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, probabilityCol="p", rawPredictionCol="raw", predictionCol="said").fit(joined.transform(train))
         scored = forest.transform(joined.transform(found)).withColumn("score", vector_to_array("p")[1])
     else:
-        scored = found.withColumn("score", F.coalesce(rule_label(), F.lit(0.0)))
+        scored = found.withColumn("score", F.coalesce(format_label(), F.lit(0.0)))
     return scored.where(F.col("score") >= threshold).select("doc_id", "start", "stop", F.round("score", 6).alias("score"), F.sha2(F.col("found").cast("binary"), 256).alias("sha256"))
