@@ -296,7 +296,8 @@ def test_decontamination_equals_brute_force(spark):
         texts.append(prose(rng, 12) + " " + item + " " + prose(rng, 12))
     texts += [None, "", items[0].upper()]
     bench = spark.createDataFrame(list(enumerate(items)) + [(99, None), (98, ""), (97, "tiny")], "item_id long, text string")
-    want = {(i, k) for i, t in enumerate(texts) for k, p in enumerate(items) if edit_distance_within(folded(p.encode()), folded((t or "").encode())) <= int(len(p.encode()) * 0.1)}
+    items = dict(enumerate(items)) | {97: "tiny"}
+    want = {(i, k) for i, t in enumerate(texts) for k, p in items.items() if edit_distance_within(folded(p.encode()), folded((t or "").encode())) <= int(len(p.encode()) * 0.1)}
     df = docs_of(spark, texts)
     for block in (8 << 20, 200):
         rows = find_leaks(df, bench, block_bytes=block).collect()
@@ -306,6 +307,40 @@ def test_decontamination_equals_brute_force(spark):
     assert find_leaks(df, bench.limit(0)).count() == 0 and find_leaks(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_short_items_equals_brute_force(spark):
+    """Items of 1 to 60 bytes in several blocks."""
+    from tilewave.llm.decontam import drop_leaks, find_leaks, folded
+
+    rng = random.Random(24)
+    letters = "abcdefghijklmnop"
+    items = ["".join(rng.choice(letters) for _ in range(n)) for n in range(1, 61)]
+    texts = [None, "", "é", "--"]
+    for _ in range(60):
+        item = list(rng.choice(items[2:]))
+        for _ in range(rng.randint(0, len(item) // 8)):
+            at = rng.randrange(len(item))
+            item[at : at + 1] = rng.choice([["x"], [], [item[at], "x"]])
+        texts.append("".join(rng.choice("qrstuvw ") for _ in range(rng.randint(0, 40))) + "".join(item) + "".join(rng.choice("qrstuvw ") for _ in range(rng.randint(0, 40))))
+    texts += ["".join(rng.choice(letters) for _ in range(30)) for _ in range(20)]
+    bench = spark.createDataFrame(list(enumerate(items)) + [(90, None), (91, ""), (92, " .,!")], "item_id long, text string")
+    want = {(i, k) for i, t in enumerate(texts) for k, p in enumerate(items) if edit_distance_within(p.encode(), folded((t or "").encode())) <= int(len(p) * 0.1)}
+    df = docs_of(spark, texts)
+    for block in (8 << 20, 700):
+        assert {(r.doc_id, r.item_id) for r in find_leaks(df, bench, block_bytes=block).collect()} == want
+        assert {r.doc_id for r in drop_leaks(df, bench, block_bytes=block).collect()} == set(range(len(texts))) - {i for i, _ in want}
+
+
+def test_decontamination_edge_cases(spark, edge_docs):
+    from tilewave.llm.decontam import drop_leaks, find_leaks
+
+    bench = spark.createDataFrame([(1, "same line here"), (1, "same line here"), (None, "x"), (2, "x" * 60)], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id) for r in find_leaks(edge_docs, bench).collect())
+    assert set(got) == {(4, 2), (6, 1), (7, 1)}
+    kept = drop_leaks(edge_docs, bench)
+    assert kept.columns == edge_docs.columns and kept.count() == edge_docs.count() - 3
+    assert drop_leaks(edge_docs.limit(0), bench).count() == 0
+
+
 # ---- personal data ------------------------------------------------------------------------------------------
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
