@@ -666,6 +666,40 @@ def test_url_rules_and_reputation(spark):
     assert filter_urls(pages.limit(0), URL_RULES).count() == 0
 
 
+def test_posterior_bound_equals_the_beta_distribution(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from tilewave.llm.url_filter import chance_under
+
+    cases = [(a, b, r) for a in (1, 2, 5, 30, 400) for b in (1, 3, 20, 300) for r in (0.3, 0.5)]
+    for r in (0.3, 0.5):
+        df = spark.createDataFrame([(float(a), float(b)) for a, b, x in cases if x == r], "a double, b double")
+        for row in df.select("a", "b", chance_under(F.col("a"), F.col("b"), r).alias("p")).collect():
+            n = int(row.a + row.b) - 1
+            want = sum(math.comb(n, j) * r**j * (1 - r) ** (n - j) for j in range(int(row.a), n + 1))
+            assert abs(row.p - want) < 0.01, row
+
+
+def test_url_reputation_without_labels(spark):
+    from tilewave.llm.queries import URL_RULES
+    from tilewave.llm.url_filter import filter_urls
+
+    urls = [f"http://casino-win.a.net/{i}" for i in range(30)] + [f"http://news.b.net/{i}" for i in range(60)] + ["http://news.b.net/slots", "http://casino-win.a.net/", "http://never.seen.io/"]
+    got = {r.page_id: r.verdict for r in filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), URL_RULES).collect()}
+    assert all(got[i] == ("block" if "casino" in u else "allow") for i, u in enumerate(urls))
+
+
+def test_url_edge_cases(spark):
+    from tilewave.llm.queries import URL_RULES
+    from tilewave.llm.url_filter import filter_urls
+
+    rows = [(1, "http://a.com/fr/x", "h", 1, "p"), (1, "http://a.com/fr/x", "h", 1, "p"), (None, "http://a.com/fr/x", None, None, None), (2, None, "h", 2, "p"), (3, "http://" + "a" * 100_000 + ".com/de/" + "b" * 100_000, "h", 3, "p"), (4, "://", "h", 0, "p"), (5, "a://b://c", "h", 0, "p")]
+    out = filter_urls(spark.createDataFrame(rows, "page_id long, url string, host string, bad int, path string"), URL_RULES).collect()
+    assert sorted((r.page_id or 0, r.host[:3], r.path[:4], r.verdict) for r in out) == [(0, "a.c", "/fr/", "allow"), (1, "a.c", "/fr/", "allow"), (1, "a.c", "/fr/", "allow"), (2, "", "", "allow"), (3, "aaa", "/de/", "block"), (4, "", "", "allow"), (5, "b:", "//c", "allow")]
+
+
 # ---- queries and pipeline -----------------------------------------------------------------------------------
 
 
