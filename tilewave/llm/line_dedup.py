@@ -18,6 +18,7 @@ whatever their names, pass through dedup_lines untouched.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,8 +103,9 @@ class LineRuns:
         return out
 
     def firsts(self) -> DataFrame:
-        """(h1, h2, first) of all keys."""
-        return self._union(self.runs())
+        """(h1, h2, first) of all keys, read as plain files: dealt out anew, so that the adaptive join can split hot keys."""
+        runs = [self.spark.read.schema("h1 long, h2 long, first long").parquet(path) for _, path in self.runs()]
+        return reduce(DataFrame.union, runs)
 
 
 def build_runs(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text") -> LineRuns:
