@@ -214,6 +214,19 @@ def components(edges: DataFrame, keep: Scratch) -> DataFrame:
         labels = new.select("doc", "label")
 
 
+def merged(labels: DataFrame, edges: DataFrame, keep: Scratch) -> DataFrame:
+    """labels after more edges: components of the classes that the edges join, each class being one node."""
+    la, lb = labels.select(F.col("doc").alias("a"), F.col("label").alias("la")), labels.select(F.col("doc").alias("b"), F.col("label").alias("lb"))
+    across = edges.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a != b")
+    across = keep(across, "across")
+    if across.isEmpty():
+        return labels
+    roots = components(across, keep)
+    moved = labels.join(roots.select(F.col("doc").alias("label"), F.col("label").alias("root")), "label", "left").select("doc", F.coalesce("root", "label").alias("label"))
+    new = roots.join(labels.select("doc"), "doc", "left_anti").select("doc", "label")
+    return keep(moved.union(new), "merged")
+
+
 def _split(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """rows (doc, key, ...) with each doc's label, of the keys that hold several."""
     named = rows.join(labels.select("doc", F.col("label").alias("of")), "doc", "left").select(*rows.columns, F.coalesce("of", "doc").alias("label"))
@@ -255,11 +268,9 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, bands: int = 26, rows
     anchors = keep(anchors_of(apart), "anchors")
     to_anchor = apart.join(anchors, "grp").where("doc != anchor").select(F.col("anchor").alias("a"), F.col("doc").alias("b"))
     found = keep(linked(pairs.union(to_anchor.distinct()), grams, similarity), "found")
-    labels = components(edges.union(found), keep)
+    labels = merged(labels, found, keep)
     if not anchors.isEmpty():
-        crossed = keep(linked(cross_links(_split(apart, labels, "grp"), anchors), grams, similarity), "crossed")
-        if not crossed.isEmpty():
-            labels = components(edges.union(found).union(crossed), keep)
+        labels = merged(labels, linked(cross_links(_split(apart, labels, "grp"), anchors), grams, similarity), keep)
     keep.drop(nodes, labels)
     out = nodes.join(labels.select(F.col("doc").alias("node"), "label"), "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
     none = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
