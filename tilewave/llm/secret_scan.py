@@ -75,8 +75,9 @@ def described(found: DataFrame, fragments: DataFrame) -> DataFrame:
             "vowel_moves": _moves(s, f"{vowel}{other}|{other}{vowel}"),
             "coverage": F.coalesce("covered", F.lit(0)) / F.greatest(F.length(s) - 3, F.lit(1)),
             "path": (s.contains("/") | before.rlike(rf"(?:{ADDRESS})[^ \n]*$|/$")).cast("double"),
-            "named": before.rlike(NAMES).cast("double"),
-            "assigned": before.rlike(r"[=:]\s*[\"']?$").cast("double"),
+            # name and sign can be part of the run, as in password=...
+            "named": (before.rlike(NAMES) | F.lower(s).rlike(NAMES)).cast("double"),
+            "assigned": (before.rlike(r"[=:]\s*[\"']?$") | s.rlike("^[A-Za-z_-]+=[^=]")).cast("double"),
             "quoted": (before.rlike("[\"']$") & F.col("after").rlike("^[\"']")).cast("double"),
         }
     )
@@ -85,8 +86,7 @@ def described(found: DataFrame, fragments: DataFrame) -> DataFrame:
 def format_label() -> Column:
     """1, 0 or null for a candidate, by its value alone."""
     s = F.col("found")
-    secret = s.rlike(FORMATS) & s.rlike("[0-9]") & s.rlike("[A-Za-z]")
-    return F.when(secret, 1.0).when(s.rlike("^[A-Za-z_/-]+$"), 0.0)
+    return F.when(s.rlike(FORMATS), 1.0).when(s.rlike("^[A-Za-z_/-]+$"), 0.0)
 
 
 def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5, sample_rows: int = 20_000, trees: int = 20, depth: int = 6, min_chars: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
