@@ -1,4 +1,5 @@
 import io
+import os
 import random
 
 import numpy as np
@@ -159,6 +160,29 @@ def test_container_source_and_sink(spark, tmp_path):
     assert spark.read.format("packets").option("table", "streams").load(at).count() == 6
 
 
+def test_container_stream_takes_each_file_once(spark, tmp_path):
+    spark.dataSource.register(container.ContainerSource)
+    at, state, out = tmp_path / "in", str(tmp_path / "state"), str(tmp_path / "out")
+    at.mkdir()
+    for name in ("part-b", "part-a"):  # the second one sorts before the first
+        with open(at / name, "wb") as f:
+            container.write_header(f, [container.Stream(container.VIDEO)])
+            container.write_packet(f, 0, 0, 0, name.encode())
+        run = spark.readStream.format("packets").load(str(at)).writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+        run.awaitTermination()
+    assert sorted(bytes(r.payload) for r in spark.read.parquet(out).collect()) == [b"part-a", b"part-b"]
+
+
+def test_container_overwrite_and_append(spark, tmp_path):
+    spark.dataSource.register(container.ContainerSource)
+    at, about = str(tmp_path / "c"), '[{"stream_type": 0}]'
+    rows = spark.range(6).selectExpr("0 stream_id", "0 stream_type", "id ts_us", "cast('p' as binary) payload")
+    for mode, want in (("overwrite", 6), ("append", 12), ("overwrite", 6)):
+        rows.write.format("packets").option("streams", about).mode(mode).save(at)
+        assert spark.read.format("packets").load(at).count() == want
+    assert not [p for p in os.listdir(at) if p.startswith(".")]
+
+
 def test_raw_audio_round_trip():
     out = io.BytesIO()
     container.write_audio(out, 44_100, 2, 16, 8, [b"ab", b"", b"cde"])

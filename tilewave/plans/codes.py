@@ -88,6 +88,31 @@ def integer_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The coefficients of the quadratic on a number's mantissa, and the first guess of the inverse root.
+_LOG2, _GUESS = (-0.34484843, 2.02466578, 0.67487759), 0x5F3759DF
+
+
+def _floats(div: str, e: str, floor: str) -> dict[str, str]:
+    m = f"(n / pow(2.0, {e}))"
+    bits = f"(({e} + 127) * 8388608 + cast(({m} - 1) * 8388608 as bigint))"
+    guess = f"({_GUESS} - {bits} {div} 2)"
+    first = f"(pow(2.0, {guess} {div} 8388608 - 127) * (1 + ({guess} % 8388608) / 8388608.0))"
+    inverse = f"({first} * (1.5 - 0.5 * n * {first} * {first}))"
+    return {
+        "log2": f"round({e} - 1 + ({_LOG2[0]} * {m} + {_LOG2[1]}) * {m} - {_LOG2[2]}, 5)",
+        "inverse_root": f"round({inverse}, 7)",
+        "root": f"cast(floor(1 / {inverse} + 0.5) as bigint)",
+        "halved": f"cast({floor}((n - 600 + case when n < 600 then -4 else 4 end) / 8.0) as bigint)",
+    }
+
+
+@query(f"SELECT n, {', '.join(f'{v} AS {k}' for k, v in _floats('//', '(' + duck.bitlen('n') + ' - 1)', 'floor').items())} FROM range(1, 4000) t(n)")
+def float_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate logarithm and roots from a number's exponent and mantissa, in double precision; and a division of n - 600 by a
+    power of two, rounded away from zero before an arithmetic shift."""
+    return spark.range(1, 4000).withColumnRenamed("id", "n").selectExpr("n", *[f"{v} {k}" for k, v in _floats("div", f"({bit_length('n')} - 1)", "floor").items()])
+
+
 @query("SELECT l_partkey % 64 AS grp, count(*)::BIGINT AS symbols, sum(length(ltrim(l_partkey::BIT::VARCHAR, '0')))::BIGINT AS bits, sum(bit_count(l_partkey))::BIGINT AS ones FROM lineitem WHERE l_partkey > 0 GROUP BY 1")
 def bit_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.table(spark, sf_dir, "lineitem").where("l_partkey > 0").selectExpr("l_partkey % 64 grp", f"{bit_length('l_partkey')} bits", "bit_count(l_partkey) ones")

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import json
+import uuid
+from collections.abc import Iterator
+from dataclasses import asdict
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +16,8 @@ from pyspark.sql.window import Window
 from tilewave.operators import views
 from tilewave.plans import duck
 from tilewave.plans.registry import query
+from tilewave.plans.shared import drained, shared_dir
+from tilewave.sources import container
 
 _PKT = f"WITH {duck.PKT}"
 FPS, RATE, HOP = 30, 44_100, 512
@@ -66,20 +75,27 @@ def av_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Display 0 of a period is a key picture; groups of four follow, coded as anchor, middle, first, third.
 
 PERIOD, QUALITY = 3600, 16
-_PLACE = "CASE (d - 1) % 4 WHEN 3 THEN 0 WHEN 1 THEN 1 WHEN 0 THEN 2 ELSE 3 END"
+
+
+def place_of(j: str, size: str, div: str) -> str:
+    """Coding place of picture j of a group of `size`: the last is the anchor, then the middle, then the others."""
+    middle = f"({size} - 1) {div} 2"
+    return f"CASE WHEN {j} = {size} - 1 THEN 0 WHEN {j} = {middle} THEN 1 WHEN {j} < {middle} THEN 2 + {j} ELSE 1 + {j} END"
 
 
 def _schedule_sql() -> str:
-    return f"""{_PKT}, n AS (SELECT count(*) AS n FROM pkt), s AS (SELECT seq AS display, seq % {PERIOD} AS d, seq // {PERIOD} AS period FROM pkt, n WHERE seq % {PERIOD} = 0 OR seq // {PERIOD} * {PERIOD} + ((seq % {PERIOD} - 1) // 4 + 1) * 4 < n),
-g AS (SELECT *, CASE WHEN d = 0 THEN -1 ELSE (d - 1) // 4 END AS g, CASE WHEN d = 0 THEN 0 ELSE {_PLACE} END AS place FROM s)"""
+    return f"""{_PKT}, n AS (SELECT count(*) AS n FROM pkt), s0 AS (SELECT seq AS display, seq % {PERIOD} AS d, seq // {PERIOD} AS period, n FROM pkt, n),
+s AS (SELECT *, CASE WHEN d = 0 THEN -1 ELSE (d - 1) // 4 END AS g, (d - 1) % 4 AS j, least(4, least({PERIOD}, n - period * {PERIOD}) - 1 - (d - 1) // 4 * 4) AS members FROM s0),
+g AS (SELECT *, CASE WHEN d = 0 THEN 0 ELSE {place_of('j', 'members', '//')} END AS place FROM s)"""
 
 
 def _schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole groups only: a short last group has other middles."""
+    """The last group of a period or of all can be short."""
     pkt = views.packets(spark, sf_dir).select("seq")
-    n = pkt.agg(F.max("seq") + 1).first()[0] or 0
-    rows = pkt.selectExpr("seq display", f"seq % {PERIOD} d", f"seq div {PERIOD} period").where(f"d = 0 or period * {PERIOD} + ((d - 1) div 4 + 1) * 4 < {n}")
-    return rows.selectExpr("*", "if(d = 0, -1L, (d - 1) div 4) g", f"if(d = 0, 0L, cast({_PLACE} as bigint)) place")
+    rows = pkt.crossJoin(F.broadcast(pkt.agg(F.count("*").alias("n"))))  # one row
+    rows = rows.selectExpr("seq display", f"seq % {PERIOD} d", f"seq div {PERIOD} period", "n")
+    rows = rows.selectExpr("*", "if(d = 0, -1L, (d - 1) div 4) g", "(d - 1) % 4 j", f"least(4L, least({PERIOD}L, n - period * {PERIOD}) - 1 - (d - 1) div 4 * 4) members")
+    return rows.selectExpr("display", "d", "period", "g", f"if(d = 0, 0L, cast({place_of('j', 'members', 'div')} as bigint)) place")
 
 
 @query(f"{_schedule_sql()} SELECT display, g, CASE WHEN d = 0 THEN 'I' WHEN place = 0 THEN 'P' ELSE 'B' END AS kind, CASE WHEN place < 2 THEN 1 ELSE 0 END AS is_reference, CASE WHEN place = 0 THEN {QUALITY} WHEN place = 1 THEN least({QUALITY} + 1, 31) ELSE least({QUALITY} + 2, 31) END AS qp FROM g")
@@ -102,3 +118,71 @@ def display_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The coded picture after which each display place can be shown: all up to it are there. Periods are of bounded length."""
     rows = _schedule(spark, sf_dir).selectExpr("display", "period", f"period * {PERIOD} + if(d = 0, 0L, 1 + g * 4 + place) coded")
     return rows.select("display", "coded", F.max("coded").over(Window.partitionBy("period").orderBy("display")).alias("shown_after"))
+
+
+# ---- containers ---------------------------------------------------------------------------------------------
+
+STREAMS = [container.Stream(container.VIDEO, 320, 240, 30.0), container.Stream(container.AUDIO, sample_rate=RATE, channels=2, bit_depth=16, quality=8)]
+
+
+def _written(spark: SparkSession, sf_dir: str) -> str:
+    """Events as packets in a container of part files. The sink writes where its tasks run, into the shared folder."""
+    spark.dataSource.register(container.ContainerSource)
+    at = f"{shared_dir(spark)}/containers/{uuid.uuid4().hex}"
+    rows = views.table(spark, sf_dir, "events").selectExpr("cast(if(event_type in ('view', 'click'), 0, 1) as int) stream_id", "cast(if(event_type in ('view', 'click'), 0, 1) as int) stream_type", "unix_micros(cast(ts as timestamp)) ts_us", "cast(concat('p', coalesce(props, '')) as binary) payload")
+    rows.write.format("packets").option("streams", json.dumps([asdict(s) for s in STREAMS])).mode("append").save(at)
+    return at
+
+
+_EVENTS = "e AS (SELECT CASE WHEN event_type IN ('view', 'click') THEN 0 ELSE 1 END AS stream_id, epoch_us(ts) AS ts_us, 'p' || coalesce(props, '') AS payload FROM events)"
+
+
+@query(f"WITH {_EVENTS} SELECT stream_id, ts_us, md5(payload) AS digest, count(*)::BIGINT AS n FROM e GROUP BY ALL")
+def container_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets written by the sink and read back by the source: each with its stream, time and payload."""
+    back = spark.read.format("packets").load(_written(spark, sf_dir))
+    return back.selectExpr("cast(stream_id as bigint) stream_id", "ts_us", "md5(payload) digest").groupBy("stream_id", "ts_us", "digest").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_EVENTS} SELECT stream_id, count(*)::BIGINT AS n, sum(octet_length(encode(payload)))::BIGINT AS bytes, 0::BIGINT AS gaps FROM e GROUP BY stream_id")
+def container_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers alone: sizes by stream, and payloads that don't begin where the packet before ends."""
+    index = spark.read.format("packets").option("payload", "false").load(_written(spark, sf_dir)).drop("payload")
+    before = Window.partitionBy("file").orderBy("seq")  # a part file: of bounded length
+    rows = index.withColumn("gap", F.col("payload_at") - F.coalesce(F.lag(F.col("payload_at") + F.col("size")).over(before), F.lit(container.HEADER.size + len(STREAMS) * container.DESCRIPTOR.size)) != container.PACKET.size)
+    return rows.groupBy(F.col("stream_id").cast("long").alias("stream_id")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.count_if("gap").alias("gaps"))
+
+
+@query(f"SELECT 0::BIGINT AS stream_id, 0::BIGINT AS stream_type, 320::BIGINT AS width, 240::BIGINT AS height, 30::DOUBLE AS frame_rate, 0::BIGINT AS sample_rate, 0::BIGINT AS channels, 0::BIGINT AS bit_depth, 0::BIGINT AS quality UNION ALL SELECT 1, 1, 0, 0, 0, {RATE}, 2, 16, 8")
+def container_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streams that all part files describe."""
+    rows = spark.read.format("packets").option("table", "streams").load(_written(spark, sf_dir)).drop("file").distinct()
+    return rows.select(*[F.col(c).cast("double" if c == "frame_rate" else "long").alias(c) for c in rows.columns])
+
+
+@query(f"WITH {_EVENTS} SELECT stream_id, count(*)::BIGINT AS n, sum(octet_length(encode(payload)))::BIGINT AS bytes, sum(ts_us % 1000003)::BIGINT AS checksum FROM e GROUP BY stream_id")
+def container_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part files as a stream, drained once: each packet arrives once."""
+    at = _written(spark, sf_dir)
+    rows = drained(spark.readStream.format("packets").load(at).selectExpr("cast(stream_id as bigint) stream_id", "size", "ts_us"))
+    return rows.groupBy("stream_id").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.expr("sum(ts_us % 1000003) checksum"))
+
+
+@query(f"WITH {duck.PCM} SELECT n // 4096 AS chunk, count(*)::BIGINT AS frames, sum(length(iv::VARCHAR))::BIGINT AS bytes, sum(iv)::BIGINT AS total FROM pcm GROUP BY 1")
+def raw_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each 4096 samples as a raw audio stream of one frame a sample, written and read again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for chunk, values in zip(rows["chunk"], rows["v"]):
+                file = io.BytesIO()
+                container.write_audio(file, RATE, 1, 16, 8, [str(v).encode() for v in values])
+                file.seek(0)
+                about, frames = container.read_audio(file)
+                assert about["sample_rate"] == RATE and about["quality"] == 8
+                out.append((chunk, len(frames), sum(map(len, frames)), sum(map(int, frames))))
+            yield pd.DataFrame(out, columns=["chunk", "frames", "bytes", "total"])
+
+    rows = views.table(spark, sf_dir, "events").selectExpr("event_id div 4096 chunk", "cast(floor(value * 100 + 0.5) as bigint) v").groupBy("chunk").agg(F.collect_list("v").alias("v"))
+    return rows.mapInPandas(run, "chunk long, frames long, bytes long, total long")

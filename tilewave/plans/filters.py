@@ -230,6 +230,23 @@ def quarterpel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("f", "y", f"{let('pic', 'pic', total(f'transform(sequence(y * 64, y * 64 + 63), i -> shiftright(pic[int(i)] + {_fir(True, 1)} + 1, 1) * (i % 64 + 1))'))} quarter")
 
 
+@query(f"WITH {_PICS} SELECT f, i // 64 AS y, sum(((pic[i + 1] + {_fir(False, 64)} + 1) >> 1) * (i % 64 + 1))::BIGINT AS quarter FROM pics, range(0, 4096) o(i) GROUP BY ALL")
+def quarterpel_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.pictures(spark, sf_dir).selectExpr("f", "pic", "explode(sequence(0L, 63L)) y")
+    return rows.selectExpr("f", "y", f"{let('pic', 'pic', total(f'transform(sequence(y * 64, y * 64 + 63), i -> shiftright(pic[int(i)] + {_fir(True, 64)} + 1, 1) * (i % 64 + 1))'))} quarter")
+
+
+@query(f"""WITH {_PICS}, h AS (SELECT f, list({_fir(False, 1)} ORDER BY i) AS pic, any_value(pic) AS whole FROM pics, range(0, 4096) o(i) GROUP BY f)
+SELECT f, i // 64 AS y, sum({_fir(False, 64)} * (i % 64 + 1))::BIGINT AS half, sum(((whole[i + 1] + {_fir(False, 64)} + 1) >> 1) * (i % 64 + 1))::BIGINT AS quarter FROM h, range(0, 4096) o(i) GROUP BY ALL""")
+def diagonal_fir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half and quarter samples between four: taps along the rows, then along the columns of what they gave."""
+    rows = views.pictures(spark, sf_dir).selectExpr("f", "pic whole", f"{let('pic', 'pic', f'transform(sequence(0, 4095), i -> {_fir(True, 1)})')} pic")
+    rows = rows.selectExpr("f", "whole", f"{let('pic', 'pic', f'transform(sequence(0, 4095), i -> {_fir(True, 64)})')} both")
+    rows = rows.selectExpr("f", "both", "zip_with(whole, both, (w, b) -> shiftright(w + b + 1, 1)) mixed")
+    rows = rows.selectExpr("f", "explode(transform(sequence(0, 63), y -> struct(y, slice(both, y * 64 + 1, 64) a, slice(mixed, y * 64 + 1, 64) b))) r")
+    return rows.selectExpr("f", "cast(r.y as bigint) y", f"{total('transform(r.a, (v, x) -> v * (x + 1))')} half", f"{total('transform(r.b, (v, x) -> v * (x + 1))')} quarter")
+
+
 # ---- search -------------------------------------------------------------------------------------------------
 
 _SEARCH = f"""{_BOTH}, mbs AS (SELECT f, a, b, m, (m % 4) * 16 AS px, (m // 4) * 16 AS py FROM pp, range(0, 16) o(m))"""

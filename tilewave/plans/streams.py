@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewave.plans.containers import place_of
 from tilewave.plans.registry import query
+from tilewave.plans.shared import drained
 from tilewave.streaming import buffers
 
 
-def _shared(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tilewave-streams-")
-        atexit.register(shutil.rmtree, at.removeprefix("file://"), True)
-    return f"{at}/streams/{uuid.uuid4().hex}"
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
@@ -29,34 +18,34 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame) -> DataFrame:
-    spark, at = stream.sparkSession, _shared(stream.sparkSession)
-    run = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out")
-    run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/out")
-
-
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).selectExpr("event_id div 1000 part", "event_id seq")
 
 
-@query("""WITH e AS (SELECT event_id // 1000 AS part, event_id AS seq, event_id % 1000 AS d, count(*) OVER (PARTITION BY event_id // 1000) AS n FROM events)
-SELECT part, seq, 0 AS place, -1 AS grp FROM e WHERE d = 0 UNION ALL
-SELECT part, seq, CASE (d - 1) % 4 WHEN 3 THEN 0 WHEN 1 THEN 1 WHEN 0 THEN 2 ELSE 3 END, (d - 1) // 4 FROM e WHERE d > 0 AND ((d - 1) // 4 + 1) * 4 < n""")
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part, n: pictures of each part, which tell its last one and the size of its last group."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.expr("event_id div 1000 part")).agg(F.count("*").alias("n"))
+
+
+_GROUPS = """WITH e AS (SELECT event_id // 1000 AS part, event_id AS seq, event_id % 1000 AS d, count(*) OVER (PARTITION BY event_id // 1000) AS n FROM events),
+s AS (SELECT *, (d - 1) // 4 AS g, (d - 1) % 4 AS j, least(4, n - 1 - (d - 1) // 4 * 4) AS size FROM e)"""
+
+
+@query(f"{_GROUPS} SELECT part, seq, CASE WHEN d = 0 THEN 0 ELSE {place_of('j', 'size', '//')} END AS place, CASE WHEN d = 0 THEN -1 ELSE g END AS grp FROM s")
 def stream_gop_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drained(buffers.group_buffer(_parts(spark, sf_dir)))
+    """Groups of four, and what is held at a part's end, which a row with the flag "end" flushes."""
+    ends = _parts(spark, sf_dir).join(_sizes(spark, sf_dir), "part").selectExpr("part", "seq", "explode(if(seq % 1000 = n - 1, array(null, 'end'), array(cast(null as string)))) flag")
+    return drained(buffers.group_buffer(ends))
 
 
-@query("""WITH e AS (SELECT event_id // 1000 AS part, event_id % 1000 AS coded, count(*) OVER (PARTITION BY event_id // 1000) AS n FROM events),
-c AS (SELECT part, coded, CASE WHEN coded = 0 THEN 0 ELSE (coded - 1) // 4 * 4 + CASE (coded - 1) % 4 WHEN 0 THEN 4 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 3 END END AS display FROM e WHERE coded = 0 OR ((coded - 1) // 4 + 1) * 4 < n)
+@query(f"""{_GROUPS}, c AS (SELECT part, CASE WHEN d = 0 THEN 0 ELSE 4 * g + 1 + {place_of('j', 'size', '//')} END AS coded, d AS display FROM s)
 SELECT part, display, max(coded) OVER (PARTITION BY part ORDER BY display) AS after FROM c""")
 def stream_reorder_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = events(spark, sf_dir).selectExpr("event_id div 1000 part", "event_id % 1000 coded")
-    rows = coded.selectExpr("part", "coded", "cast(if(coded = 0, 0, (coded - 1) div 4 * 4 + case (coded - 1) % 4 when 0 then 4 when 1 then 2 when 2 then 1 else 3 end) as bigint) display")
-    # a short last group has other places: it is left out, as its size isn't known to the stream before its end
-    last = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.expr("event_id div 1000 part")).agg(F.count("*").alias("n"))
-    whole = rows.join(last, "part").where("coded = 0 or ((coded - 1) div 4 + 1) * 4 < n").select("part", "coded", "display")
-    return drained(buffers.reorder_buffer(whole))
+    coded = events(spark, sf_dir).selectExpr("event_id div 1000 part", "event_id % 1000 coded").join(_sizes(spark, sf_dir), "part")
+    rows = coded.selectExpr("part", "coded", "(coded - 1) div 4 g", "(coded - 1) % 4 k", "least(4L, n - 1 - (coded - 1) div 4 * 4) size")
+    # the inverse of coding places: the anchor, the middle, then the others in order
+    j = "case when k = 0 then size - 1 when k = 1 then (size - 1) div 2 when k - 2 < (size - 1) div 2 then k - 2 else k - 1 end"
+    return drained(buffers.reorder_buffer(rows.selectExpr("part", "coded", f"cast(if(coded = 0, 0, 4 * g + 1 + {j}) as bigint) display")))
 
 
 @query("SELECT part, seq, expected FROM (SELECT event_id // 1000 AS part, event_id AS seq, lag(event_id) OVER (PARTITION BY event_id // 1000 ORDER BY event_id) + 1 AS expected FROM events WHERE event_id % 97 <> 5) WHERE seq <> expected")

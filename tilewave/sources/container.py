@@ -6,7 +6,7 @@ descriptor per stream, then packets (magic, stream id, stream type, timestamp in
     spark.dataSource.register(ContainerSource)
     spark.read.format("packets").load(path)                          # packets; drop payload and it isn't read
     spark.read.format("packets").option("table", "streams").load(path)
-    df.write.format("packets").option("streams", json).save(path)    # one part file per partition
+    df.write.format("packets").option("streams", json).mode("append").save(path)    # one part file per partition; mode overwrite replaces
 
 A path is a file or a folder of part files; each file is one read partition. The reader seeks past payloads
 if the option payload is "false" (an index scan with payload_at instead). Files are opened where the task runs, so
@@ -19,6 +19,8 @@ import glob
 import json
 import os
 import struct
+import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -130,19 +132,20 @@ class ContainerReader(DataSourceReader):
 
 
 class ContainerStreamReader(DataSourceStreamReader):
-    """New files of a folder, in the order of their names."""
+    """New files of a folder. An offset holds the names of the files seen, so that a file counts once, whatever its name."""
 
     def __init__(self, options: dict):
         self.path, self.magics = options["path"], magics(options)
 
     def initialOffset(self) -> dict:
-        return {"files": 0}
+        return {"files": []}
 
     def latestOffset(self) -> dict:
-        return {"files": len(files_of(self.path))}
+        return {"files": files_of(self.path)}
 
     def partitions(self, start: dict, end: dict) -> list[FilePartition]:
-        return [FilePartition(f) for f in files_of(self.path)[start["files"] : end["files"]]]
+        seen = set(start["files"])
+        return [FilePartition(f) for f in end["files"] if f not in seen]
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
@@ -151,27 +154,36 @@ class ContainerStreamReader(DataSourceStreamReader):
                 yield (partition.path, *row)
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    file: str
+
+
 class ContainerWriter(DataSourceWriter):
-    """Rows (stream_id, stream_type, ts_us, payload) in the order they come; each task writes a file and renames it at its end."""
+    """Rows (stream_id, stream_type, ts_us, payload) in the order they come. Each task writes a hidden file; the commit gives the
+    files of the tasks that count their names, in the order of commits, and takes those of earlier writes away if they are overwritten."""
 
-    def __init__(self, options: dict):
-        self.path = options["path"].removeprefix("file://").removeprefix("file:")
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite = options["path"].removeprefix("file://").removeprefix("file:"), overwrite
         self.streams, self.magics = [Stream(**s) for s in json.loads(options["streams"])], magics(options)
 
     def write(self, rows) -> WriterCommitMessage:
-        import uuid
-
         os.makedirs(self.path, exist_ok=True)
-        done = f"{self.path}/part-{uuid.uuid4().hex}"
-        part = f"{self.path}/.{os.path.basename(done)}"
+        part = f"{self.path}/.part-{uuid.uuid4().hex}"
         with open(part, "wb") as f:
             write_header(f, self.streams, self.magics[0])
             for r in rows:
                 write_packet(f, r.stream_id, r.stream_type, r.ts_us, bytes(r.payload), self.magics[1])
-        os.rename(part, done)
-        message = WriterCommitMessage()
-        message.file = done
-        return message
+        return Written(part)
+
+    def commit(self, messages) -> None:
+        old = files_of(self.path) if self.overwrite and os.path.isdir(self.path) else []
+        for m in messages:
+            if m:
+                name = os.path.basename(m.file).removeprefix(".part-")
+                os.rename(m.file, f"{self.path}/part-{time.time_ns():020d}-{name}")
+        for f in old:
+            os.remove(f)
 
     def abort(self, messages) -> None:
         for m in messages:
@@ -194,7 +206,7 @@ class ContainerSource(DataSource):
         return ContainerStreamReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> ContainerWriter:
-        return ContainerWriter(dict(self.options))
+        return ContainerWriter(dict(self.options), overwrite)
 
 
 # ---- raw audio streams: a header, then frames of (size, payload) --------------------------------------------

@@ -52,7 +52,8 @@ def group_buffer(rows: DataFrame) -> DataFrame:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         buffer = GroupBuffer(*state.get) if state.exists else GroupBuffer()
         out: list[tuple] = []
-        for b in [pd.concat(list(batches)).sort_values("seq")]:
+        b = pd.concat(list(batches))
+        for b in [b.sort_values(["seq", "flag"], na_position="first") if "flag" in b else b.sort_values("seq")]:
             for seq, flag in zip(b["seq"], b["flag"] if "flag" in b else [None] * len(b)):
                 out += [(key[0], *x) for x in buffer.push(int(seq), flag)]
         state.update((buffer.started, buffer.held, buffer.groups))
