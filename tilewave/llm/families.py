@@ -13,7 +13,8 @@ gap(x) + gap(y) differences or more. Hence:
 
 The reference only decides how few: links are found whatever it is, so that a bounded sample of members will do.
 Texts of the anchor's class need not meet one another, nor texts of one class. The shared differences are looked up in
-parts of a group of about `PART` elements each, so that no task holds a whole group.
+parts of a group of about `PART` elements each, so that no task holds a whole group; those who meet there are compared by all
+their differences on the spot, and only links come out.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Members that make the consensus, and elements looked up by one task.
-SAMPLE, PART = 32, 50_000
+#: Members that make the consensus, elements looked up by one task, and meetings held before repeated ones go.
+SAMPLE, PART, FOUND = 32, 200_000, 1 << 22
 #: For rounding: an overlap this much under the bound is still looked at.
 SLACK = 1e-6
 
@@ -91,48 +92,72 @@ def anchors_of(apart: DataFrame) -> DataFrame:
     return apart.groupBy("grp").agg(first.alias("x")).select("grp", F.col("x.doc").alias("anchor"), F.col("x.gap").alias("least"))
 
 
+PARTED = "grp long, part long, doc long, label long, main boolean, elems binary, near long, gap double, delta binary"
+
+
 def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["grp", "part", "doc", "label", "main", "elems", "near"]
+    names = [x.split()[0] for x in PARTED.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.float64(), pa.binary()]
     for batch in batches:
         rows = []
-        for grp, doc, label, main, parts, far, near, delta in zip(*(c.to_pylist() for c in batch.columns)):
+        for grp, doc, label, main, parts, far, near, gap, delta in zip(*(c.to_pylist() for c in batch.columns)):
             elems = np.frombuffer(delta, np.uint32)[: max(far, near)]
             part = elems % np.uint32(parts)
             for p in np.unique(part):
                 mine = part == p
-                rows.append((grp, int(p), doc, label, main, elems[mine].tobytes(), int(mine[:near].sum())))
-        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], pa.schema([("grp", pa.int64()), ("part", pa.int64()), ("doc", pa.int64()), ("label", pa.int64()), ("main", pa.bool_()), ("elems", pa.binary()), ("near", pa.int64())]))
+                rows.append((grp, int(p), doc, label, main, elems[mine].tobytes(), int(mine[:near].sum()), gap, delta))
+        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], pa.schema(list(zip(names, kinds))))
 
 
-def _meeting(rows: pd.DataFrame) -> pd.DataFrame:
-    """(a, b) of the rows that share an element and must be compared."""
-    elems = [np.frombuffer(e, np.uint32) for e in rows["elems"]]
-    size = np.array([len(e) for e in elems], np.int64)
-    doc, label, main, near = rows["doc"].to_numpy(), rows["label"].to_numpy(), rows["main"].to_numpy(bool), rows["near"].to_numpy()
-    flat, who = np.concatenate(elems), np.repeat(np.arange(len(rows)), size)
+def _meetings(elems: list[np.ndarray], label: np.ndarray, main: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Codes x * n + y of the rows x and y that share an element and must be compared, in order."""
+    n, size = len(elems), np.array([len(e) for e in elems], np.int64)
+    flat, who = np.concatenate(elems), np.repeat(np.arange(n), size)
     place = np.arange(len(flat)) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
     order = np.argsort(flat, kind="stable")
     flat, who, close = flat[order], who[order], (place < near[who])[order]
     edge = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1], True])
-    found: list[np.ndarray] = []
+    found, held = [np.zeros(0, np.int64)], 0
     for low, high in zip(edge, edge[1:]):
         if high - low < 2:
             continue
         w, c = who[low:high], close[low:high]
         inner, outer = w[main[w]], w[~main[w]]
         # with the anchor's class: all; with one another: by the prefix that their own bound leaves
-        found.append(np.c_[np.repeat(outer, len(inner)), np.tile(inner, len(outer))])
+        found.append((outer[:, None] * n + inner).ravel())
         rest = w[~main[w] & c]
         for k in range(1, len(rest)):
-            other = rest[:k][label[rest[:k]] != label[rest[k]]]
-            found.append(np.c_[np.full(len(other), rest[k]), other])
-    pairs = np.unique(np.concatenate([*found, np.zeros((0, 2), np.int64)]), axis=0)
-    a, b = doc[pairs[:, 0]], doc[pairs[:, 1]]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            found.append(rest[k] * n + rest[:k][label[rest[:k]] != label[rest[k]]])
+        held += len(outer) * len(inner) + len(rest) ** 2 // 2
+        if held > FOUND:
+            found, held = [np.unique(np.concatenate(found))], 0
+    return np.unique(np.concatenate(found))
+
+
+def _meeting(rows: pd.DataFrame) -> pd.DataFrame:
+    """(a, b) of the rows that share an element and are alike: enough of their differences are the same."""
+    n, doc, gap = len(rows), rows["doc"].to_numpy(), rows["gap"].to_numpy()
+    codes = _meetings([np.frombuffer(e, np.uint32) for e in rows["elems"]], rows["label"].to_numpy(), rows["main"].to_numpy(bool), rows["near"].to_numpy())
+    deltas = [np.frombuffer(d, np.uint32) for d in rows["delta"]]
+    size = np.array([len(d) for d in deltas], np.int64)
+    begin = np.r_[0, np.cumsum(size)[:-1]]
+    names, ids = np.unique(np.concatenate(deltas), return_inverse=True)
+    mark, links = np.zeros(len(names), np.int64), []
+    first, other = codes // n, codes % n
+    for low, high in zip(*(lambda e: (e, e[1:]))(np.flatnonzero(np.r_[True, first[1:] != first[:-1], True]) if len(codes) else [])):
+        x = first[low]
+        mark[ids[begin[x] : begin[x] + size[x]]] = 1
+        for at in range(low, high, 4096):
+            y = other[at : min(high, at + 4096)]
+            ends = np.cumsum(size[y])
+            shared = np.add.reduceat(mark[ids[np.arange(ends[-1]) + np.repeat(begin[y] - np.r_[0, ends[:-1]], size[y])]], np.r_[0, ends[:-1]])
+            links += [(int(doc[x]), int(doc[k])) for k in y[shared >= gap[x] + gap[y] - SLACK]]
+        mark[ids[begin[x] : begin[x] + size[x]]] = 0
+    return pd.DataFrame([(min(p), max(p)) for p in links], columns=["a", "b"])
 
 
 def cross_links(apart: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(a, b): the pairs across classes of a group that can be alike, besides those with the anchor.
+    """(a, b): the links across classes of a group, besides those with the anchor.
 
     apart: differences with labels; a member whose pair with the anchor was found alike must have the anchor's label.
     """
@@ -148,6 +173,6 @@ def cross_links(apart: DataFrame, anchors: DataFrame) -> DataFrame:
         return F.greatest(F.lit(0.0), size - F.greatest(F.ceil(F.col("gap") + F.col(bound) - SLACK), F.lit(1)) + 1).cast("int")
 
     near = prefix("outer")
-    rows = named.select("grp", "doc", "label", "main", F.greatest("parts", F.lit(1)).alias("parts"), F.when(F.col("main"), near).otherwise(prefix("least")).alias("far"), near.alias("near"), "delta")
-    parted = rows.mapInArrow(_parted, "grp long, part long, doc long, label long, main boolean, elems binary, near long")
+    rows = named.select("grp", "doc", "label", "main", F.greatest("parts", F.lit(1)).alias("parts"), F.when(F.col("main"), near).otherwise(prefix("least")).alias("far"), near.alias("near"), "gap", "delta")
+    parted = rows.mapInArrow(_parted, PARTED)
     return parted.groupBy("grp", "part").applyInPandas(_meeting, "a long, b long").distinct()

@@ -270,7 +270,7 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, bands: int = 26, rows
     found = keep(linked(pairs.union(to_anchor.distinct()), grams, similarity), "found")
     labels = merged(labels, found, keep)
     if not anchors.isEmpty():
-        labels = merged(labels, linked(cross_links(_split(apart, labels, "grp"), anchors), grams, similarity), keep)
+        labels = merged(labels, cross_links(_split(apart, labels, "grp"), anchors), keep)
     keep.drop(nodes, labels)
     out = nodes.join(labels.select(F.col("doc").alias("node"), "label"), "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
     none = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
