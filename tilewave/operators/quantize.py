@@ -14,6 +14,10 @@ def chroma_dc_scale(qp: int) -> int:
     return max(2 * qp, 2) if qp < 5 else (qp + 13) >> 1 if qp < 25 else qp - 6
 
 
+def chroma_qp(qp: int) -> int:
+    return min(qp + 2, 63)
+
+
 def quality_to_qp(quality: str) -> str:
     q = clip(quality, 1, 31)
     return f"least(case when {q} <= 16 then {q} else {q} + ({q} - 16) * ({q} - 16) div 10 end, 63)"

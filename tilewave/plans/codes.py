@@ -78,6 +78,57 @@ def arith_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count("*").alias("sequences"), F.sum("bits").alias("bits"), F.sum("errors").alias("errors"))
 
 
+_QUARTER = (1 << 30) - 1
+
+
+def coder_sql() -> str:
+    """CTEs bn, ends, st, coded: the arithmetic code of each seq of b(seq, i, bit, ctx), i from 1, one step of the interval a row. For
+    WITH RECURSIVE, and sequences too short for the counts' halving."""
+    act = f"CASE WHEN xor(low, high) >> 31 = 0 THEN 0 WHEN low > {_QUARTER} AND high <= {3 * _QUARTER} THEN 1 ELSE 2 END"
+    middle = "low + (high - low) * n0 // (n0 + n1)"
+    twice = f"((({{0}} - CASE WHEN act = 1 THEN {_QUARTER + 1} ELSE 0 END) * 2) & 4294967295)"
+    return f"""bn AS (SELECT seq, i, bit, 1 + count(*) FILTER (bit = 0) OVER w AS n0, 1 + count(*) FILTER (bit = 1) OVER w AS n1
+  FROM b WINDOW w AS (PARTITION BY seq, ctx ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ends AS (SELECT seq, max(i) AS last FROM b GROUP BY seq),
+st AS (
+  SELECT seq, last, 1::BIGINT AS i, 0::BIGINT AS low, 4294967295::BIGINT AS high, 0::BIGINT AS pending, ''::VARCHAR AS code FROM ends
+  UNION ALL
+  SELECT s.seq, last, CASE WHEN act = 2 THEN s.i + 1 ELSE s.i END,
+    CASE WHEN act < 2 THEN {twice.format("low")} WHEN bit = 1 THEN {middle} + 1 ELSE low END,
+    CASE WHEN act < 2 THEN {twice.format("high")} + 1 WHEN bit = 0 THEN {middle} ELSE high END,
+    CASE act WHEN 0 THEN 0 WHEN 1 THEN pending + 1 ELSE pending END,
+    CASE WHEN act > 0 THEN code WHEN low >> 31 = 1 THEN code || '1' || repeat('0', pending) ELSE code || '0' || repeat('1', pending) END
+  FROM (SELECT *, {act} AS act FROM st) s LEFT JOIN bn ON bn.seq = s.seq AND bn.i = s.i WHERE act < 2 OR s.i <= last),
+coded AS (SELECT seq, code || CASE WHEN low < {_QUARTER} THEN '0' || repeat('1', pending + 1) ELSE '1' || repeat('0', pending + 1) END AS code
+  FROM (SELECT *, {act} AS act FROM st) WHERE act = 2 AND i > last)"""
+
+
+_GOLOMB = f"""g AS (SELECT seq, pos, v, v + 1 AS z, {duck.bitlen('v + 1')} AS n FROM sym),
+b AS (SELECT seq, pos % 2 AS ctx, row_number() OVER (PARTITION BY seq ORDER BY pos, k) AS i, CASE WHEN k < n - 1 THEN 0 ELSE (z >> (2 * n - 2 - k)::BIGINT) & 1 END AS bit
+  FROM g, LATERAL (SELECT unnest(range(0, 2 * n - 1)) AS k))"""
+
+
+@query(f"WITH RECURSIVE {duck.SYM}, {_GOLOMB}, {coder_sql()} SELECT seq, code, length(code)::BIGINT AS bits, decoded FROM coded JOIN (SELECT seq, string_agg(v, ',' ORDER BY pos) AS decoded FROM sym GROUP BY seq) USING (seq)")
+def arith_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sequence's values as Exp-Golomb codes through the arithmetic coder, even and odd places with a context each: the code's
+    bits, and the values decoded from them."""
+
+    def coded(batches):
+        for rows in batches:
+            out = []
+            for seq, values in zip(rows["seq"], rows["v"]):
+                coder = arithmetic_coder.Encoder()
+                for i, v in enumerate(values):
+                    arithmetic_coder.put_golomb(coder, int(v), i % 2)
+                bits = coder.finish()
+                decoder = arithmetic_coder.Decoder(bits)
+                back = [arithmetic_coder.get_golomb(decoder, i % 2) for i in range(len(values))]
+                out.append((seq, "".join(map(str, bits)), len(bits), ",".join(map(str, back))))
+            yield pd.DataFrame(out, columns=["seq", "code", "bits", "decoded"])
+
+    return views.symbols(spark, sf_dir).select("seq", "v").mapInPandas(coded, "seq long, code string, bits long, decoded string")
+
+
 @query(f"""SELECT n, CASE WHEN abs(n) > 0 THEN {duck.bitlen('abs(n)')} - 1 ELSE 0 END::BIGINT AS log2, CASE WHEN abs(n) > 0 THEN {duck.bitlen('abs(n)')} ELSE 1 END::BIGINT AS bits, sign(n)::BIGINT AS sgn, least(abs(n), 32767)::BIGINT AS sat_abs,
  least(greatest(n, 0), 255)::BIGINT AS saturated, {duck.rdiv('n', '7')}::BIGINT AS rounded7, {duck.rdiv('n', '-4')}::BIGINT AS rounded_neg4, floor(sqrt(abs(n)))::BIGINT AS root, greatest(least(n, 5), least(greatest(n, 5), 9))::BIGINT AS median FROM range(-600, 600) t(n)""")
 def integer_functions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,6 +145,30 @@ def dequantize_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("vec_id", "level", "zip_with(deq, coef, (a, b) -> abs(a - b)) d").selectExpr("vec_id", f"{exprs.total('d')} err", "array_max(d) worst", "cast(size(filter(level, x -> x = 0)) as bigint) zeros")
 
 
+_CQP = quantize.chroma_qp(QP)
+_PLANES = f"""CASE WHEN vec_id % 6 < 4 THEN {QP} ELSE {_CQP} END AS qp, CASE WHEN vec_id % 6 < 4 THEN {quantize.luma_dc_scale(QP)} ELSE {quantize.chroma_dc_scale(_CQP)} END AS scale"""
+
+
+@query(f"""WITH {duck.BLK8}, {duck.dct8()}, {duck.const('qi', tables.INTRA_MATRIX)}, {duck.const('qn', tables.INTER_MATRIX)}, {duck.const('dead', tables.INTER_DEADZONE)},
+p AS (SELECT vec_id, k, coef, vec_id // 6 % 2 = 0 AS intra, {_PLANES} FROM dct),
+f AS (SELECT p.*, CASE WHEN intra THEN qi.v ELSE qn.v END AS v, w.v AS w, CASE WHEN intra THEN {duck.rdiv('coef * 16', 'qi.v')} ELSE {duck.rdiv('coef * 16', 'qn.v')} END AS f FROM p JOIN qi USING (k) JOIN qn USING (k) JOIN dead w USING (k)),
+l AS (SELECT *, CASE WHEN intra AND k = 0 THEN {duck.rdiv('coef', 'scale')} WHEN intra THEN {duck.rdiv('f', '(2 * qp)')} ELSE {duck.rdiv('f - ((sign(f) * qp * w)::BIGINT >> 1)', '(2 * qp)')} END AS level FROM f)
+SELECT vec_id, k, level::BIGINT AS level, (CASE WHEN intra AND k = 0 THEN level * scale ELSE 2 * level * v * qp // 16 END)::BIGINT AS deq FROM l""")
+def quantize_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels and their inverse by block type and plane: six 8x8 blocks, four of luma and two of chroma at a coarser step, are one
+    block, and every other one is intra."""
+
+    def pick(luma: str, chroma: str) -> str:
+        return f"if(vec_id % 6 < 4, {luma}, {chroma})"
+
+    luma, chroma = quantize.luma_dc_scale(QP), quantize.chroma_dc_scale(_CQP)
+    intra = pick(quantize.intra("coef", QP, luma), quantize.intra("coef", _CQP, chroma))
+    rows = coefficients(spark, sf_dir).selectExpr("vec_id", f"if(vec_id div 6 % 2 = 0, {intra}, {pick(quantize.inter('coef', QP), quantize.inter('coef', _CQP))}) level")
+    back = [pick(quantize.dequantize("level", QP, m, a), quantize.dequantize("level", _CQP, m, b)) for m, a, b in ((tables.INTRA_MATRIX, luma, chroma), (tables.INTER_MATRIX, None, None))]
+    rows = rows.selectExpr("vec_id", "level", f"if(vec_id div 6 % 2 = 0, {back[0]}, {back[1]}) deq")
+    return rows.selectExpr("vec_id", "posexplode(arrays_zip(level, deq)) as (k, z)").selectExpr("vec_id", "cast(k as bigint) k", "z.level", "z.deq")
+
+
 @query("SELECT qp, (CASE WHEN qp < 9 THEN greatest(2 * qp, 2) WHEN qp < 25 THEN qp + 8 ELSE 2 * qp - 16 END)::BIGINT AS luma, (CASE WHEN qp < 5 THEN greatest(2 * qp, 2) WHEN qp < 25 THEN (qp + 13) >> 1 ELSE qp - 6 END)::BIGINT AS chroma FROM range(1, 64) t(qp)")
 def dc_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     qp = spark.range(1, 64).withColumnRenamed("id", "qp")
