@@ -15,9 +15,9 @@ def sads(block: np.ndarray, ref: np.ndarray) -> np.ndarray:
     return np.abs(np.lib.stride_tricks.sliding_window_view(ref, (BLOCK, BLOCK)) - block).sum((2, 3))
 
 
-def full(at: np.ndarray, x: int, y: int, rate: int, radius: int = RADIUS) -> tuple[int, int, int]:
-    """(dx, dy, cost) of the cheapest displacement that steps from the radius down to 1 can reach; of equals the shortest."""
-    reach = 2 * radius - 1
+def full(at: np.ndarray, x: int, y: int, rate: int, radius: int = RADIUS, reach: int | None = None) -> tuple[int, int, int]:
+    """(dx, dy, cost) of the cheapest displacement up to `reach`, else of all that steps from the radius down to 1 can reach; of equals the shortest."""
+    reach = 2 * radius - 1 if reach is None else reach
     top, left = max(y - reach, 0), max(x - reach, 0)
     near = at[top : y + reach + 1, left : x + reach + 1]
     dy, dx = np.mgrid[top - y : top - y + near.shape[0], left - x : left - x + near.shape[1]]

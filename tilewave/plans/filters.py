@@ -26,6 +26,11 @@ def picture_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.selectExpr("f", "pic a").join(now.selectExpr("f + 1 f", "pic b"), "f")
 
 
+def _narrow(rows: DataFrame) -> DataFrame:
+    """f and pictures, whose pixels go to Python as two bytes each."""
+    return rows.select("f", *[F.col(c).cast("array<smallint>").alias(c) for c in rows.columns if c != "f"])
+
+
 # ---- deblocking ---------------------------------------------------------------------------------------------
 # Decisions stand in for a coder's: a block is a copy if (f + m) % 5 = 0, and its quantizer is 14 + 2 m.
 
@@ -115,7 +120,7 @@ def deblock_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_BOTH} SELECT f, ((i // 64) // 16) * 4 + (i % 64) // 16 AS m, b[i + 1] // 8 AS band, sum(a[i + 1] - b[i + 1])::BIGINT AS err, count(*)::BIGINT AS n FROM pp, range(0, 4096) o(i) GROUP BY ALL")
 def band_error_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bands(spark, sf_dir).where("n > 0").select("f", "m", "band", "err", "n")
+    return _cells(spark, sf_dir).where("kind = 'band'").selectExpr("f", "m", "slot band", "err", "n")
 
 
 def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,11 +130,6 @@ def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picture_pairs(spark, sf_dir).selectExpr("f", "a", "b", "explode(sequence(0L, 15L)) m").selectExpr("f", "m", "b", f"{let('struct(a, b)', 'z', body)} t")
 
 
-def _bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _tiles(spark, sf_dir).selectExpr("f", "m", "t", "explode(sequence(0L, 31L)) band").selectExpr("f", "m", "band", f"{let('band', 'k', 'filter(t, p -> p.r div 8 = k)')} t")
-    return rows.selectExpr("f", "m", "band", f"{total('transform(t, p -> p.s - p.r)')} err", "cast(size(t) as bigint) n")
-
-
 #: Steps of the four direction classes: horizontal, vertical, and both diagonals.
 _STEPS = [(1, 0), (0, 1), (1, 1), (1, -1)]
 _EDGES = f"""{_BOTH}, st AS (SELECT unnest([0, 1, 2, 3]) AS class, unnest([{', '.join(str(x) for x, _ in _STEPS)}]) AS dx, unnest([{', '.join(str(y) for _, y in _STEPS)}]) AS dy),
@@ -141,7 +141,7 @@ e AS (SELECT f, ((i // 64) // 16) * 4 + (i % 64) // 16 AS m, class, i, a[i + 1]
 
 @query(f"{_EDGES} SELECT f, m, class, category, sum(d)::BIGINT AS err, count(*)::BIGINT AS n FROM e WHERE category <> 0 GROUP BY ALL")
 def edge_category_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir).where("n > 0").select("f", "m", "class", "category", "err", "n")
+    return _cells(spark, sf_dir).where("kind = 'edge'").selectExpr("f", "m", "class", "slot category", "err", "n")
 
 
 def _category(dx: str, dy: str, i: str = "p.i") -> str:
@@ -149,13 +149,46 @@ def _category(dx: str, dy: str, i: str = "p.i") -> str:
     return f"if({inside}, int(sign(pic[int({i} - {dy} * 64 - {dx})] - pic[{i}]) + sign(pic[int({i} + {dy} * 64 + {dx})] - pic[{i}])), 0)"
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sides = ", ".join(f"struct({k}L c, {x} dx, {y} dy)" for k, (x, y) in enumerate(_STEPS))
-    rows = _tiles(spark, sf_dir).selectExpr("f", "m", "b", "t", f"explode(array({sides})) s")
-    marked = let("b", "pic", let("s", "w", f"transform(t, p -> struct(p.s - p.r d, {_category('w.dx', 'w.dy')} k))"))
-    rows = rows.selectExpr("f", "m", "s.c class", f"{marked} t").selectExpr("f", "m", "class", "t", "explode(array(-2L, -1L, 1L, 2L)) category")
-    rows = rows.selectExpr("f", "m", "class", "category", f"{let('category', 'c', 'filter(t, p -> p.k = c)')} t")
-    return rows.selectExpr("f", "m", "class", "category", f"{total('transform(t, p -> p.d)')} err", "cast(size(t) as bigint) n")
+#: Cells of a block: 32 bands, then the categories of each direction class.
+_CATEGORIES = [-2, -1, 1, 2]
+_PER_BLOCK = 32 + len(_STEPS) * len(_CATEGORIES)
+
+
+def _cells_of(source: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(error sums, counts) of all cells of pictures (n, 64, 64), in order of picture, block and cell."""
+    y, x = np.mgrid[:64, :64]
+    base = (np.arange(len(made))[:, None, None] * 16 + y // 16 * 4 + x // 16) * _PER_BLOCK
+    error = source - made
+    keys, weights = [(base + made // 8).ravel()], [error.ravel()]
+    for k, (dx, dy) in enumerate(_STEPS):
+        inside = (x >= abs(dx)) & (x < 64 - abs(dx)) & (y >= abs(dy)) & (y < 64 - abs(dy))
+        sides = np.sign(np.roll(made, (dy, dx), (1, 2)) - made) + np.sign(np.roll(made, (-dy, -dx), (1, 2)) - made)
+        for c, category in enumerate(_CATEGORIES):
+            at = inside & (sides == category)
+            keys.append(base[at] + 32 + k * len(_CATEGORIES) + c)
+            weights.append(error[at])
+    key, total_ = np.concatenate(keys), len(made) * 16 * _PER_BLOCK
+    return np.bincount(key, np.concatenate(weights), total_).astype(np.int64), np.bincount(key, minlength=total_)
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """f, m, kind, slot, class, err, n: a block's bands and edge categories that hold pixels, in one pass over the picture pairs."""
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, len(batch), 64):
+                rows = batch.iloc[low : low + 64]
+                source, made = (np.stack(rows[c].to_numpy()).astype(np.int64).reshape(-1, 64, 64) for c in ("a", "b"))
+                err, n = _cells_of(source, made)
+                hit = np.flatnonzero(n)
+                cell = hit % _PER_BLOCK
+                edge, band = cell - 32, cell < 32
+                yield pd.DataFrame({
+                    "f": rows["f"].to_numpy()[hit // (16 * _PER_BLOCK)], "m": hit // _PER_BLOCK % 16, "kind": np.where(band, "band", "edge"),
+                    "slot": np.where(band, cell, np.array(_CATEGORIES)[edge % 4]), "class": np.where(band, 0, edge // 4), "err": err[hit], "n": n[hit],
+                })
+
+    return _narrow(picture_pairs(spark, sf_dir).select("f", "a", "b")).mapInPandas(run, "f long, m long, kind string, slot long, class long, err long, n long")
 
 
 _OFFSET = "least(greatest((err + CASE WHEN err >= 0 THEN n {div} 2 ELSE -(n {div} 2) END) {div} n, -7), 7)"
@@ -170,9 +203,7 @@ def clamped_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bands = _bands(spark, sf_dir).selectExpr("f", "m", "'band' kind", "band slot", "0L class", "err", "n")
-    edges = _edges(spark, sf_dir).selectExpr("f", "m", "'edge' kind", "category slot", "class", "err", "n")
-    return bands.unionByName(edges).where("n > 0").selectExpr("*", f"{_OFFSET.format(div='div')} off")
+    return _cells(spark, sf_dir).selectExpr("*", f"{_OFFSET.format(div='div')} off")
 
 
 @query(f"{_BOTH} SELECT f, ((i // 64) // 16) * 4 + (i % 64) // 16 AS m, sum((b[i + 1] + CASE WHEN b[i + 1] // 8 BETWEEN 14 AND 17 THEN ([1, -2, 3, -1])[b[i + 1] // 8 - 13] ELSE 0 END) * (i + 1))::BIGINT AS checksum FROM pp, range(0, 4096) o(i) GROUP BY ALL")
@@ -196,13 +227,14 @@ cand AS (SELECT f, m, 0 AS seq, 0 AS gain, 2 AS bits FROM (SELECT DISTINCT f, m
 SELECT f, m, arg_min(seq, struct_pack(c := {RATE} * bits - gain, s := seq))::BIGINT AS choice, min({RATE} * bits - gain)::BIGINT AS cost FROM cand GROUP BY f, m""")
 def offset_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Off, 29 band positions and 4 classes by cost; the error's change follows from counts and sums alone."""
-    gain = _offsets(spark, sf_dir).selectExpr("*", "2 * off * err - n * off * off gain", "if(off = 0, 1L, 4L) bits")
-    bands = gain.where("kind = 'band'").selectExpr("f", "m", "explode(sequence(greatest(slot - 3, 0L), least(slot, 28L))) s", "gain", "bits", "off").selectExpr("f", "m", "1 + s seq", "7L head", "gain", "bits", "off")
-    edges = gain.where("kind = 'edge'").selectExpr("f", "m", "30 + class seq", "4L head", "gain", "bits", "off")
-    sums = bands.unionByName(edges).groupBy("f", "m", "seq").agg(F.expr(f"{RATE} * (max(head) + 4 - count(*) + sum(bits)) - sum(gain) cost"), F.expr("max(abs(off)) most"))
-    cand = sums.where("most > 0").select("f", "m", "seq", "cost")
-    off = gain.select("f", "m").distinct().selectExpr("f", "m", "0L seq", f"{RATE} * 2L cost")
-    return cand.unionByName(off).groupBy("f", "m").agg(F.min(F.struct("cost", "seq")).alias("b")).selectExpr("f", "m", "b.seq choice", "b.cost cost")
+    gain = _offsets(spark, sf_dir).selectExpr("f", "m", "kind", "slot", "class", "off", "2 * off * err - n * off * off gain", "if(off = 0, 1L, 4L) bits")
+    # the candidates that a cell counts for: off, and its class, or the positions whose four bands hold it
+    seqs = "concat(array(0L), if(kind = 'edge', array(30 + class), transform(sequence(greatest(slot - 3, 0L), least(slot, 28L)), s -> 1 + s)))"
+    rows = gain.selectExpr("f", "m", f"explode({seqs}) seq", "gain", "bits", "off")
+    head = "case when seq = 0 then 2 else if(seq < 30, 7, 4) + 4 - count(*) + sum(bits) end"
+    sums = rows.groupBy("f", "m", "seq").agg(F.expr(f"{RATE} * ({head}) - if(seq = 0, 0, sum(gain)) cost"), F.expr("max(abs(off)) most"))
+    best = sums.where("most > 0 or seq = 0").groupBy("f", "m").agg(F.min(F.struct("cost", "seq")).alias("b"))
+    return best.selectExpr("f", "m", "b.seq choice", "b.cost cost")
 
 
 # ---- interpolation ------------------------------------------------------------------------------------------
@@ -270,10 +302,13 @@ _MV = "struct_pack(cost := cost, dist := dx * dx + dy * dy, seq := seq)"
 @query(f"""{_SEARCH}, c AS (SELECT f, m, dx, dy, (dy + 4) * 9 + dx + 4 AS seq, {_sad_sql('b', '(px + dx)', '(py + dy)')} + {RATE} * (abs(dx) + abs(dy) + 1) AS cost FROM mbs, range(-4, 5) u(dx), range(-4, 5) v(dy) WHERE px + dx BETWEEN 0 AND 48 AND py + dy BETWEEN 0 AND 48)
 SELECT f, m, arg_min(dx, {_MV}) AS dx, arg_min(dy, {_MV}) AS dy, min(cost)::BIGINT AS cost FROM c GROUP BY f, m""")
 def motion_search_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All displacements up to 4: candidates are pruned to the picture before any pixel is read."""
-    grid = "filter(transform(sequence(0, 80), s -> struct(s % 9 - 4 dx, s div 9 - 4 dy, s)), c -> px + c.dx between 0 and 48 and py + c.dy between 0 and 48)"
-    best = let("z", "z", f"array_min(transform({grid}, c -> struct({_sad('b', 'px + c.dx', 'py + c.dy')} + {RATE} * (abs(c.dx) + abs(c.dy) + 1) cost, c.dx * c.dx + c.dy * c.dy dist, c.s seq, c.dx dx, c.dy dy)))")
-    return _blocks(spark, sf_dir).selectExpr("f", "m", f"{best} c").selectExpr("f", "m", "cast(c.dx as bigint) dx", "cast(c.dy as bigint) dy", "c.cost cost")
+    """All displacements up to 4: only the window around a block is read."""
+
+    def found(block: np.ndarray, refs: list[np.ndarray], x: int, y: int) -> tuple[int, int, int]:
+        top, left = max(y - 4, 0), max(x - 4, 0)
+        return block_search.full(block_search.sads(block, refs[0][top : y + 20, left : x + 20]), x - left, y - top, RATE, reach=4)
+
+    return _searched(picture_pairs(spark, sf_dir).select("f", "a", "b"), ["dx", "dy", "cost"], found)
 
 
 def _fine_sql() -> str:
@@ -315,7 +350,7 @@ def _searched(rows: DataFrame, columns: list[str], found) -> DataFrame:
                         out.append((f, m, *row))
             yield pd.DataFrame(out, columns=["f", "m", *columns])
 
-    return rows.mapInPandas(run, ", ".join(f"{c} long" for c in ["f", "m", *columns]))
+    return _narrow(rows).mapInPandas(run, ", ".join(f"{c} long" for c in ["f", "m", *columns]))
 
 
 @query()
