@@ -82,7 +82,7 @@ _QUARTER = (1 << 30) - 1
 
 
 def coder_sql() -> str:
-    """CTEs bn, ends, st, coded: the arithmetic code of each seq of b(seq, i, bit, ctx), i from 1, one step of the interval a row. For
+    """CTEs bn, ends, steps, coded: the arithmetic code of each seq of b(seq, i, bit, ctx), i from 1, one step of the interval a row. For
     WITH RECURSIVE, and sequences too short for the counts' halving."""
     act = f"CASE WHEN xor(low, high) >> 31 = 0 THEN 0 WHEN low > {_QUARTER} AND high <= {3 * _QUARTER} THEN 1 ELSE 2 END"
     middle = "low + (high - low) * n0 // (n0 + n1)"
@@ -90,7 +90,7 @@ def coder_sql() -> str:
     return f"""bn AS (SELECT seq, i, bit, 1 + count(*) FILTER (bit = 0) OVER w AS n0, 1 + count(*) FILTER (bit = 1) OVER w AS n1
   FROM b WINDOW w AS (PARTITION BY seq, ctx ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 ends AS (SELECT seq, max(i) AS last FROM b GROUP BY seq),
-st AS (
+steps AS (
   SELECT seq, last, 1::BIGINT AS i, 0::BIGINT AS low, 4294967295::BIGINT AS high, 0::BIGINT AS pending, ''::VARCHAR AS code FROM ends
   UNION ALL
   SELECT s.seq, last, CASE WHEN act = 2 THEN s.i + 1 ELSE s.i END,
@@ -98,9 +98,9 @@ st AS (
     CASE WHEN act < 2 THEN {twice.format("high")} + 1 WHEN bit = 0 THEN {middle} ELSE high END,
     CASE act WHEN 0 THEN 0 WHEN 1 THEN pending + 1 ELSE pending END,
     CASE WHEN act > 0 THEN code WHEN low >> 31 = 1 THEN code || '1' || repeat('0', pending) ELSE code || '0' || repeat('1', pending) END
-  FROM (SELECT *, {act} AS act FROM st) s LEFT JOIN bn ON bn.seq = s.seq AND bn.i = s.i WHERE act < 2 OR s.i <= last),
+  FROM (SELECT *, {act} AS act FROM steps) s LEFT JOIN bn ON bn.seq = s.seq AND bn.i = s.i WHERE act < 2 OR s.i <= last),
 coded AS (SELECT seq, code || CASE WHEN low < {_QUARTER} THEN '0' || repeat('1', pending + 1) ELSE '1' || repeat('0', pending + 1) END AS code
-  FROM (SELECT *, {act} AS act FROM st) WHERE act = 2 AND i > last)"""
+  FROM (SELECT *, {act} AS act FROM steps) WHERE act = 2 AND i > last)"""
 
 
 _GOLOMB = f"""g AS (SELECT seq, pos, v, v + 1 AS z, {duck.bitlen('v + 1')} AS n FROM sym),

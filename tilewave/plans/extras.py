@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tilewave.functions import tables
 from tilewave.functions.exprs import let, total
-from tilewave.operators import views
+from tilewave.operators import offset_table, views
 from tilewave.plans import containers, duck, filters
-from tilewave.plans.registry import query
+from tilewave.plans.codes import coder_sql
+from tilewave.plans.registry import SQL, query
 
 
 @query("""WITH c AS (SELECT n, r, c FROM (SELECT unnest([4, 8]) AS n), range(0, 8) a(r), range(0, 8) b(c) WHERE r < n AND c < n),
@@ -147,6 +148,55 @@ def offset_merge_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("f", "m", "own", "left_cost", "top_cost", taken)
 
 
+def _signed_sql(v: str) -> str:
+    z = f"(CASE WHEN {v} = 0 THEN 1 ELSE 2 * abs({v}) + ({v} < 0)::INT END)"
+    return f"repeat('0', {duck.bitlen(z)} - 1) || ltrim({z}::BIGINT::BIT::VARCHAR, '0')"
+
+
+_MERGED, _CHOSEN = SQL["offset_merge_decision"].replace("WITH ", "WITH RECURSIVE ", 1).split("\nSELECT c.f, c.m, c.cost AS own", 1)
+_TABLE = f"""{_MERGED}, dec AS (SELECT c.f, c.m, c.cost AS own{_CHOSEN}), p AS (SELECT dec.f, dec.m, taken, choice FROM dec JOIN c ON c.f = dec.f AND c.m = dec.m),
+o AS (SELECT q.f, q.m, q.k, taken, choice, coalesce(max(u.off) FILTER (u.slot = CASE WHEN choice < 30 THEN choice - 1 + k ELSE ([-2, -1, 1, 2])[k + 1] END), 0) AS off
+ FROM (SELECT * FROM p, range(0, 4) r(k)) q LEFT JOIN used u ON u.f = q.f AND u.m = q.m GROUP BY ALL),
+tok AS (SELECT f, m, 0 AS part, (taken = 'left')::INT::VARCHAR AS bits, 0 AS ctx FROM p WHERE m % 4 > 0
+ UNION ALL SELECT f, m, 1, (taken = 'top')::INT::VARCHAR, 0 FROM p WHERE taken <> 'left' AND m >= 4
+ UNION ALL SELECT f, m, 2, CASE WHEN choice = 0 THEN '00' WHEN choice < 30 THEN '01' ELSE '10' END, 1 FROM p WHERE taken = 'own'
+ UNION ALL SELECT f, m, 3, CASE WHEN choice < 30 THEN {_signed_sql('(choice - 1)')} ELSE (['00', '10', '01', '11'])[choice - 29] END, CASE WHEN choice < 30 THEN 3 ELSE 2 END FROM p WHERE taken = 'own' AND choice > 0
+ UNION ALL SELECT f, m, 4 + k, {_signed_sql('off')}, 4 FROM o WHERE taken = 'own' AND choice > 0
+ UNION ALL SELECT f, m, 8, '00', 1 FROM p WHERE taken = 'own'),
+b AS (SELECT f AS seq, ctx, row_number() OVER (PARTITION BY f ORDER BY m, part, k) AS i, substr(bits, (k + 1)::BIGINT, 1)::INT AS bit FROM tok, LATERAL (SELECT unnest(range(0, length(bits))) AS k))"""
+_SHOWN = "CASE WHEN taken <> 'own' THEN taken WHEN choice = 0 THEN '0:0:' ELSE CASE WHEN choice < 30 THEN '2:' || (choice - 1) ELSE '1:' || (choice - 30) END || ':' || offs END"
+
+
+@query(f"""{_TABLE}, {coder_sql()}, shown AS (SELECT f, string_agg({_SHOWN}, ' ' ORDER BY m) AS decoded FROM (SELECT f, m, taken, choice, string_agg(off, ',' ORDER BY k) AS offs FROM o GROUP BY ALL) GROUP BY f)
+SELECT f, code, length(code)::BIGINT AS bits, decoded FROM coded JOIN shown ON seq = f""")
+def offset_table_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each picture's table of merged and own offset parameters in the arithmetic coder's contexts, and the table decoded from it."""
+    own = filters.offset_search(spark, sf_dir).select("f", "m", "choice")
+    slots = _SLOTS.replace("c.choice", "choice").replace("o.", "")
+    used = own.join(filters._offsets(spark, sf_dir), ["f", "m"]).where(slots).groupBy("f", "m").agg(F.map_from_entries(F.collect_list(F.struct("slot", "off"))).alias("offs"))
+    at = "if(choice < 30, choice - 1 + k, element_at(array(-2L, -1L, 1L, 2L), int(k + 1)))"
+    four = f"transform(sequence(0L, 3L), k -> coalesce(try_element_at(offs, {at}), 0L)) four"
+    rows = own.join(used, ["f", "m"], "left").join(offset_merge_decision(spark, sf_dir).select("f", "m", "taken"), ["f", "m"])
+    pictures = rows.selectExpr("f", "m", "taken", "choice", four).groupBy("f").agg(F.sort_array(F.collect_list(F.struct("m", "taken", "choice", "four"))).alias("t"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for f, taken, choice, four in zip(batch["f"], batch["taken"], batch["choice"], batch["four"]):
+                blocks = []
+                for how, c, offsets in zip(taken, choice, four):
+                    offsets = tuple(map(int, offsets))
+                    own = (offset_table.OFF, 0, ()) if c == 0 else (offset_table.BAND, int(c) - 1, offsets) if c < 30 else (offset_table.EDGE, int(c) - 30, offsets)
+                    blocks.append(own if how == "own" else how)
+                code = offset_table.encode(blocks, 4)
+                back = offset_table.decode(code, len(blocks), 4)
+                shown = [x if isinstance(x, str) else f"{x[0]}:{x[1]}:{','.join(map(str, x[2]))}" for x in back]
+                out.append((f, "".join(map(str, code)), len(code), " ".join(shown)))
+            yield pd.DataFrame(out, columns=["f", "code", "bits", "decoded"])
+
+    return pictures.selectExpr("f", "t.taken", "t.choice", "t.four").mapInPandas(run, "f long, code string, bits long, decoded string")
+
+
 @query(f"WITH {duck.PIX} SELECT f, count(*)::BIGINT AS n, sum(p * (y * 64 + x + 1))::BIGINT AS checksum FROM pix WHERE x < least(64 - f % 7, 60) AND y < least(64 - f % 5, 62) GROUP BY f")
 def crop_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A picture cut to the smaller of two extents."""
