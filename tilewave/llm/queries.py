@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewave.llm import line_dedup, url_filter
+from tilewave.llm import divergence, line_dedup, url_filter
 from tilewave.llm.common import table
 
 #: The rules that op10 is asked to apply.
@@ -80,6 +80,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewave.llm.periodic import run_digests
+
+    return run_digests(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewave.llm.divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -91,9 +103,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kd_sharding": op8_kd_sharding,
     "op9_dart_minhash": op9_dart_minhash,
     "op10_url_filter": op10_url_filter,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
     "op10_url_filter": url_filter.sql(URL_RULES),
+    "op13_source_divergence": divergence.SQL,
 }
