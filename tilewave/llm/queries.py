@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewave.llm import divergence, line_dedup, url_filter
+from tilewave.llm import divergence, line_dedup, substring_dedup, url_filter
 from tilewave.llm.common import table
 
 #: The rules that op10 is asked to apply.
@@ -80,6 +80,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewave.llm.substring_dedup import repeat_digests
+
+    return repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewave.llm.periodic import run_digests
 
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kd_sharding": op8_kd_sharding,
     "op9_dart_minhash": op9_dart_minhash,
     "op10_url_filter": op10_url_filter,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_source_divergence": op13_source_divergence,
 }
@@ -110,5 +117,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
     "op10_url_filter": url_filter.sql(URL_RULES),
+    "op11_substring_dedup": substring_dedup.SQL,
     "op13_source_divergence": divergence.SQL,
 }
