@@ -36,6 +36,7 @@ _TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 3
 STRIPE = "lang string, term string, df long, sources array<string>, counts array<long>"
 _ARROW = pa.schema([("lang", pa.string()), ("term", pa.string()), ("df", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 SCALE = 10**9
+SALTS = 64
 #: Matrix cells (terms x sources) that a block of stripes takes at a time.
 BLOCK = 1 << 21
 
@@ -78,30 +79,37 @@ def folded(batches: Iterator[pa.RecordBatch], max_cells: int = MAX_CELLS) -> Ite
 
 
 def merged(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:
-    """Stripes sorted by (lang, term) -> one for each kept term."""
+    """Stripes sorted by (lang, term) -> one for each kept term. The last key of a batch waits for what the next one has of it."""
     key, df, sums = None, 0, {}
     rows: list[tuple] = []
-
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
-        rows.clear()
-        return out
-
     for batch in batches:
-        for lang, term, n, sources, counts in zip(*(c.to_pylist() for c in batch.columns)):
-            if (lang, term) != key:
-                if key and df >= min_docs:
+        if not batch.num_rows:
+            continue
+        lang, term, _, sources, counts = batch.columns
+        changes = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1])).to_numpy(zero_copy_only=False)
+        begin = np.r_[0, np.flatnonzero(changes) + 1]
+        each = np.add.reduceat(batch.column(2).to_numpy(), begin)
+        stop = np.r_[begin[1:], batch.num_rows]
+        first = (lang[0].as_py(), term[0].as_py())
+        if first != key:
+            if key and df >= min_docs:
+                rows.append((*key, df, list(sums), list(sums.values())))
+            key, df, sums = first, 0, {}
+        for k in np.union1d(np.flatnonzero(each >= min_docs), [0, len(begin) - 1]).tolist():
+            if k:
+                if df >= min_docs:
                     rows.append((*key, df, list(sums), list(sums.values())))
-                key, df, sums = (lang, term), 0, {}
-            df += n
-            for s, c in zip(sources, counts):
+                key, df, sums = (lang[int(begin[k])].as_py(), term[int(begin[k])].as_py()), 0, {}
+            df += int(each[k])
+            part = slice(int(begin[k]), int(stop[k]))
+            for s, c in zip(sources[part].flatten().to_pylist(), counts[part].flatten().to_pylist()):
                 sums[s] = sums.get(s, 0) + c
-        if len(rows) >= 10_000:
-            yield flush()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
+            rows.clear()
     if key and df >= min_docs:
         rows.append((*key, df, list(sums), list(sums.values())))
-    if rows:
-        yield flush()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
 
 
 def shares(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -176,8 +184,10 @@ def source_divergence(docs: DataFrame, min_docs: int = 30, top: int = 50, max_ce
     groups = scratch(groups.join(sums, ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n")), "groups")
     terms = kept.groupBy("lang").agg(F.count("*").alias("v"))
     by_lang = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("g")).join(terms, "lang")
-    totals = by_lang.select("lang", F.col("g.source").alias("of"), F.col("g.n").alias("ns"), "v")
-    wide = kept.select("lang", "term", "sources", "counts").join(totals, "lang")
+    # a language may have most of the terms: its totals stand once for each of SALTS shares of them
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    totals = by_lang.select("lang", F.col("g.source").alias("of"), F.col("g.n").alias("ns"), "v", salts)
+    wide = kept.select("lang", F.pmod(F.xxhash64("term"), F.lit(SALTS)).alias("salt"), "term", "sources", "counts").join(totals, ["lang", "salt"]).drop("salt")
     parts = wide.mapInArrow(lambda batches: emitted(batches, top), "lang string, source string, part string, item string, value long")
     parts = scratch(parts, "divergences")
     other = groups.select("lang", F.col("source").alias("item"))
