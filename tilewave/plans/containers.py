@@ -125,11 +125,13 @@ def display_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAMS = [container.Stream(container.VIDEO, 320, 240, 30.0), container.Stream(container.AUDIO, sample_rate=RATE, channels=2, bit_depth=16, quality=8)]
 
 
-def _written(spark: SparkSession, sf_dir: str) -> str:
-    """Events as packets in a container of part files. The sink writes where its tasks run, into the shared folder."""
+def _written(spark: SparkSession, sf_dir: str, by: str | None = None) -> str:
+    """Events as packets in a container of part files, by ranges of a column if one is given. The sink writes where its tasks run, into
+    the shared folder."""
     spark.dataSource.register(container.ContainerSource)
     at = f"{shared_dir(spark)}/containers/{uuid.uuid4().hex}"
     rows = views.table(spark, sf_dir, "events").selectExpr("cast(if(event_type in ('view', 'click'), 0, 1) as int) stream_id", "cast(if(event_type in ('view', 'click'), 0, 1) as int) stream_type", "unix_micros(cast(ts as timestamp)) ts_us", "cast(concat('p', coalesce(props, '')) as binary) payload")
+    rows = rows.repartitionByRange(by).sortWithinPartitions(by) if by else rows
     rows.write.format("packets").option("streams", json.dumps([asdict(s) for s in STREAMS])).mode("append").save(at)
     return at
 
@@ -168,6 +170,33 @@ def container_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("stream_id").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.expr("sum(ts_us % 1000003) checksum"))
 
 
+@query(f"WITH {_EVENTS}, b AS (SELECT quantile_disc(ts_us, 0.50) AS low, quantile_disc(ts_us, 0.51) AS high FROM e) SELECT stream_id, ts_us, md5(payload) AS digest, count(*)::BIGINT AS n FROM e, b WHERE stream_id = 1 AND ts_us BETWEEN low AND high GROUP BY ALL")
+def container_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets of one stream in a hundredth of all time: the source meets the comparisons itself, by its index."""
+    at = _written(spark, sf_dir, "ts_us")
+    low, high = views.table(spark, sf_dir, "events").selectExpr("unix_micros(cast(ts as timestamp)) t").selectExpr("percentile_disc(0.5) within group (order by t)", "percentile_disc(0.51) within group (order by t)").first()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    found = spark.read.format("packets").option("pushdown", "true").load(at).where((F.col("stream_id") == 1) & F.col("ts_us").between(int(low), int(high)))
+    return found.selectExpr("cast(stream_id as bigint) stream_id", "ts_us", "md5(payload) digest").groupBy("stream_id", "ts_us", "digest").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_EVENTS} SELECT stream_id, ts_us, md5(payload) AS digest, count(*)::BIGINT AS n FROM e WHERE (ts_us // 1000000) % 100 = 7 GROUP BY ALL")
+def container_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets picked from their headers; then their payloads alone are read, each at its place."""
+    index = spark.read.format("packets").option("payload", "false").load(_written(spark, sf_dir)).drop("payload")
+    found = container.payloads_at(index.where("ts_us div 1000000 % 100 = 7"))
+    return found.selectExpr("cast(stream_id as bigint) stream_id", "ts_us", "md5(payload) digest").groupBy("stream_id", "ts_us", "digest").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_EVENTS} SELECT stream_id, count(*)::BIGINT AS n, sum(octet_length(encode(payload)))::BIGINT AS bytes, sum(ts_us % 1000003)::BIGINT AS checksum FROM e GROUP BY stream_id")
+def container_stream_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part files as a stream of bounded batches: two files and a third of the packets at most, and each packet once."""
+    n, at = views.table(spark, sf_dir, "events").count(), _written(spark, sf_dir)
+    rows = spark.readStream.format("packets").option("maxFilesPerTrigger", 2).option("maxPacketsPerTrigger", max(1, n // 3)).option("progress", f"{at.removeprefix('file://')}/_progress").load(at)
+    rows = drained(rows.selectExpr("cast(stream_id as bigint) stream_id", "size", "ts_us"), now=False)
+    return rows.groupBy("stream_id").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.expr("sum(ts_us % 1000003) checksum"))
+
+
 @query(f"WITH {duck.PCM} SELECT n // 4096 AS chunk, count(*)::BIGINT AS frames, sum(length(iv::VARCHAR))::BIGINT AS bytes, sum(iv)::BIGINT AS total FROM pcm GROUP BY 1")
 def raw_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each 4096 samples as a raw audio stream of one frame a sample, written and read again."""

@@ -55,21 +55,15 @@ def split_framed(buffers: DataFrame, column: str, keys: list[str]) -> DataFrame:
 @query("SELECT user_id AS part, event_id // 4096 AS chunk, row_number() OVER (PARTITION BY user_id, event_id // 4096 ORDER BY event_id) - 1 AS nth, props AS payload FROM events")
 def framed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's payloads framed into buffers, one per 4096 events, and split again."""
-    return _framed(views.table(spark, sf_dir, "events"))
+    return split_framed(framed_buffers(views.table(spark, sf_dir, "events")), "b", ["part", "chunk"]).selectExpr("part", "chunk", "nth", "cast(payload as string) payload")
 
 
-@query()
-def framed_split_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, tested row by row against brute force."""
-    return _framed(views.table(spark, sf_dir, "events"))
-
-
-def _framed(events: DataFrame) -> DataFrame:
+def framed_buffers(events: DataFrame) -> DataFrame:
+    """part, chunk, b: the payloads of a user's events in each 4096, one after another behind their lengths."""
     rows = events.selectExpr("user_id part", "event_id div 4096 chunk", "event_id", "cast(props as binary) p")
     frame = "concat(unhex(lpad(hex(shiftleft(length(x.p) & 255, 24) | shiftleft(length(x.p) & 65280, 8)), 8, '0')), x.p)"
     framed = rows.groupBy("part", "chunk").agg(F.sort_array(F.collect_list(F.struct("event_id", "p"))).alias("s"))
-    framed = framed.selectExpr("part", "chunk", f"aggregate(transform(s, x -> {frame}), cast('' as binary), (a, b) -> concat(a, b)) b")
-    return split_framed(framed, "b", ["part", "chunk"]).selectExpr("part", "chunk", "nth", "cast(payload as string) payload")
+    return framed.selectExpr("part", "chunk", f"aggregate(transform(s, x -> {frame}), cast('' as binary), (a, b) -> concat(a, b)) b")
 
 
 @query(f"WITH {duck.PIX}, b AS (SELECT DISTINCT f, m, (f + m) % 3 AS how, (f * 5 + m * 3) % 15 - 7 AS own FROM pix) SELECT b.f, b.m, CASE WHEN b.how = 0 AND b.m % 4 > 0 THEN l.own WHEN b.how = 1 AND b.m >= 4 THEN t.own ELSE b.own END AS offset_ FROM b LEFT JOIN b l ON l.f = b.f AND l.m = b.m - 1 LEFT JOIN b t ON t.f = b.f AND t.m = b.m - 4")

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,9 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def drained(stream: DataFrame) -> DataFrame:
-    """All rows that a stream puts out until its source is at its end."""
+def drained(stream: DataFrame, now: bool = True) -> DataFrame:
+    """All rows that a stream puts out until its source is at its end. now: the source can tell its end at once, as files do."""
     spark, at = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/streams/{uuid.uuid4().hex}"
-    run = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out")
-    run.awaitTermination()
+    sink = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/state")
+    if now:
+        sink.trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    else:
+        run = sink.start(f"{at}/out")
+        run.processAllAvailable()
+        run.stop()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+def message_log(messages: DataFrame, key: list[str], batches: int = 3) -> DataFrame:
+    """The stream of messages that were written to a log of a file for each batch, dealt out by their hash: in no order."""
+    spark, at = messages.sparkSession, f"{shared_dir(messages.sparkSession)}/logs/{uuid.uuid4().hex}"
+    cut = F.pmod(F.xxhash64(*key), F.lit(batches))
+    messages.repartitionByRange(batches, cut).write.parquet(at)
+    return spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(at)

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewave.plans.containers import place_of
+from tilewave.operators import views
+from tilewave.plans.extras import framed_buffers
 from tilewave.plans.registry import query
-from tilewave.plans.shared import drained
-from tilewave.streaming import buffers
+from tilewave.plans.shared import drained, message_log
+from tilewave.streaming import buffers, stateful
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,3 +69,42 @@ SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 21600000000 A
 def stream_session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = events(spark, sf_dir).withWatermark("ts", "10 minutes").groupBy(F.session_window("ts", "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n"))
     return drained(sums.selectExpr("user_id", "unix_micros(w.start) start_us", "unix_micros(w.end) end_us", "n"))
+
+
+# ---- typed state --------------------------------------------------------------------------------------------
+
+PIECE, HOP, RESET = 37, 8, 40
+
+
+@query("SELECT user_id AS part, event_id // 4096 AS chunk, row_number() OVER (PARTITION BY user_id, event_id // 4096 ORDER BY event_id) - 1 AS message, props AS payload FROM events")
+def stream_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """framed_split on a stream: each buffer comes cut into pieces that end anywhere, spread over batches in no order."""
+    buffers_ = framed_buffers(views.table(spark, sf_dir, "events"))
+    pieces = buffers_.selectExpr("part", "chunk", f"posexplode(transform(sequence(1, greatest(length(b), 1), {PIECE}), i -> substring(b, i, {PIECE}))) as (nth, data)")
+    stateful.stateful(spark)
+    log = message_log(pieces, ["part", "chunk", "nth"])
+    return drained(stateful.reassembled(log, ["part", "chunk"]).selectExpr("part", "chunk", "message", "cast(payload as string) payload"))
+
+
+_LAPPED = f"""WITH e AS (SELECT event_id // 1000 AS part, event_id % 1000 AS n, floor(value * 100 + 0.5)::BIGINT AS iv FROM events),
+h AS (SELECT part, n // {HOP} AS frame, n % {HOP} AS i, iv FROM e),
+f AS (SELECT part, frame, frame // {RESET} AS epoch, sum(iv)::BIGINT AS first FROM h GROUP BY ALL),
+o AS (SELECT h.part, h.frame, i, iv * (i + 1) AS own FROM h),
+b AS (SELECT h.part, h.frame + 1 AS frame, i, iv * ({HOP} - i) AS before FROM h)"""
+
+
+@query(f"""{_LAPPED} SELECT f.part, f.frame, f.first, sum((i + 1) * (own + CASE WHEN f.frame % {RESET} = 0 THEN 0 ELSE coalesce(b.before, 0) END))::BIGINT AS checksum
+FROM f JOIN o USING (part, frame) LEFT JOIN b USING (part, frame, i) GROUP BY ALL""")
+def stream_overlap_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of two hops, windowed up and down, as messages in no order over the batches; the state of a stream is what the frame before
+    leaves, and every fortieth frame resets it. The stream equals the batch overlap-add."""
+    hops = views.table(spark, sf_dir, "events").selectExpr("event_id div 1000 part", f"event_id % 1000 div {HOP} frame", f"event_id % {HOP} i", "cast(floor(value * 100 + 0.5) as bigint) iv")
+    hops = hops.groupBy("part", "frame").agg(F.sum("iv").alias("first"), F.map_from_entries(F.collect_list(F.struct("i", "iv"))).alias("x"))
+    at = f"transform(sequence(0L, {HOP - 1}L), i -> coalesce(x[i], 0L) * (i + 1))"
+    before = f"transform(sequence(0L, {HOP - 1}L), i -> coalesce(x[i], 0L) * ({HOP} - i))"
+    # a frame's halves: the window rises over the hop that it ends with the frame before, and falls over its own
+    earlier = hops.selectExpr("part", "frame + 1 frame", "first before")
+    frames = hops.join(earlier, ["part", "frame"], "left").selectExpr("part", "frame nth", f"frame % {RESET} = 0 reset", f"first - if(frame % {RESET} = 0, 0L, coalesce(before, 0L)) first", f"concat({at}, {before}) values")
+    stateful.stateful(spark)
+    out = drained(stateful.overlap_added(message_log(frames, ["part", "nth"]), ["part"], HOP))
+    return out.selectExpr("part", "frame", "first", "aggregate(transform(hop, (v, i) -> v * (i + 1)), 0L, (a, v) -> a + v) checksum")
