@@ -8,15 +8,6 @@ import numpy as np
 from tilewave.plans.catalogue import QUERIES
 
 
-def test_all_events_are_framed_and_split(spark, sf_dir):
-    want, nth = set(), defaultdict(int)
-    for user, event, props in duckdb.sql(f"SELECT user_id, event_id, props FROM '{sf_dir}/events.parquet' ORDER BY event_id").fetchall():
-        want.add((user, event // 4096, nth[user, event // 4096], props))
-        nth[user, event // 4096] += 1
-    got = [(r.part, r.chunk, r.nth, r.payload) for r in QUERIES["framed_split_all"](spark, sf_dir).collect()]
-    assert len(got) == len(want) and set(got) == want
-
-
 def test_all_coefficients_are_quantized(spark, sf_dir):
     from tilewave.operators import audio_coder
 
@@ -40,45 +31,75 @@ def test_wide_searches_find_far_moves():
 
     now, before = moved_pictures()
     assert block_search.full(block_search.sads(now[16:32, 32:48], before), 32, 16, 4) == (-22, 13, 4 * 36)
-    flat = np.full((64, 64), 90)
-    far = flat.copy()
-    flat[0:16, 16:32], far[16:32, 32:48] = 200, 200
-    assert block_search.coarse_to_fine(block_search.sads(flat[0:16, 16:32], far), 16, 0, 4) == (16, 16, 4 * 33)
     sizes = [len(picture_coder.encode_period([before, now], 8, radius)[0][1]) for radius in (2, 16)]
     assert sizes[1] < 0.85 * sizes[0]
 
 
-def test_wide_search_equals_brute_force(spark, sf_dir):
-    from tilewave.plans.filters import picture_pairs
+def test_ring_search_finds_what_a_full_search_finds():
+    from tilewave.operators import block_search
 
-    pairs = {r.f: [np.array(p).reshape(64, 64) for p in (r.a, r.b)] for r in picture_pairs(spark, sf_dir).collect()}
-    wide, fine, narrow = ({(r.f, r.m): (r.cost, r.dx, r.dy) for r in QUERIES[n](spark, sf_dir).collect()} for n in ("motion_search_full_wide", "motion_search_coarse_to_fine_wide", "motion_search_full"))
-    assert set(wide) == set(fine) == set(narrow)
-    for (f, m), got in wide.items():
-        a, b = pairs[f]
-        x, y = m % 4 * 16, m // 4 * 16
-        costs = [np.abs(a[y : y + 16, x : x + 16] - b[y + v : y + v + 16, x + u : x + u + 16]).sum() + 4 * (abs(u) + abs(v) + 1) for v in range(-31, 32) for u in range(-31, 32) if 0 <= x + u <= 48 and 0 <= y + v <= 48]
-        assert got[0] == min(costs) and got[0] <= fine[f, m][0] and got[0] <= narrow[f, m][0]
+    rng = np.random.default_rng(5)
+    now = rng.integers(0, 256, (5, 64, 64)).astype(np.int16)
+    ref = np.stack([np.roll(now[0], (13, -22), (0, 1)), now[1], np.full((64, 64), 128), rng.integers(0, 2, (64, 64)), now[4] // 2]).astype(np.int16)
+    now[3] = ref[3].T
+    dx, dy, cost, compared = block_search.ring_search(now, ref, 4)
+    for k in range(5):
+        for m in range(16):
+            x, y = m % 4 * 16, m // 4 * 16
+            assert (dx[k, m], dy[k, m], cost[k, m]) == block_search.full(block_search.sads(now[k, y : y + 16, x : x + 16].astype(int), ref[k].astype(int)), x, y, 4)
+    assert compared[1].max() == 1  # no motion: the bound rules all else out
 
 
-def test_chained_searches(spark, sf_dir):
+def test_pruning_spares_most_places_of_smooth_pictures():
     from tilewave.operators import block_search
 
-    now, before = moved_pictures()
-    block = now[16:32, 32:48]
-    half = (before[29:45, 10:26] + before[29:45, 11:27] + 1) // 2
-    assert (block_search.predicted(block, before, 32, 16, 4) == block).all()
-    assert block_search.subpel(half, before, 10, 29)[:2] == (0, 5)
-    x = np.linspace(0, 250, 64).astype(np.int64)[None, :] + np.zeros((64, 1), np.int64)
-    x[32:48, 16:32] = x[5:21, 21:37]
-    assert block_search.intra(block_search.sads(x[32:48, 16:32], x), 16, 32)[2] == 0
-    rows = {n: {(r.f, r.m): r for r in QUERIES[n](spark, sf_dir).collect()} for n in ("motion_search_intra", "motion_search_intra_refined", "bidir_average", "bidir_search", "subpel_search_at_best")}
-    coarse, fine = rows["motion_search_intra"], rows["motion_search_intra_refined"]
-    assert set(coarse) <= set(fine) and all(fine[k].cost <= coarse[k].cost for k in coarse) and any(fine[k].cost < coarse[k].cost for k in coarse)
-    still, moved = rows["bidir_average"], rows["bidir_search"]
-    assert set(still) == set(moved) and sum(moved[k].fwd for k in moved) < sum(still[k].fwd for k in still)
-    wide = {(r.f, r.m): (r.dx, r.dy) for r in QUERIES["motion_search_full_wide"](spark, sf_dir).collect()}
-    assert {k: (r.dx, r.dy) for k, r in rows["subpel_search_at_best"].items()} == wide
+    y, x = np.mgrid[0:64, 0:64]
+    now = np.stack([(x * 3 + y) % 256, 120 + 100 * np.sin(x / 9) * np.cos(y / 7)]).astype(np.int16)
+    _, _, _, compared = block_search.ring_search(now, np.roll(now, (2, 3), (1, 2)), 4)
+    assert compared.mean() < 0.2 * 33 * 33
+
+
+def test_subsample_search_equals_brute_force():
+    from tilewave.operators import block_search
+
+    rng = np.random.default_rng(7)
+    ref = rng.integers(0, 256, (64, 64))
+    at = lambda x, y: int(ref[min(max(y, 0), 63), min(max(x, 0), 63)])
+    tap = lambda f: (sum(w * f(o) for w, o in zip((1, -5, 20, 20, -5, 1), range(-2, 4))) + 16) >> 5
+
+    def half(x, y, u, v):
+        if not v:
+            return tap(lambda o: at(x + min(u, 0) + o, y))
+        if not u:
+            return tap(lambda o: at(x, y + min(v, 0) + o))
+        return tap(lambda o: tap(lambda i: at(x + min(u, 0) + i, y + min(v, 0) + o)))
+
+    now = np.array([[half(x, y, -1, 1) for x in range(64)] for y in range(64)])
+    now[:16, :16] = [[(at(x, y) + half(x, y, 1, 0) + 1) >> 1 for x in range(16)] for y in range(16)]
+    now[48:, 48:] = ref[48:, 48:]
+    zero = np.zeros((1, 16), int)
+    place, sad, made = block_search.subsample_search(now[None].astype(np.int16), ref[None].astype(np.int16), zero, zero)
+    for m in range(16):
+        x0, y0 = m % 4 * 16, m // 4 * 16
+        best = (np.abs(now - ref)[y0 : y0 + 16, x0 : x0 + 16].sum(), -1)
+        for k, (u, v) in enumerate([(-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]):
+            if 0 <= x0 + u <= 48 and 0 <= y0 + v <= 48:
+                block = np.array([[half(x, y, u, v) for x in range(x0, x0 + 16)] for y in range(y0, y0 + 16)])
+                for q, b in ((0, block), (1, (ref[y0 : y0 + 16, x0 : x0 + 16] + block + 1) >> 1)):
+                    best = min(best, (np.abs(now[y0 : y0 + 16, x0 : x0 + 16] - b).sum(), 2 * k + q))
+        assert (sad[0, m], place[0, m]) == best
+        assert np.abs(now[y0 : y0 + 16, x0 : x0 + 16] - made[0, m]).sum() == sad[0, m]
+    assert place[0, 0] == 9 and place[0, 15] == -1 and sad[0, 5] == 0
+
+
+def test_slots_hold_what_was_put_there_last(spark):
+    from tilewave.plans.searches import slot_contents
+
+    rows = [(0, 0, 0, 0, 0, 0), (0, 4, 1, 1, 0, 0), (0, 2, 2, 2, 0, 1), (0, 1, 3, 3, 0, 2), (0, 8, 5, 0, 1, 1), (0, 6, 6, 2, 1, 0), (1, 9, 7, 0, 0, 0), (1, 10, 8, 1, 0, 0)]
+    out = slot_contents(spark.createDataFrame(rows, "period long, display long, coded long, slot long, forward long, backward long"))
+    got = {r.display: (r.forward_picture, r.backward_picture) for r in out.collect()}
+    # those whose slots are empty in their period are left out
+    assert got == {4: (0, 0), 2: (0, 4), 1: (0, 2), 8: (4, 4), 6: (4, 8), 10: (9, 9)}
 
 
 def test_short_chunks_are_resampled(spark, sf_dir, tmp_path):

@@ -74,24 +74,6 @@ def merge_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("f", "m", "case when how = 0 and m % 4 > 0 then l when how = 1 and m >= 4 then t else own end offset_")
 
 
-def _sub(spark: bool, half: bool) -> str:
-    a = "z.b[int((py + j div 16) * 64 + px + j % 16)]" if spark else "b[(py + j // 16) * 64 + px + j % 16 + 1]"
-    c = "z.b[int((py + c.dy + j div 16) * 64 + px + c.dx + j % 16)]" if spark else "b[(py + dy + j // 16) * 64 + px + dx + j % 16 + 1]"
-    div = "div" if spark else "//"
-    return f"({a} + {c} + 1) {div} 2" if half else f"(3 * {a} + {c} + 2) {div} 4"
-
-
-@query(f"""{filters._SEARCH}, c AS (SELECT f, m, h, dx, dy, h * 9 + (dy + 1) * 3 + dx + 1 AS seq, (SELECT sum(abs(a[(py + j // 16) * 64 + px + j % 16 + 1] - CASE WHEN h = 0 THEN {_sub(False, True)} ELSE {_sub(False, False)} END))::BIGINT FROM range(0, 256) q(j)) AS cost
- FROM mbs, range(0, 2) t(h), range(-1, 2) u(dx), range(-1, 2) v(dy) WHERE (dx <> 0 OR dy <> 0) AND px + dx BETWEEN 0 AND 48 AND py + dy BETWEEN 0 AND 48)
-SELECT f, m, arg_min(seq, struct_pack(cost := cost, seq := seq)) AS place, min(cost)::BIGINT AS sad FROM c GROUP BY f, m""")
-def subpel_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight directions by half and quarter samples around no motion, blended from the whole-sample blocks."""
-    grid = "filter(transform(sequence(0, 17), s -> struct(s div 9 h, s % 9 % 3 - 1 dx, s % 9 div 3 - 1 dy, s)), c -> (c.dx != 0 or c.dy != 0) and px + c.dx between 0 and 48 and py + c.dy between 0 and 48)"
-    sad = total(f"transform(sequence(0, 255), j -> abs(z.a[int((py + j div 16) * 64 + px + j % 16)] - if(c.h = 0, {_sub(True, True)}, {_sub(True, False)})))")
-    best = let("z", "z", f"array_min(transform({grid}, c -> struct({sad} cost, c.s seq)))")
-    return filters._blocks(spark, sf_dir).selectExpr("f", "m", f"{best} c").selectExpr("f", "m", "cast(c.seq as bigint) place", "c.cost sad")
-
-
 @query(f"{containers._schedule_sql()} SELECT CASE WHEN d = 0 THEN 'I' WHEN place = 0 THEN 'P' ELSE 'B' END AS kind, count(*)::BIGINT AS n, sum(size)::BIGINT AS bytes, round(avg(size), 4) AS mean FROM g JOIN pkt ON pkt.seq = g.display GROUP BY 1")
 def bytes_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coded sizes matched with the schedule by display place."""

@@ -296,134 +296,6 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picture_pairs(spark, sf_dir).selectExpr("f", "struct(a, b) z", "explode(sequence(0L, 15L)) m").selectExpr("f", "m", "z", "(m % 4) * 16 px", "(m div 4) * 16 py")
 
 
-_MV = "struct_pack(cost := cost, dist := dx * dx + dy * dy, seq := seq)"
-
-
-@query(f"""{_SEARCH}, c AS (SELECT f, m, dx, dy, (dy + 4) * 9 + dx + 4 AS seq, {_sad_sql('b', '(px + dx)', '(py + dy)')} + {RATE} * (abs(dx) + abs(dy) + 1) AS cost FROM mbs, range(-4, 5) u(dx), range(-4, 5) v(dy) WHERE px + dx BETWEEN 0 AND 48 AND py + dy BETWEEN 0 AND 48)
-SELECT f, m, arg_min(dx, {_MV}) AS dx, arg_min(dy, {_MV}) AS dy, min(cost)::BIGINT AS cost FROM c GROUP BY f, m""")
-def motion_search_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All displacements up to 4: only the window around a block is read."""
-
-    def found(block: np.ndarray, refs: list[np.ndarray], x: int, y: int) -> tuple[int, int, int]:
-        top, left = max(y - 4, 0), max(x - 4, 0)
-        return block_search.full(block_search.sads(block, refs[0][top : y + 20, left : x + 20]), x - left, y - top, RATE, reach=4)
-
-    return _searched(picture_pairs(spark, sf_dir).select("f", "a", "b"), ["dx", "dy", "cost"], found)
-
-
-def _fine_sql() -> str:
-    out, source = "", f"SELECT f, m, 0::BIGINT AS dx, 0::BIGINT AS dy, {_sad_sql('b', 'px', 'py')} + {RATE} AS cost, 0::BIGINT AS dist FROM mbs"
-    out += f", g4 AS ({source})"
-    for step, prev in ((4, "g4"), (2, "g2"), (1, "g1")):
-        name = {4: "g2", 2: "g1", 1: "g0"}[step]
-        cand = f"SELECT g.f, g.m, g.dx + {step} * ux AS dx, g.dy + {step} * uy AS dy, (uy + 1) * 3 + ux + 1 AS seq, px, py, a, b FROM {prev} g JOIN mbs USING (f, m), range(-1, 2) u(ux), range(-1, 2) v(uy) WHERE px + g.dx + {step} * ux BETWEEN 0 AND 48 AND py + g.dy + {step} * uy BETWEEN 0 AND 48"
-        costed = f"SELECT f, m, dx, dy, {_sad_sql('b', '(px + dx)', '(py + dy)')} + {RATE} * (abs(dx) + abs(dy) + 1) AS cost, dx * dx + dy * dy AS dist, seq FROM ({cand})"
-        pick = "struct_pack(cost := cost, dist := dist, seq := seq)"
-        out += f", {name} AS (SELECT f, m, arg_min(dx, {pick}) AS dx, arg_min(dy, {pick}) AS dy, min(cost) AS cost, arg_min(dist, {pick}) AS dist FROM (SELECT *, -1 AS seq FROM {prev} UNION ALL BY NAME {costed}) GROUP BY f, m)"
-    return out
-
-
-@query(f"{_SEARCH}{_fine_sql()} SELECT f, m, dx, dy, cost::BIGINT AS cost FROM g0")
-def motion_search_coarse_to_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps 4, 2, 1: a 3x3 grid around the best so far, on lower cost, or equal cost and a smaller displacement."""
-    rows = _blocks(spark, sf_dir).selectExpr("*", f"{let('z', 'z', f'struct({_sad_zero()} cost, 0L dist, -1L seq, 0L dx, 0L dy)')} g")
-    for step in (4, 2, 1):
-        grid = f"filter(transform(sequence(0L, 8L), s -> struct(g.dx + {step} * (s % 3 - 1) dx, g.dy + {step} * (s div 3 - 1) dy, s)), c -> px + c.dx between 0 and 48 and py + c.dy between 0 and 48)"
-        around = f"transform({grid}, c -> struct({_sad('b', 'px + c.dx', 'py + c.dy')} + {RATE} * (abs(c.dx) + abs(c.dy) + 1) cost, c.dx * c.dx + c.dy * c.dy dist, c.s seq, c.dx dx, c.dy dy))"
-        kept = "array(struct(g.cost cost, g.dist dist, -1L seq, g.dx dx, g.dy dy))"
-        rows = rows.selectExpr("f", "m", "z", "px", "py", f"{let('z', 'z', let('g', 'g', f'array_min(concat({kept}, {around}))'))} g")
-    return rows.selectExpr("f", "m", "g.dx dx", "g.dy dy", "g.cost cost")
-
-
-def _searched(rows: DataFrame, columns: list[str], found) -> DataFrame:
-    """f, m and columns of found(block, pictures after the first, x, y) for each block of a row's first picture; none if None."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for f, *pictures in batch.itertuples(index=False):
-                now, *refs = (np.array(p, np.int64).reshape(64, 64) for p in pictures)
-                for m in range(16):
-                    x, y = m % 4 * 16, m // 4 * 16
-                    row = found(now[y : y + 16, x : x + 16], refs, x, y)
-                    if row is not None:
-                        out.append((f, m, *row))
-            yield pd.DataFrame(out, columns=["f", "m", *columns])
-
-    return _narrow(rows).mapInPandas(run, ", ".join(f"{c} long" for c in ["f", "m", *columns]))
-
-
-@query()
-def motion_search_full_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All displacements that radius 16 reaches, up to 31."""
-    return _searched(picture_pairs(spark, sf_dir).select("f", "a", "b"), ["dx", "dy", "cost"], lambda block, refs, x, y: block_search.full(block_search.sads(block, refs[0]), x, y, RATE))
-
-
-@query()
-def motion_search_coarse_to_fine_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps 16, 8, 4, 2, 1."""
-    return _searched(picture_pairs(spark, sf_dir).select("f", "a", "b"), ["dx", "dy", "cost"], lambda block, refs, x, y: block_search.coarse_to_fine(block_search.sads(block, refs[0]), x, y, RATE))
-
-
-def _sad_zero() -> str:
-    return f"{_sad('b', 'px', 'py')} + {RATE}"
-
-
-@query(f"""{_SEARCH}, c AS (SELECT f, m, dx, dy, ((dy + 32) // 16) * 3 + (dx + 16) // 16 AS seq, {_sad_sql('a', '(px + dx)', '(py + dy)')} AS cost FROM mbs, (SELECT unnest([-16, 0, 16]) AS dx), (SELECT unnest([-32, -16, 0]) AS dy)
- WHERE px + dx BETWEEN 0 AND 48 AND py + dy BETWEEN 0 AND 48 AND NOT (dy > -16 AND dx > -16))
-SELECT f, m, arg_min(dx, struct_pack(cost := cost, seq := seq)) AS dx, arg_min(dy, struct_pack(cost := cost, seq := seq)) AS dy, min(cost)::BIGINT AS cost FROM c GROUP BY f, m""")
-def motion_search_intra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places in the part of the same picture that is coded already."""
-    grid = "filter(transform(sequence(0, 8), s -> struct((s % 3) * 16 - 16 dx, (s div 3) * 16 - 32 dy, s)), c -> px + c.dx between 0 and 48 and py + c.dy between 0 and 48 and not (c.dy > -16 and c.dx > -16))"
-    best = let("z", "z", f"array_min(transform({grid}, c -> struct({_sad('a', 'px + c.dx', 'py + c.dy')} cost, c.s seq, c.dx dx, c.dy dy)))")
-    rows = _blocks(spark, sf_dir).selectExpr("f", "m", f"{best} c").where("c is not null")
-    return rows.selectExpr("f", "m", "cast(c.dx as bigint) dx", "cast(c.dy as bigint) dy", "c.cost cost")
-
-
-@query(f"""WITH {_PICS}, t AS (SELECT c.f, ((i // 64) // 16) * 4 + (i % 64) // 16 AS m, c.pic[i + 1] AS p, b.pic[i + 1] AS x, n.pic[i + 1] AS y FROM pics c JOIN pics b ON b.f + 1 = c.f JOIN pics n ON n.f = c.f + 1, range(0, 4096) o(i)),
-s AS (SELECT f, m, sum(abs(p - x))::BIGINT AS fwd, sum(abs(p - y))::BIGINT AS bwd, sum(abs(p - ((x + y + 1) >> 1)))::BIGINT AS bi FROM t GROUP BY ALL)
-SELECT f, m, fwd, bwd, bi, CASE WHEN fwd <= bwd AND fwd <= bi + 8 * {RATE} THEN 0 WHEN bwd <= bi + 8 * {RATE} THEN 1 ELSE 2 END AS choice FROM s""")
-def bidir_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = views.pictures(spark, sf_dir)
-    three = picture_pairs(spark, sf_dir).join(now.selectExpr("f - 1 f", "pic c"), "f")
-    cut = "flatten(transform(sequence(0, 15), y -> slice({p}, int(((m div 4) * 16 + y) * 64 + (m % 4) * 16 + 1), 16)))"
-    rows = three.selectExpr("f", "a", "b", "c", "explode(sequence(0L, 15L)) m").selectExpr("f", "m", *[f"{let(p, 'p', cut.format(p='p'))} {p}" for p in "abc"])
-    mean = "zip_with(b, c, (x, y) -> shiftright(x + y + 1, 1))"
-    rows = rows.selectExpr("f", "m", *[f"{total(f'zip_with(a, {o}, (x, y) -> abs(x - y))')} {n}" for o, n in (("b", "fwd"), ("c", "bwd"), (mean, "bi"))])
-    return rows.selectExpr("f", "m", "fwd", "bwd", "bi", f"case when fwd <= bwd and fwd <= bi + 8 * {RATE} then 0L when bwd <= bi + 8 * {RATE} then 1L else 2L end choice")
-
-
-@query()
-def motion_search_intra_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The start grid of motion_search_intra, then steps 8, 4, 2, 1 around the best, in the part that is coded already."""
-    return _searched(views.pictures(spark, sf_dir).selectExpr("f", "pic", "pic again"), ["dx", "dy", "cost"], lambda block, refs, x, y: block_search.intra(block_search.sads(block, refs[0]), x, y))
-
-
-@query()
-def bidir_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole- and sub-sample searches in the pictures before and after, and the average of what they find."""
-
-    def found(block: np.ndarray, refs: list[np.ndarray], x: int, y: int) -> tuple:
-        before, after = (block_search.predicted(block, r, x, y, RATE) for r in refs)
-        fwd, bwd, bi = (int(np.abs(block - p).sum()) for p in (before, after, (before + after + 1) >> 1))
-        return fwd, bwd, bi, 0 if fwd <= bwd and fwd <= bi + 8 * RATE else 1 if bwd <= bi + 8 * RATE else 2
-
-    three = picture_pairs(spark, sf_dir).join(views.pictures(spark, sf_dir).selectExpr("f - 1 f", "pic c"), "f")
-    return _searched(three.select("f", "a", "b", "c"), ["fwd", "bwd", "bi", "choice"], found)
-
-
-@query()
-def subpel_search_at_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half and quarter samples around the best whole-sample place, with that place's displacement."""
-
-    def found(block: np.ndarray, refs: list[np.ndarray], x: int, y: int) -> tuple:
-        dx, dy, _ = block_search.full(block_search.sads(block, refs[0]), x, y, RATE)
-        sad, place, _ = block_search.subpel(block, refs[0], x + dx, y + dy)
-        return dx, dy, place, sad
-
-    return _searched(picture_pairs(spark, sf_dir).select("f", "a", "b"), ["dx", "dy", "place", "sad"], found)
-
-
 _VECTORS = "mv AS (SELECT DISTINCT f, m, m % 4 AS c, (f * 7 + m * 5) % 9 - 4 AS vx, (f * 3 + m * 11) % 9 - 4 AS vy FROM pix)"
 
 
