@@ -59,25 +59,6 @@ def adaptive_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.symbols(spark, sf_dir).selectExpr("seq", "cast(size(v) as bigint) n", f"round({step}, 6) + 0D cost")
 
 
-@query(f"{_SYM} SELECT count(DISTINCT seq)::BIGINT AS sequences, sum({duck.bitlen('v')})::BIGINT AS bits, 0::BIGINT AS errors FROM sym")
-def arith_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each sequence's bits, coded with a context per bit place and decoded again: no errors."""
-
-    def coded(batches):
-        for rows in batches:
-            out = []
-            for values in rows["v"]:
-                values = [int(v) for v in values]
-                bits = [int(b) for v in values for b in bin(v)[2:]]
-                contexts = [k for v in values for k in range(v.bit_length())]
-                back = arithmetic_coder.decode(arithmetic_coder.encode(bits, contexts), len(bits), contexts)
-                out.append((len(bits), sum(a != b for a, b in zip(bits, back)) + abs(len(bits) - len(back))))
-            yield pd.DataFrame(out, columns=["bits", "errors"])
-
-    found = views.symbols(spark, sf_dir).select("v").mapInPandas(coded, "bits long, errors long")
-    return found.agg(F.count("*").alias("sequences"), F.sum("bits").alias("bits"), F.sum("errors").alias("errors"))
-
-
 _QUARTER = (1 << 30) - 1
 
 

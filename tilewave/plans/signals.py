@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,18 +78,11 @@ def qp_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- resampling ---------------------------------------------------------------------------------------------
 
 
-@query(f"""{_PCM}, c AS (SELECT n // 1000 AS chunk, n % 1000 AS i, iv FROM pcm WHERE n // 1000 < (SELECT count(*) // 1000 FROM pcm)), o AS (SELECT chunk, j, j * 4 // 3 AS a, j * 4 % 3 AS part FROM (SELECT DISTINCT chunk FROM c), range(0, 750) t(j))
-SELECT o.chunk, j AS n, round(x.iv + (y.iv - x.iv) * part / 3.0, 4) AS v FROM o JOIN c x ON x.chunk = o.chunk AND x.i = a JOIN c y ON y.chunk = o.chunk AND y.i = least(a + 1, 999)""")
+@query(f"""{_PCM}, c AS (SELECT n // 1000 AS chunk, row_number() OVER (PARTITION BY n // 1000 ORDER BY n) - 1 AS i, iv FROM pcm), k AS (SELECT chunk, count(*) AS size FROM c GROUP BY chunk),
+o AS (SELECT chunk, size, j, j * 4 // 3 AS a, j * 4 % 3 AS part FROM k, LATERAL (SELECT unnest(range(0, (3 * size + 3) // 4)) AS j))
+SELECT o.chunk, j AS n, round(x.iv + (y.iv - x.iv) * part / 3.0, 4) AS v FROM o JOIN c x ON x.chunk = o.chunk AND x.i = a JOIN c y ON y.chunk = o.chunk AND y.i = least(a + 1, size - 1)""")
 def linear_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """4:3 by linear interpolation, in chunks of 1000 samples; the last sample stands in beyond a chunk."""
-    chunks = views.pcm(spark, sf_dir).groupBy(F.expr("n div 1000 chunk")).agg(F.sort_array(F.collect_list(F.struct("n", "iv"))).alias("s")).where("size(s) = 1000")
-    value = "transform(sequence(0, 749), j -> struct(cast(j as bigint) n, round(z[int(j * 4 div 3)].iv + (z[int(least(j * 4 div 3 + 1, 999))].iv - z[int(j * 4 div 3)].iv) * (j * 4 % 3) / 3D, 4) v))"
-    return chunks.selectExpr("chunk", f"inline(transform(array(s), z -> {value})[0])")
-
-
-@query()
-def linear_resample_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """linear_resample with short chunks over their own length: a last one, or one with gaps."""
+    """4:3 by linear interpolation, in chunks of 1000 samples or what there is of them; the last sample stands in beyond a chunk."""
     chunks = views.pcm(spark, sf_dir).groupBy(F.expr("n div 1000 chunk")).agg(F.sort_array(F.collect_list(F.struct("n", "iv"))).alias("s"))
     value = "transform(sequence(0, (3 * size(z) + 3) div 4 - 1), j -> struct(cast(j as bigint) n, round(z[int(j * 4 div 3)].iv + (z[int(least(j * 4 div 3 + 1, size(z) - 1))].iv - z[int(j * 4 div 3)].iv) * (j * 4 % 3) / 3D, 4) v))"
     return chunks.selectExpr("chunk", f"inline(transform(array(s), z -> {value})[0])")
@@ -111,24 +106,40 @@ def _hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.pcm(spark, sf_dir).selectExpr("v", "iv", f"inline(array(struct(n div {HOP} frame, n % {HOP} + {HOP} i), struct(n div {HOP} + 1 frame, n % {HOP} i)))")
 
 
-BANDS = 16
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frame, x: 1024 samples of each frame, zeros where there is none."""
+    found = _hops(spark, sf_dir).groupBy("frame").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("x"))
+    return found.selectExpr("frame", f"transform(sequence(0L, {SIZE - 1}L), i -> coalesce(x[i], 0D)) x")
+
+
+def _product(rows: DataFrame, matrix: np.ndarray, kind: str = "double", after: Callable[[np.ndarray], np.ndarray] = lambda y: y) -> DataFrame:
+    """frame, y of rows (frame, array): a batch's arrays times a matrix, in one product."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = after(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(matrix)) @ matrix)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["frame", "y"])
+
+    return rows.mapInArrow(run, f"frame long, y array<{kind}>")
+
+
 _MDCT = f"""{_PCM}, h AS (SELECT n // {HOP} AS frame, n % {HOP} + {HOP} AS i, v FROM pcm UNION ALL SELECT n // {HOP} + 1, n % {HOP}, v FROM pcm),
-b AS (SELECT i, k, sin(pi() * (i + 0.5) / {SIZE}) * cos(pi() / {SIZE} * (i + 0.5 + {HOP // 2}) * (2 * k + 1)) AS w FROM range(0, {SIZE}) x(i), range(0, {BANDS}) y(k))"""
+b AS (SELECT i, k, sin(pi() * (i + 0.5) / {SIZE}) * cos(pi() / {SIZE} * (i + 0.5 + {HOP // 2}) * (2 * k + 1)) AS w FROM range(0, {SIZE}) x(i), range(0, {HOP}) y(k)),
+mdct AS (SELECT frame, k, sum(v * w) AS coef FROM h JOIN b USING (i) GROUP BY ALL)"""
+_FORWARD = audio_coder.WINDOW[:, None] * audio_coder.BASIS
 
 
-@query(f"{_MDCT} SELECT frame, k, round(sum(v * w), 4) + 0.0 AS coef FROM h JOIN b USING (i) GROUP BY ALL")
+@query(f"{_MDCT} SELECT frame, k, round(coef, 4) + 0.0 AS coef FROM mdct WHERE k < 16")
 def mdct_low_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first coefficients of each frame: one matrix product per frame. A frame has at most 1024 samples."""
-    i, k = np.arange(SIZE), np.arange(BANDS)
-    matrix = np.sin(np.pi * (i + 0.5) / SIZE)[:, None] * np.cos(np.pi / SIZE * np.outer(i + 0.5 + HOP // 2, 2 * k + 1))
+    """The first coefficients of each frame."""
+    return _product(_frames(spark, sf_dir), _FORWARD[:, :16]).selectExpr("frame", "posexplode(y) as (k, c)").selectExpr("frame", "cast(k as bigint) k", "round(c, 4) + 0D coef")
 
-    def product(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros(SIZE)
-        x[rows["i"].to_numpy()] = rows["v"].to_numpy()
-        return pd.DataFrame({"frame": key[0], "k": k, "coef": x @ matrix})
 
-    found = _hops(spark, sf_dir).select("frame", "i", "v").groupBy("frame").applyInPandas(product, "frame long, k long, coef double")
-    return found.selectExpr("frame", "k", "round(coef, 4) + 0D coef")
+@query(f"{_MDCT} SELECT frame, k, round(coef, 4) + 0.0 AS coef FROM mdct")
+def mdct_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All coefficients of each frame."""
+    return _product(_frames(spark, sf_dir), _FORWARD).selectExpr("frame", "posexplode(y) as (k, c)").selectExpr("frame", "cast(k as bigint) k", "round(c, 4) + 0D coef")
 
 
 @query(f"""{_PCM}, f AS (SELECT n // {HOP} AS h, n % {HOP} AS i, v, sin(pi() * (n % {HOP} + {HOP} + 0.5) / {SIZE}) AS a, sin(pi() * (n % {HOP} + 0.5) / {SIZE}) AS b FROM pcm)
@@ -144,43 +155,43 @@ def overlap_add(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- quantization -------------------------------------------------------------------------------------------
 
 
-@query(f"{_MDCT}, c AS (SELECT frame, k, sum(v * w) AS coef FROM h JOIN b USING (i) GROUP BY ALL) SELECT frame, k, (sign(coef) * floor(abs(coef) / (0.02 * pow(2, 8 / 3.0)) + 0.5))::BIGINT AS level FROM c")
-def audio_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i, k = np.arange(SIZE), np.arange(BANDS)
-    matrix = np.sin(np.pi * (i + 0.5) / SIZE)[:, None] * np.cos(np.pi / SIZE * np.outer(i + 0.5 + HOP // 2, 2 * k + 1))
+_BARK = f"edges AS (SELECT unnest([{', '.join(map(str, tables.BARK_EDGES_HZ))}]) AS hz, generate_subscripts([{', '.join(map(str, tables.BARK_EDGES_HZ))}], 1) - 1 AS b)"
 
-    def product(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros(SIZE)
-        x[rows["i"].to_numpy()] = rows["v"].to_numpy()
-        return pd.DataFrame({"frame": key[0], "k": k, "coef": x @ matrix})
 
-    found = _hops(spark, sf_dir).select("frame", "i", "v").groupBy("frame").applyInPandas(product, "frame long, k long, coef double")
-    return found.selectExpr("frame", "k", "cast(sign(coef) * floor(abs(coef) / (0.02D * pow(2D, 8 / 3D)) + 0.5D) as bigint) level")
+@query(f"""WITH {_BARK}, w AS (SELECT unnest([44100, 48000]) AS rate), x AS (SELECT rate, l.b, floor(least(l.hz, rate / 2.0) / (rate / 2.0 / 512))::BIGINT AS first, floor(least(h.hz, rate / 2.0) / (rate / 2.0 / 512))::BIGINT AS last FROM edges l JOIN edges h ON h.b = l.b + 1, w)
+SELECT rate, b AS band, least(first, 511) AS first, CASE WHEN b = 24 THEN 512 ELSE least(greatest(last, least(first, 511) + 1), 512) END AS last, round(1 + pow(b / 24.0, 2), 6) AS weight FROM x""")
+def bark_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(rate, b, first, end, round(1 + (b / 24) ** 2, 6)) for rate in (44_100, 48_000) for b, first, end in tables.bark_bands(rate)]
+    return spark.createDataFrame(rows, "rate long, band long, first long, last long, weight double")
 
 
-@query()
-def audio_quantize_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All coefficients of each frame, divided by the step and their band's weight, rounded and clamped to 16 bits."""
-    basis, step = audio_coder.WINDOW[:, None] * audio_coder.BASIS, audio_coder.steps(8, 44_100)
+QUALITY, RATE = 8, 44_100
+_LEVELS = f"""{_MDCT}, {_BARK},
+band AS (SELECT l.b, least(floor(least(l.hz, {RATE} / 2.0) / ({RATE} / 2.0 / 512))::BIGINT, 511) AS first, floor(least(h.hz, {RATE} / 2.0) / ({RATE} / 2.0 / 512))::BIGINT AS last FROM edges l JOIN edges h ON h.b = l.b + 1),
+step AS (SELECT k, 0.02 * pow(2, {QUALITY} / 3.0) * (1 + pow(arg_max(b, b) / 24.0, 2)) AS step FROM band, range(0, {HOP}) t(k) WHERE k >= first AND (k < CASE WHEN b = 24 THEN 512 ELSE least(greatest(last, first + 1), 512) END) GROUP BY k),
+lv AS (SELECT frame, k, least(greatest(sign(coef) * floor(abs(coef / step) + 0.5), -32768), 32767)::BIGINT AS level, step FROM mdct JOIN step USING (k))"""
 
-    def product(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros(SIZE)
-        x[rows["i"].to_numpy()] = rows["v"].to_numpy()
-        q = x @ basis / step
-        level = np.clip(np.sign(q) * np.floor(np.abs(q) + 0.5), -32768, 32767).astype(np.int64)
-        return pd.DataFrame({"frame": key[0], "k": np.arange(HOP), "level": level})
 
-    return _hops(spark, sf_dir).select("frame", "i", "v").groupBy("frame").applyInPandas(product, "frame long, k long, level long")
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    step = audio_coder.steps(QUALITY, RATE)
+    rounded = lambda y: np.clip(np.sign(y) * np.floor(np.abs(y / step) + 0.5), -32768, 32767).astype(np.int64)
+    return _product(_frames(spark, sf_dir), _FORWARD, "long", rounded)
 
 
-_BARK = f"edges AS (SELECT unnest([{', '.join(map(str, tables.BARK_EDGES_HZ))}]) AS hz, generate_subscripts([{', '.join(map(str, tables.BARK_EDGES_HZ))}], 1) - 1 AS b)"
+@query(f"{_LEVELS} SELECT frame, k, level FROM lv")
+def audio_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All coefficients of each frame, divided by the step and their band's weight, rounded and clamped to 16 bits."""
+    return _levels(spark, sf_dir).selectExpr("frame", "posexplode(y) as (k, level)").selectExpr("frame", "cast(k as bigint) k", "level")
 
 
-@query(f"""WITH {_BARK}, w AS (SELECT unnest([44100, 48000]) AS rate), x AS (SELECT rate, l.b, floor(least(l.hz, rate / 2.0) / (rate / 2.0 / 512))::BIGINT AS first, floor(least(h.hz, rate / 2.0) / (rate / 2.0 / 512))::BIGINT AS last FROM edges l JOIN edges h ON h.b = l.b + 1, w)
-SELECT rate, b AS band, least(first, 511) AS first, CASE WHEN b = 24 THEN 512 ELSE least(greatest(last, least(first, 511) + 1), 512) END AS last, round(1 + pow(b / 24.0, 2), 6) AS weight FROM x""")
-def bark_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(rate, b, first, end, round(1 + (b / 24) ** 2, 6)) for rate in (44_100, 48_000) for b, first, end in tables.bark_bands(rate)]
-    return spark.createDataFrame(rows, "rate long, band long, first long, last long, weight double")
+@query(f"""{_LEVELS}, inv AS (SELECT frame, i, sum(level * step * w) * {4 / SIZE} AS y FROM lv JOIN b USING (k) GROUP BY ALL),
+o AS (SELECT (frame - 1) * {HOP} + i AS n, sum(y) AS rec FROM inv GROUP BY 1)
+SELECT n, round(rec, 6) + 0.0 AS rec FROM o JOIN pcm USING (n)""")
+def mdct_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The levels times their steps, transformed back, windowed, and added over the two frames that hold a sample."""
+    back = _product(_levels(spark, sf_dir).selectExpr("frame", "transform(y, x -> double(x)) y"), audio_coder.steps(QUALITY, RATE)[:, None] * _FORWARD.T * (4 / SIZE))
+    parts = back.selectExpr("frame", "posexplode(y) as (i, p)").selectExpr(f"(frame - 1) * {HOP} + i n", "p")
+    return parts.groupBy("n").agg(F.expr("round(sum(p), 6) + 0D rec")).join(views.pcm(spark, sf_dir).select("n"), "n", "left_semi")
 
 
 @query(f"{_PCM}, k AS (SELECT n // {HOP} AS frame, n % {HOP} AS k, iv FROM pcm) SELECT frame, CASE WHEN k <= 8 THEN 0 WHEN k <= 24 THEN 1 WHEN k <= 56 THEN 2 WHEN k <= 112 THEN 3 WHEN k <= 192 THEN 4 WHEN k <= 320 THEN 5 ELSE 6 END AS band, sum(iv * iv)::BIGINT AS energy, count(*)::BIGINT AS n FROM k GROUP BY ALL")

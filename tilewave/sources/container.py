@@ -15,6 +15,9 @@ A path is a file or a folder of part files; each file is one read partition. The
 if the option payload is "false" (an index scan with payload_at instead). Files are opened where the task runs, so
 the path must be one that all executors mount.
 
+With the option damaged=skip, stretches that are no packets come as rows of stream -1 with their size and place, and reading goes on
+at the next header that can be one.
+
 The sink writes a hidden index beside each part file: for each BLOCK packets, where they begin, their times and streams. With the
 option pushdown (and spark.sql.python.filterPushdown.enabled), comparisons of file, seq, stream_id, stream_type, ts_us and size with
 constants are met by the reader: it skips blocks by the index, where there is one, and else payloads by their headers.
@@ -104,6 +107,46 @@ def read_packets(src, payload: bool = True, magic: bytes = PACKET_MAGIC, seq: in
         seq += 1
 
 
+def read_damaged(src, size: int, ids: dict[int, int], magic: bytes = PACKET_MAGIC, piece: int = 1 << 16) -> Iterator[tuple[int, int, int, int, int, int, bytes | None]]:
+    """The rows of read_packets for what is whole, and for each stretch that isn't a row with stream -1, its size and place. A header counts
+    if its stream is described with its type, and its payload ends inside the file.
+
+    ids: type by stream id. size: bytes of the file.
+    """
+    seq, at, lost = 0, src.tell(), None
+
+    def header(place: int) -> tuple[int, int, int, int] | None:
+        src.seek(place)
+        head = src.read(PACKET.size)
+        if len(head) < PACKET.size:
+            return None
+        found, stream_id, kind, ts, n = PACKET.unpack(head)
+        return (stream_id, kind, ts, n) if found == magic and ids.get(stream_id) == kind and 0 < n <= size - place - PACKET.size else None
+
+    while at < size:
+        if (head := header(at)) is not None:
+            if lost is not None:
+                yield -1, -1, -1, None, at - lost, lost, None
+                lost = None
+            src.seek(at + PACKET.size)
+            yield seq, *head, at + PACKET.size, src.read(head[3])
+            seq, at = seq + 1, at + PACKET.size + head[3]
+            continue
+        lost = at if lost is None else lost
+        # the next magic, by pieces that overlap by its length
+        at += 1
+        while at < size:
+            src.seek(at)
+            found = src.read(piece).find(magic)
+            if found >= 0:
+                at += found
+                break
+            at += piece - len(magic) + 1
+        at = min(at, size)
+    if lost is not None:
+        yield -1, -1, -1, None, size - lost, lost, None
+
+
 #: Packets that a line of an index stands for: first seq, place, packets, least and greatest time, streams as bits.
 BLOCK, LINE = 64, struct.Struct("<QQIQQ32s")
 
@@ -233,7 +276,7 @@ class ContainerReader(DataSourceReader):
     def __init__(self, options: dict):
         self.files = files_of(options["path"])
         self.streams, self.payload = options.get("table", "packets") == "streams", options.get("payload", "true") != "false"
-        self.magics = magics(options)
+        self.magics, self.damaged = magics(options), options.get("damaged") == "skip"
         self.wanted = Wanted()
 
     def partitions(self) -> list[FilePartition]:
@@ -246,6 +289,10 @@ class ContainerReader(DataSourceReader):
                 for i, s in streams:
                     yield (partition.path, i, s.stream_type, s.width, s.height, s.frame_rate, s.sample_rate, s.channels, s.bit_depth, s.quality)
                 return
+            if self.damaged:
+                for row in read_damaged(f, os.path.getsize(partition.path), {i: s.stream_type for i, s in streams}, self.magics[1]):
+                    yield (partition.path, *row)
+                return
             some = self.wanted.packet if self.wanted.ranges or self.wanted.sets else None
             lines = read_index(partition.path) if some else None
             for first, place, n in [(line[0], line[1], line[2]) for line in lines if self.wanted.block(line)] if lines is not None else [(0, f.tell(), None)]:
@@ -259,7 +306,7 @@ class PushdownReader(ContainerReader):
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
-            if self.streams or not self.wanted.take(f):
+            if self.streams or self.damaged or not self.wanted.take(f):
                 yield f
 
 
