@@ -27,24 +27,44 @@ def _hex_sql(source: str) -> str:
  FROM {source}, LATERAL (SELECT unnest(range(0, (length(code) + 7) // 8)) AS k) GROUP BY id, size)"""
 
 
-_SIGNED = "CASE WHEN level = 0 THEN 1 ELSE abs(level) * 2 + (level < 0)::INT END"
-
-
-@query(f"""{transforms._LV}, {duck.ZIGZAG}, {duck.const('zig4', tables.zigzag(4))}, each AS (
+_EACH = f"""each AS (
  SELECT vec_id // 4 AS id, 16 AS size, vec_id % 4 * 64 + z.k AS place, level FROM lv JOIN zigzag z ON z.v = lv.k WHERE vec_id // 4 IN (SELECT vec_id // 4 FROM lv GROUP BY 1 HAVING count(DISTINCT vec_id) = 4)
  UNION ALL SELECT vec_id, 8, z.k, level FROM lv JOIN zigzag z ON z.v = lv.k
- UNION ALL SELECT vec_id * 4 + (lv.k // 32) * 2 + lv.k % 8 // 4, 4, z.k, level FROM lv JOIN zig4 z ON z.v = (lv.k // 8) % 4 * 4 + lv.k % 4),
-c AS (SELECT id, size, string_agg({_code_sql(_SIGNED)}, '' ORDER BY place) AS code, sum(level * (place + 1))::BIGINT AS decoded FROM each GROUP BY ALL), {_hex_sql('c')}
-SELECT hexed.id, hexed.size::BIGINT AS size, bits, md5(hexed.code) AS digest, decoded FROM hexed JOIN c USING (id, size)""")
-def coefficient_code_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Levels of 4x4, 8x8 and 16x16 blocks in scan order as signed Exp-Golomb codes, packed into bytes, and read back from the code."""
+ UNION ALL SELECT vec_id * 4 + (lv.k // 32) * 2 + lv.k % 8 // 4, 4, z.k, level FROM lv JOIN zig4 z ON z.v = (lv.k // 8) % 4 * 4 + lv.k % 4)"""
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, size, z: levels in scan order of the 4x4 and 8x8 blocks, and of the 16x16 as four 8x8."""
     rows = transforms.levels(spark, sf_dir).select("vec_id", "level")
     cell = "level[int((q div 2 * 4 + p div 4) * 8 + q % 2 * 4 + p % 4)]"
     four = rows.selectExpr("vec_id", f"posexplode(transform(sequence(0, 3), q -> transform({exprs.array(tables.zigzag(4))}, p -> {cell}))) as (q, z)").selectExpr("vec_id * 4 + q id", "4L size", "z")
     eight = rows.selectExpr("vec_id", f"{exprs.let('level', 'a', f'transform({exprs.array(tables.ZIGZAG8)}, p -> a[int(p)])')} z")
     sixteen = eight.groupBy(F.expr("vec_id div 4 id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "z"))).alias("s")).where("size(s) = 4").selectExpr("id", "16L size", "flatten(transform(s, x -> x.z)) z")
-    rows = four.unionAll(eight.selectExpr("vec_id id", "8L size", "z")).unionAll(sixteen)
-    rows = rows.selectExpr("id", "size", "size(z) n", f"array_join(transform(z, v -> {bits.golomb(exprs.signed_code('v'))}), '') code")
+    return four.unionAll(eight.selectExpr("vec_id id", "8L size", "z")).unionAll(sixteen)
+
+
+@query(f"""{transforms._LV}, {duck.ZIGZAG}, {duck.const('zig4', tables.zigzag(4))}, {_EACH}, c AS (SELECT n, r, c FROM (SELECT unnest([4, 8]) AS n), range(0, 8) a(r), range(0, 8) b(c) WHERE r < n AND c < n),
+z AS (SELECT n, r * n + c AS raster, row_number() OVER (PARTITION BY n ORDER BY r + c, CASE WHEN (r + c) % 2 = 1 THEN r ELSE c END) - 1 AS place FROM c),
+o AS (SELECT n, place, raster FROM z UNION ALL SELECT 16, q * 64 + place, (q // 2 * 8 + raster // 8) * 16 + q % 2 * 8 + raster % 8 FROM z, range(0, 4) t(q) WHERE n = 8)
+SELECT o.n::BIGINT AS n, o.place, raster, count(*)::BIGINT AS blocks, sum(abs(level))::BIGINT AS total FROM o JOIN each ON each.size = o.n AND each.place = o.place GROUP BY ALL""")
+def scan_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zigzag orders of 4x4 and 8x8, and of 16x16 as four of 8x8: what stands at each place of the scan, over all blocks."""
+    rows = [(n, i, p) for n in (4, 8) for i, p in enumerate(tables.zigzag(n))]
+    rows += [(16, q * 64 + i, (q // 2 * 8 + p // 8) * 16 + q % 2 * 8 + p % 8) for q in range(4) for i, p in enumerate(tables.ZIGZAG8)]
+    orders = spark.createDataFrame(rows, "n long, place long, raster long")
+    sums = _scanned(spark, sf_dir).selectExpr("size n", "posexplode(z) as (place, level)").groupBy("n", F.col("place").cast("long").alias("place")).agg(F.count("*").alias("blocks"), F.expr("sum(abs(level)) total"))
+    return orders.join(sums, ["n", "place"])
+
+
+_SIGNED = "CASE WHEN level = 0 THEN 1 ELSE abs(level) * 2 + (level < 0)::INT END"
+
+
+@query(f"""{transforms._LV}, {duck.ZIGZAG}, {duck.const('zig4', tables.zigzag(4))}, {_EACH},
+c AS (SELECT id, size, string_agg({_code_sql(_SIGNED)}, '' ORDER BY place) AS code, sum(level * (place + 1))::BIGINT AS decoded FROM each GROUP BY ALL), {_hex_sql('c')}
+SELECT hexed.id, hexed.size::BIGINT AS size, bits, md5(hexed.code) AS digest, decoded FROM hexed JOIN c USING (id, size)""")
+def coefficient_code_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of 4x4, 8x8 and 16x16 blocks in scan order as signed Exp-Golomb codes, packed into bytes, and read back from the code."""
+    rows = _scanned(spark, sf_dir).selectExpr("id", "size", "size(z) n", f"array_join(transform(z, v -> {bits.golomb(exprs.signed_code('v'))}), '') code")
     m = bits.golomb_value("c", "a.at")
     step = f"named_struct('at', {bits.golomb_stop('c', 'a.at')}, 'sum', a.sum + {bits.signed_of(m)} * (i + 1))"
     back = exprs.let("code", "c", f"aggregate(sequence(0L, n - 1L), named_struct('at', 1, 'sum', 0L), (a, i) -> {step}).sum")

@@ -110,12 +110,12 @@ def arith_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.symbols(spark, sf_dir).select("seq", "v").mapInPandas(coded, "seq long, code string, bits long, decoded string")
 
 
-@query(f"""SELECT n, CASE WHEN abs(n) > 0 THEN {duck.bitlen('abs(n)')} - 1 ELSE 0 END::BIGINT AS log2, CASE WHEN abs(n) > 0 THEN {duck.bitlen('abs(n)')} ELSE 1 END::BIGINT AS bits, sign(n)::BIGINT AS sgn, least(abs(n), 32767)::BIGINT AS sat_abs,
- least(greatest(n, 0), 255)::BIGINT AS saturated, {duck.rdiv('n', '7')}::BIGINT AS rounded7, {duck.rdiv('n', '-4')}::BIGINT AS rounded_neg4, floor(sqrt(abs(n)))::BIGINT AS root, greatest(least(n, 5), least(greatest(n, 5), 9))::BIGINT AS median FROM range(-600, 600) t(n)""")
+@query(f"""SELECT p_partkey, n, CASE WHEN abs(n) > 0 THEN {duck.bitlen('abs(n)')} - 1 ELSE 0 END::BIGINT AS log2, CASE WHEN abs(n) > 0 THEN {duck.bitlen('abs(n)')} ELSE 1 END::BIGINT AS bits, sign(n)::BIGINT AS sgn, least(abs(n), 32767)::BIGINT AS sat_abs,
+ least(greatest(n, 0), 255)::BIGINT AS saturated, {duck.rdiv('n', '7')}::BIGINT AS rounded7, {duck.rdiv('n', '-4')}::BIGINT AS rounded_neg4, floor(sqrt(abs(n)))::BIGINT AS root, greatest(least(n, 5), least(greatest(n, 5), 9))::BIGINT AS median FROM (SELECT p_partkey, p_partkey * 37 % 1200 - 600 AS n FROM part)""")
 def integer_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(-600, 600).withColumnRenamed("id", "n")
+    rows = views.table(spark, sf_dir, "part").selectExpr("p_partkey", "p_partkey * 37 % 1200 - 600 n")
     return rows.selectExpr(
-        "n", f"{floor_log2('abs(n)')} log2", f"if(n = 0, 1L, {bit_length('abs(n)')}) bits", "cast(sign(n) as bigint) sgn", "least(abs(n), 32767L) sat_abs", "least(greatest(n, 0L), 255L) saturated",
+        "p_partkey", "n", f"{floor_log2('abs(n)')} log2", f"if(n = 0, 1L, {bit_length('abs(n)')}) bits", "cast(sign(n) as bigint) sgn", "least(abs(n), 32767L) sat_abs", "least(greatest(n, 0L), 255L) saturated",
         f"{rdiv('n', '7L')} rounded7", f"{rdiv('n', '(-4L)')} rounded_neg4", "cast(floor(sqrt(abs(n))) as bigint) root", "greatest(least(n, 5L), least(greatest(n, 5L), 9L)) median",
     )
 
@@ -138,11 +138,11 @@ def _floats(div: str, e: str, floor: str) -> dict[str, str]:
     }
 
 
-@query(f"SELECT n, {', '.join(f'{v} AS {k}' for k, v in _floats('//', '(' + duck.bitlen('n') + ' - 1)', 'floor').items())} FROM range(1, 4000) t(n)")
+@query(f"SELECT p_partkey, n, {', '.join(f'{v} AS {k}' for k, v in _floats('//', '(' + duck.bitlen('n') + ' - 1)', 'floor').items())} FROM (SELECT p_partkey, 1 + p_partkey * 31 % 3999 AS n FROM part)")
 def float_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate logarithm and roots from a number's exponent and mantissa, in double precision; and a division of n - 600 by a
     power of two, rounded away from zero before an arithmetic shift."""
-    return spark.range(1, 4000).withColumnRenamed("id", "n").selectExpr("n", *[f"{v} {k}" for k, v in _floats("div", f"({bit_length('n')} - 1)", "floor").items()])
+    return views.table(spark, sf_dir, "part").selectExpr("p_partkey", "1 + p_partkey * 31 % 3999 n").selectExpr("p_partkey", "n", *[f"{v} {k}" for k, v in _floats("div", f"({bit_length('n')} - 1)", "floor").items()])
 
 
 @query("SELECT l_partkey % 64 AS grp, count(*)::BIGINT AS symbols, sum(length(ltrim(l_partkey::BIT::VARCHAR, '0')))::BIGINT AS bits, sum(bit_count(l_partkey))::BIGINT AS ones FROM lineitem WHERE l_partkey > 0 GROUP BY 1")

@@ -36,9 +36,9 @@ def packet_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("part", "seq", "stream_id", "size", (before - F.col("size")).alias("payload_at"))
 
 
-@query(f"SELECT i, (i * 1000000) // {FPS} AS video_us, (i * {HOP} * 1000000) // {RATE} AS audio_us FROM range(0, 2000) t(i)")
+@query(f"{_PKT} SELECT seq, (seq * 1000000) // {FPS} AS video_us, (seq * {HOP} * 1000000) // {RATE} AS audio_us FROM pkt")
 def packet_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(0, 2000).selectExpr("id i", f"id * 1000000 div {FPS} video_us", f"id * {HOP} * 1000000 div {RATE} audio_us")
+    return views.packets(spark, sf_dir).selectExpr("seq", f"seq * 1000000 div {FPS} video_us", f"seq * {HOP} * 1000000 div {RATE} audio_us")
 
 
 @query(f"""{_PKT}, v AS (SELECT seq AS i, size FROM pkt), a AS (SELECT i, 0 AS kind, i AS idx FROM v UNION ALL

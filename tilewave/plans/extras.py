@@ -16,16 +16,6 @@ from tilewave.plans.codes import coder_sql
 from tilewave.plans.registry import SQL, query
 
 
-@query("""WITH c AS (SELECT n, r, c FROM (SELECT unnest([4, 8]) AS n), range(0, 8) a(r), range(0, 8) b(c) WHERE r < n AND c < n),
-z AS (SELECT n, r * n + c AS raster, row_number() OVER (PARTITION BY n ORDER BY r + c, CASE WHEN (r + c) % 2 = 1 THEN r ELSE c END) - 1 AS place FROM c)
-SELECT n, place, raster FROM z UNION ALL SELECT 16, q * 64 + place, (q // 2 * 8 + raster // 8) * 16 + q % 2 * 8 + raster % 8 FROM z, range(0, 4) t(q) WHERE n = 8""")
-def scan_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zigzag orders of 4x4 and 8x8, and of 16x16 as four of 8x8."""
-    rows = [(n, i, p) for n in (4, 8) for i, p in enumerate(tables.zigzag(n))]
-    rows += [(16, q * 64 + i, (q // 2 * 8 + p // 8) * 16 + q % 2 * 8 + p % 8) for q in range(4) for i, p in enumerate(tables.ZIGZAG8)]
-    return spark.createDataFrame(rows, "n long, place long, raster long")
-
-
 @query(f"WITH {duck.PKT}, k AS (SELECT *, user_id % 5 AS stream, user_id % 5 % 2 AS kind FROM pkt), f AS (SELECT kind, arg_min(stream, seq) AS stream FROM k GROUP BY kind) SELECT kind, stream, count(*)::BIGINT AS n, sum(size)::BIGINT AS bytes FROM k JOIN f USING (kind, stream) GROUP BY ALL")
 def stream_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first stream of each type is taken; packets of other streams are left out."""

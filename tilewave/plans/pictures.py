@@ -72,11 +72,12 @@ def tile_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.macroblocks(spark, sf_dir).selectExpr("f", "m", "cast(size(y) as bigint) n", f"{total('y')} total", f"{total('transform(y, (p, i) -> p * (i + 1))')} checksum")
 
 
-@query("SELECT n, ((n + 15) // 16) * 16 AS align16, ((n + 7) // 8) * 8 AS align8, ((n + 2) // 3) * 3 AS multiple3, (n > 0 AND (n & (n - 1)) = 0)::INT::BIGINT AS is_pow2, CASE WHEN n <= 1 THEN n ELSE pow(2, ceil(log2(n)))::BIGINT END AS next_pow2 FROM range(0, 300) t(n)")
+@query("SELECT p_partkey, n, ((n + 15) // 16) * 16 AS align16, ((n + 7) // 8) * 8 AS align8, ((n + 2) // 3) * 3 AS multiple3, (n > 0 AND (n & (n - 1)) = 0)::INT::BIGINT AS is_pow2, CASE WHEN n <= 1 THEN n ELSE pow(2, ceil(log2(n)))::BIGINT END AS next_pow2 FROM (SELECT p_partkey, p_size * (p_partkey % 7) AS n FROM part)")
 def align_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(0, 300).withColumnRenamed("id", "n")
+    """Extents of parts, up to 300, padded to whole blocks and powers of two."""
+    rows = views.table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size * (p_partkey % 7) n")
     power = f"case when n <= 1 then n else shiftleft(1L, int({exprs.bit_length('n - 1')})) end next_pow2"
-    return rows.selectExpr("n", "((n + 15) div 16) * 16 align16", "((n + 7) div 8) * 8 align8", "((n + 2) div 3) * 3 multiple3", "if(n > 0 and (n & (n - 1)) = 0, 1L, 0L) is_pow2", power)
+    return rows.selectExpr("p_partkey", "n", "((n + 15) div 16) * 16 align16", "((n + 7) div 8) * 8 align8", "((n + 2) div 3) * 3 multiple3", "if(n > 0 and (n & (n - 1)) = 0, 1L, 0L) is_pow2", power)
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,9 +91,13 @@ def linear_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- lapped transform ---------------------------------------------------------------------------------------
 
 
-@query(f"SELECT n, round(sin(pi() * (n + 0.5) / {SIZE}), 6) AS w, round(pow(sin(pi() * (n + 0.5) / {SIZE}), 2) + pow(sin(pi() * (n + {HOP} + 0.5) / {SIZE}), 2), 6) AS power FROM range(0, {HOP}) t(n)")
+@query(f"""{_PCM}, w AS (SELECT i, sin(pi() * (i + 0.5) / {SIZE}) AS w, pow(sin(pi() * (i + 0.5) / {SIZE}), 2) + pow(sin(pi() * (i + {HOP} + 0.5) / {SIZE}), 2) AS power FROM range(0, {HOP}) t(i))
+SELECT i, round(any_value(w), 6) AS w, round(any_value(power), 6) AS power, round(sum(iv * w), 4) AS windowed FROM pcm JOIN w ON n % {HOP} = i GROUP BY i""")
 def sine_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(0, HOP).selectExpr("id n", f"round(sin(pi() * (id + 0.5D) / {SIZE}), 6) w", f"round(pow(sin(pi() * (id + 0.5D) / {SIZE}), 2) + pow(sin(pi() * (id + {HOP} + 0.5D) / {SIZE}), 2), 6) power")
+    """The window's first half, what it adds up to with the second, and the signal's sums under it."""
+    sums = views.pcm(spark, sf_dir).groupBy(F.expr(f"n % {HOP} i")).agg(F.sum("iv").alias("t"))
+    w = f"sin(pi() * (i + 0.5D) / {SIZE})"
+    return sums.selectExpr("i", f"round({w}, 6) w", f"round(pow({w}, 2) + pow(sin(pi() * (i + {HOP} + 0.5D) / {SIZE}), 2), 6) power", f"round(t * {w}, 4) windowed")
 
 
 @query(f"{_PCM}, h AS (SELECT n // {HOP} AS frame, n % {HOP} + {HOP} AS i, iv FROM pcm UNION ALL SELECT n // {HOP} + 1, n % {HOP}, iv FROM pcm) SELECT frame, count(*)::BIGINT AS n, sum(iv * (i + 1))::BIGINT AS checksum FROM h GROUP BY frame")
@@ -158,11 +162,16 @@ def overlap_add(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BARK = f"edges AS (SELECT unnest([{', '.join(map(str, tables.BARK_EDGES_HZ))}]) AS hz, generate_subscripts([{', '.join(map(str, tables.BARK_EDGES_HZ))}], 1) - 1 AS b)"
 
 
-@query(f"""WITH {_BARK}, w AS (SELECT unnest([44100, 48000]) AS rate), x AS (SELECT rate, l.b, floor(least(l.hz, rate / 2.0) / (rate / 2.0 / 512))::BIGINT AS first, floor(least(h.hz, rate / 2.0) / (rate / 2.0 / 512))::BIGINT AS last FROM edges l JOIN edges h ON h.b = l.b + 1, w)
-SELECT rate, b AS band, least(first, 511) AS first, CASE WHEN b = 24 THEN 512 ELSE least(greatest(last, least(first, 511) + 1), 512) END AS last, round(1 + pow(b / 24.0, 2), 6) AS weight FROM x""")
+@query(f"""{_MDCT}, {_BARK}, w AS (SELECT unnest([44100, 48000]) AS rate), x AS (SELECT rate, l.b, floor(least(l.hz, rate / 2.0) / (rate / 2.0 / 512))::BIGINT AS first, floor(least(h.hz, rate / 2.0) / (rate / 2.0 / 512))::BIGINT AS last FROM edges l JOIN edges h ON h.b = l.b + 1, w),
+y AS (SELECT rate, b AS band, least(first, 511) AS first, CASE WHEN b = 24 THEN 512 ELSE least(greatest(last, least(first, 511) + 1), 512) END AS last, round(1 + pow(b / 24.0, 2), 6) AS weight FROM x)
+SELECT rate, band, first, last, weight, round(sum(coef * coef), 2) AS energy FROM y JOIN mdct ON k >= first AND k < last GROUP BY ALL""")
 def bark_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Critical bands as ranges of coefficients at two rates, their weights, and the signal's energy in them."""
     rows = [(rate, b, first, end, round(1 + (b / 24) ** 2, 6)) for rate in (44_100, 48_000) for b, first, end in tables.bark_bands(rate)]
-    return spark.createDataFrame(rows, "rate long, band long, first long, last long, weight double")
+    bands = spark.createDataFrame(rows, "rate long, band long, first long, last long, weight double")
+    energy = _product(_frames(spark, sf_dir), _FORWARD).selectExpr("posexplode(y) as (k, c)").groupBy("k").agg(F.expr("sum(c * c) e"))
+    placed = bands.withColumn("k", F.explode(F.expr("sequence(first, last - 1)"))).join(energy, "k")  # 512 coefficients a rate
+    return placed.groupBy("rate", "band", "first", "last", "weight").agg(F.expr("round(sum(e), 2) energy"))
 
 
 QUALITY, RATE = 8, 44_100
@@ -204,9 +213,11 @@ def _band(k: str) -> str:
     return "case " + " ".join(f"when {k} <= {end} then {b}" for b, end in enumerate(tables.COEFFICIENT_BAND_ENDS)) + " else 6 end"
 
 
-@query("SELECT k, CASE WHEN k <= 8 THEN 0 WHEN k <= 24 THEN 1 WHEN k <= 56 THEN 2 WHEN k <= 112 THEN 3 WHEN k <= 192 THEN 4 WHEN k <= 320 THEN 5 ELSE 6 END::BIGINT AS band, CASE WHEN k = 0 THEN 0 WHEN k <= 10 THEN 1 WHEN k <= 40 THEN 2 ELSE 3 END::BIGINT AS grp FROM range(0, 512) t(k)")
+@query(f"{_LEVELS} SELECT k, CASE WHEN k <= 8 THEN 0 WHEN k <= 24 THEN 1 WHEN k <= 56 THEN 2 WHEN k <= 112 THEN 3 WHEN k <= 192 THEN 4 WHEN k <= 320 THEN 5 ELSE 6 END::BIGINT AS band, CASE WHEN k = 0 THEN 0 WHEN k <= 10 THEN 1 WHEN k <= 40 THEN 2 ELSE 3 END::BIGINT AS grp, sum(abs(level))::BIGINT AS size, count(*) FILTER (level <> 0)::BIGINT AS n FROM lv GROUP BY k")
 def coefficient_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(0, 512).selectExpr("id k", f"cast({_band('id')} as bigint) band", "cast(case when id = 0 then 0 when id <= 10 then 1 when id <= 40 then 2 else 3 end as bigint) grp")
+    """The entropy band and the group of each coefficient place, and the levels that stand there."""
+    rows = _levels(spark, sf_dir).selectExpr("posexplode(y) as (k, level)").groupBy(F.col("k").cast("long").alias("k")).agg(F.expr("sum(abs(level)) size"), F.expr("count_if(level != 0) n"))
+    return rows.selectExpr("k", f"cast({_band('k')} as bigint) band", "cast(case when k = 0 then 0 when k <= 10 then 1 when k <= 40 then 2 else 3 end as bigint) grp", "size", "n")
 
 
 @query(f"{_PCM}, e AS (SELECT n // {HOP} AS frame, max(iv) FILTER (n % {HOP} = 0) AS first, max(iv) FILTER (n % {HOP} = {HOP - 1}) AS last FROM pcm GROUP BY 1) SELECT frame, abs(first - lag(last) OVER (ORDER BY frame)) AS jump FROM e QUALIFY jump IS NOT NULL")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tilewave.functions import exprs, tables
 from tilewave.operators import quantize, transform, views
@@ -169,17 +170,19 @@ def quantize_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("vec_id", "posexplode(arrays_zip(level, deq)) as (k, z)").selectExpr("vec_id", "cast(k as bigint) k", "z.level", "z.deq")
 
 
-@query("SELECT qp, (CASE WHEN qp < 9 THEN greatest(2 * qp, 2) WHEN qp < 25 THEN qp + 8 ELSE 2 * qp - 16 END)::BIGINT AS luma, (CASE WHEN qp < 5 THEN greatest(2 * qp, 2) WHEN qp < 25 THEN (qp + 13) >> 1 ELSE qp - 6 END)::BIGINT AS chroma FROM range(1, 64) t(qp)")
+@query("SELECT qp, count(*)::BIGINT AS n, (CASE WHEN qp < 9 THEN greatest(2 * qp, 2) WHEN qp < 25 THEN qp + 8 ELSE 2 * qp - 16 END)::BIGINT AS luma, (CASE WHEN qp < 5 THEN greatest(2 * qp, 2) WHEN qp < 25 THEN (qp + 13) >> 1 ELSE qp - 6 END)::BIGINT AS chroma FROM (SELECT 1 + l_partkey % 63 AS qp FROM lineitem) GROUP BY qp")
 def dc_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    qp = spark.range(1, 64).withColumnRenamed("id", "qp")
+    """Scales of the quantizers that lines ask for, and how many ask."""
+    qp = views.table(spark, sf_dir, "lineitem").selectExpr("1 + l_partkey % 63 qp").groupBy("qp").agg(F.count("*").alias("n"))
     luma = "case when qp < 9 then greatest(2 * qp, 2L) when qp < 25 then qp + 8 else 2 * qp - 16 end luma"
-    return qp.selectExpr("qp", luma, "case when qp < 5 then greatest(2 * qp, 2L) when qp < 25 then shiftright(qp + 13, 1) else qp - 6 end chroma")
+    return qp.selectExpr("qp", "n", luma, "case when qp < 5 then greatest(2 * qp, 2L) when qp < 25 then shiftright(qp + 13, 1) else qp - 6 end chroma")
 
 
-@query("SELECT q AS quality, least(CASE WHEN c <= 16 THEN c ELSE c + (c - 16) * (c - 16) // 10 END, 63)::BIGINT AS qp, round(0.85 * pow(2, (c - 12) / 3.0), 6) AS weight, (q >> 2) + 1 AS copy_limit, round(0.02 * pow(2, least(q, 31) / 3.0), 6) AS audio_step FROM (SELECT q, least(greatest(q, 1), 31) AS c FROM range(0, 40) t(q))")
+@query("SELECT q AS quality, n, least(CASE WHEN c <= 16 THEN c ELSE c + (c - 16) * (c - 16) // 10 END, 63)::BIGINT AS qp, round(0.85 * pow(2, (c - 12) / 3.0), 6) AS weight, (q >> 2) + 1 AS copy_limit, round(0.02 * pow(2, least(q, 31) / 3.0), 6) AS audio_step FROM (SELECT q, least(greatest(q, 1), 31) AS c, n FROM (SELECT l_quantity::BIGINT - 1 AS q, count(*)::BIGINT AS n FROM lineitem GROUP BY 1))")
 def quality_to_qp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(0, 40).selectExpr("id quality", f"{exprs.clip('id', '1L', '31L')} c")
-    return rows.selectExpr("quality", f"{quantize.quality_to_qp('quality')} qp", f"round({quantize.quality_lambda('c')}, 6) weight", "shiftright(quality, 2) + 1 copy_limit", "round(0.02D * pow(2D, least(quality, 31) / 3D), 6) audio_step")
+    """What the qualities that lines ask for, from 0 on, stand for, and how many ask."""
+    rows = views.table(spark, sf_dir, "lineitem").selectExpr("cast(l_quantity as bigint) - 1 quality").groupBy("quality").agg(F.count("*").alias("n")).selectExpr("quality", "n", f"{exprs.clip('quality', '1L', '31L')} c")
+    return rows.selectExpr("quality", "n", f"{quantize.quality_to_qp('quality')} qp", f"round({quantize.quality_lambda('c')}, 6) weight", "shiftright(quality, 2) + 1 copy_limit", "round(0.02D * pow(2D, least(quality, 31) / 3D), 6) audio_step")
 
 
 def _variance2_sql(value: str = "s", cond: str = "k <> 0") -> str:
