@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import io
 import json
 import uuid
-from collections.abc import Iterator
 from dataclasses import asdict
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,7 +14,7 @@ from tilewave.operators import views
 from tilewave.plans import duck
 from tilewave.plans.registry import query
 from tilewave.plans.shared import drained, shared_dir
-from tilewave.sources import container
+from tilewave.sources import audio, container
 
 _PKT = f"WITH {duck.PKT}"
 FPS, RATE, HOP = 30, 44_100, 512
@@ -197,21 +194,37 @@ def container_stream_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("stream_id").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.expr("sum(ts_us % 1000003) checksum"))
 
 
-@query(f"WITH {duck.PCM} SELECT n // 4096 AS chunk, count(*)::BIGINT AS frames, sum(length(iv::VARCHAR))::BIGINT AS bytes, sum(iv)::BIGINT AS total FROM pcm GROUP BY 1")
+@query(f"WITH {duck.PCM} SELECT n // 512 AS frame, octet_length(encode(string_agg(iv, ',' ORDER BY n)))::BIGINT AS size, md5(string_agg(iv, ',' ORDER BY n)) AS digest, {RATE} AS sample_rate, 2 AS channels FROM pcm GROUP BY 1")
 def raw_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each 4096 samples as a raw audio stream of one frame a sample, written and read again."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for chunk, values in zip(rows["chunk"], rows["v"]):
-                file = io.BytesIO()
-                container.write_audio(file, RATE, 1, 16, 8, [str(v).encode() for v in values])
-                file.seek(0)
-                about, frames = container.read_audio(file)
-                assert about["sample_rate"] == RATE and about["quality"] == 8
-                out.append((chunk, len(frames), sum(map(len, frames)), sum(map(int, frames))))
-            yield pd.DataFrame(out, columns=["chunk", "frames", "bytes", "total"])
-
-    rows = views.table(spark, sf_dir, "events").selectExpr("event_id div 4096 chunk", "cast(floor(value * 100 + 0.5) as bigint) v").groupBy("chunk").agg(F.collect_list("v").alias("v"))
-    return rows.mapInPandas(run, "chunk long, frames long, bytes long, total long")
+    """Frames of 512 samples written as raw audio streams and read back; a frame's first sample tells it."""
+    spark.dataSource.register(audio.AudioSource)
+    at = f"{shared_dir(spark)}/audio/{uuid.uuid4().hex}"
+    frames = views.pcm(spark, sf_dir).groupBy(F.expr("n div 512 frame")).agg(F.sort_array(F.collect_list(F.struct("n", "iv"))).alias("s"))
+    frames = frames.selectExpr("frame", "array_join(transform(s, x -> cast(x.iv as string)), ',') t")
+    frames.selectExpr("cast(concat(frame, ':', t) as binary) payload").write.format("audio_frames").option("sample_rate", RATE).option("channels", 2).mode("append").save(at)
+    back = spark.read.format("audio_frames").load(at).selectExpr("split(cast(payload as string), ':') p", "sample_rate", "channels")
+    return back.selectExpr("cast(p[0] as bigint) frame", "cast(octet_length(p[1]) as bigint) size", "md5(p[1]) digest", "cast(sample_rate as int) sample_rate", "channels")
+
+
+def _little(n: str) -> str:
+    """Four bytes of an integer, the lowest first, as hexadecimal text."""
+    return f"concat_ws('', transform(sequence(0, 3), k -> lpad(hex(shiftright({n}, 8 * k) & 255), 2, '0')))"
+
+
+def valid_header(header: str, magic: bytes = container.MAGIC) -> str:
+    """Whether a binary begins with a container's header: its magic, its version, and the size that its stream count makes."""
+    byte = lambda k: f"coalesce(cast(conv(hex(substring({header}, {k + 1}, 1)), 16, 10) as bigint), 0L)"
+    size = " + ".join(f"shiftleft({byte(4 + k)}, {8 * k})" for k in range(4))
+    head, each = container.HEADER.size, container.DESCRIPTOR.size
+    return f"(octet_length({header}) >= {head} and hex(substring({header}, 1, {len(magic)})) = '{magic.hex().upper()}' and {byte(8)} = {container.VERSION} and ({size}) = {head} + {each} * {byte(9)})"
+
+
+@query("SELECT event_id % 7 AS defect, count(*)::BIGINT AS n, count(*) FILTER (event_id % 7 > 4)::BIGINT AS valid FROM events GROUP BY 1")
+def container_header_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of up to 255 streams with a defect each: of magic, size, version, count or length; the predicate finds the whole ones."""
+    head, each = container.HEADER.size, container.DESCRIPTOR.size
+    rows = views.table(spark, sf_dir, "events").selectExpr("event_id % 7 defect", "event_id % 255 + if(event_id % 7 = 3, 1, 0) streams", "event_id % 255 own")
+    size = f"({head} + {each} * own + if(defect = 1, 256, 0))"
+    parts = f"if(defect = 0, '58', '{container.MAGIC[:1].hex()}'), '{container.MAGIC[1:].hex()}', {_little(size)}, lpad(hex({container.VERSION} + if(defect = 2, 1, 0)), 2, '0'), if(defect = 4, '', lpad(hex(streams), 2, '0'))"
+    rows = rows.selectExpr("defect", f"unhex(concat({parts})) h")
+    return rows.groupBy("defect").agg(F.count("*").alias("n"), F.expr(f"count_if({valid_header('h')}) valid"))

@@ -40,6 +40,20 @@ def stream_gop_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(buffers.group_buffer(ends))
 
 
+_FORCED = """WITH e AS (SELECT event_id // 1000 AS part, event_id AS seq, event_id % 1000 AS d FROM events),
+k AS (SELECT part, seq, d, max(CASE WHEN d = 0 OR d % 137 = 0 THEN d END) OVER (PARTITION BY part ORDER BY d ROWS UNBOUNDED PRECEDING) AS key FROM e),
+n AS (SELECT *, d - key AS j0, count(*) OVER (PARTITION BY part, key) AS n FROM k), s AS (SELECT *, (j0 - 1) // 4 AS g, (j0 - 1) % 4 AS j, least(4, n - 1 - (j0 - 1) // 4 * 4) AS size FROM n)"""
+
+
+@query(f"{_FORCED} SELECT part, seq, CASE WHEN j0 = 0 THEN 0 ELSE {place_of('j', 'size', '//')} END AS place, CASE WHEN j0 = 0 THEN -1 ELSE g END AS grp FROM s")
+def stream_gop_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 137th picture of a part is forced to be a key picture: what is held goes out before it, and groups count anew."""
+    flag = "if(seq % 1000 % 137 = 0 and seq % 1000 > 0, 'force', null)"
+    rows = _parts(spark, sf_dir).join(_sizes(spark, sf_dir), "part").selectExpr("part", "seq", f"explode(if(seq % 1000 = n - 1, array({flag}, 'last'), array({flag}))) flag")
+    # the row that ends a part stands behind its last picture
+    return drained(buffers.group_buffer(rows.selectExpr("part", "if(flag = 'last', seq + 1, seq) seq", "if(flag = 'last', 'end', flag) flag")))
+
+
 @query(f"""{_GROUPS}, c AS (SELECT part, CASE WHEN d = 0 THEN 0 ELSE 4 * g + 1 + {place_of('j', 'size', '//')} END AS coded, d AS display FROM s)
 SELECT part, display, max(coded) OVER (PARTITION BY part ORDER BY display) AS after FROM c""")
 def stream_reorder_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
