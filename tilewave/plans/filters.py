@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tilewave.functions import tables
 from tilewave.functions.exprs import array, let, rdiv, total
-from tilewave.operators import block_search, views
+from tilewave.operators import views
 from tilewave.plans import duck
 from tilewave.plans.registry import query
 
@@ -35,54 +36,77 @@ def _narrow(rows: DataFrame) -> DataFrame:
 # Decisions stand in for a coder's: a block is a copy if (f + m) % 5 = 0, and its quantizer is 14 + 2 m.
 
 
-def _edge(spark: bool, p: str, q: str, at) -> tuple[str, str]:
+@dataclass
+class Plane:
+    """Side of a plane and of a block in it; strong: whether three pixels from an edge are filtered, or two; what is added to the quantizer;
+    planes: how many planes of a picture stand under numbers of their own."""
+
+    side: int = 64
+    block: int = 16
+    luma: bool = True
+    qp_offset: int = 0
+    planes: int = 1
+
+    def picture(self, spark: bool) -> str:
+        return "f" if self.planes == 1 else f"(f {'div' if spark else '//'} {self.planes})"
+
+
+LUMA, CHROMA = Plane(), Plane(32, 8, False, 2, 2)
+
+
+def _edge(spark: bool, p: str, q: str, at, plane: Plane = LUMA) -> tuple[str, str]:
     """(strength, average quantizer) between the blocks at (x, y) pairs p and q."""
-    m = [f"(({y}) {'div' if spark else '//'} 16 * 4 + ({x}) {'div' if spark else '//'} 16)" for x, y in (p, q)]
-    copy = [f"((f + {b}) % 5 = 0)" for b in m]
-    strength = f"(CASE WHEN {copy[0]} AND {copy[1]} THEN 0 WHEN {copy[0]} OR {copy[1]} THEN 1 WHEN ({at}) % 16 = 0 THEN 2 ELSE 1 END)"
+    div = "div" if spark else "//"
+    m = [f"(({y}) {div} {plane.block} * 4 + ({x}) {div} {plane.block})" for x, y in (p, q)]
+    copy = [f"(({plane.picture(spark)} + {b}) % 5 = 0)" for b in m]
+    strength = f"(CASE WHEN {copy[0]} AND {copy[1]} THEN 0 WHEN {copy[0]} OR {copy[1]} THEN 1 WHEN ({at}) % {plane.block} = 0 THEN 2 ELSE 1 END)"
     qp = [f"(14 + 2 * {b})" for b in m]
     half = f"({qp[0]} + {qp[1]}) {'div' if spark else '//'} 2"
     return strength, f"(CASE WHEN {copy[0]} AND {copy[1]} THEN 0 WHEN {copy[0]} THEN {qp[1]} WHEN {copy[1]} THEN {qp[0]} ELSE {half} END)"
 
 
-def _filter(spark: bool, vertical: bool, rows: str) -> str:
+def _filter(spark: bool, vertical: bool, rows: str, plane: Plane) -> str:
     """The new value of pixel i of pic: at most three from an edge, every eight. vertical: edges between columns."""
     div, round_ = ("div", rdiv) if spark else ("//", duck.rdiv)
-    pos, line = (f"(i % 64)", f"(i {div} 64)") if vertical else (f"(i {div} 64)", "(i % 64)")
+    side, last = plane.side, plane.side - 1
+    pos, line = (f"(i % {side})", f"(i {div} {side})") if vertical else (f"(i {div} {side})", f"(i % {side})")
     edge = f"(({pos} + 3) {div} 8 * 8)"
 
     def px(place: str) -> str:
-        i = f"{line} * 64 + {place}" if vertical else f"({place}) * 64 + {line}"
+        i = f"{line} * {side} + {place}" if vertical else f"({place}) * {side} + {line}"
         return f"pic[int({i})]" if spark else f"pic[({i}) + 1]"
 
     far = f"({pos} >= {edge})"
-    near = [f"(CASE WHEN {far} THEN {px(f'least({edge} + {k}, 63)')} ELSE {px(f'greatest({edge} - {k + 1}, 0)')} END)" for k in range(4)]
-    over = [f"(CASE WHEN {far} THEN {px(f'greatest({edge} - {k + 1}, 0)')} ELSE {px(f'least({edge} + {k}, 63)')} END)" for k in range(2)]
+    near = [f"(CASE WHEN {far} THEN {px(f'least({edge} + {k}, {last})')} ELSE {px(f'greatest({edge} - {k + 1}, 0)')} END)" for k in range(4)]
+    over = [f"(CASE WHEN {far} THEN {px(f'greatest({edge} - {k + 1}, 0)')} ELSE {px(f'least({edge} + {k}, {last})')} END)" for k in range(2)]
     k = f"(CASE WHEN {far} THEN {pos} - {edge} ELSE {edge} - 1 - {pos} END)"
     a, b = ((f"{edge} - 1", line), (edge, line)) if vertical else ((line, f"{edge} - 1"), (line, edge))
-    strength, qp = _edge(spark, a, b, edge)
+    strength, qp = _edge(spark, a, b, edge, plane)
     n0, n1, n2, n3, f0, f1 = ("n0", "n1", "n2", "n3", "f0", "f1")
-    strong = f"CASE k WHEN 0 THEN {round_(f'{n2} + 2 * {n1} + 2 * {n0} + 2 * {f0} + {f1}', '8')} WHEN 1 THEN {round_(f'{n2} + {n1} + {n0} + {f0}', '4')} ELSE {round_(f'2 * {n3} + 3 * {n2} + {n1} + {n0} + {f0}', '8')} END"
-    weak = f"CASE k WHEN 0 THEN {round_(f'4 * ({n0} + {f0}) + {n1} - {f1}', '8')} WHEN 1 THEN {round_(f'4 * {n2} + 2 * {n0} + 2 * {f0}', '8')} ELSE n2 END"
+    # what becomes of the first, second and third pixel from an edge
+    strong = [round_(f"{n2} + 2 * {n1} + 2 * {n0} + 2 * {f0} + {f1}", "8"), round_(f"{n2} + {n1} + {n0} + {f0}", "4"), round_(f"2 * {n3} + 3 * {n2} + {n1} + {n0} + {f0}", "8") if plane.luma else "old"]
+    weak = [round_(f"4 * ({n0} + {f0}) + {n1} - {f1}", "8"), round_(f"4 * {n2} + 2 * {n0} + 2 * {f0}", "8") if plane.luma else "old", "old"]
+    strong, weak = (f"CASE k WHEN 0 THEN {x} WHEN 1 THEN {y} ELSE {z} END" for x, y, z in (strong, weak))
     alpha, beta = (f"{array(t)}[int(q)]" if spark else f"([{', '.join(map(str, t))}])[q + 1]" for t in (tables.EDGE_ALPHA, tables.EDGE_BETA))
     value = f"CASE WHEN abs(n0 - f0) >= {alpha} OR abs(n1 - n0) >= {beta} OR abs(f1 - f0) >= {beta} THEN old WHEN s = 2 THEN {strong} WHEN s = 1 THEN {weak} ELSE old END"
     names = {"old": "pic[i]" if spark else "pic[i + 1]", "n0": near[0], "n1": near[1], "n2": near[2], "n3": near[3], "f0": over[0], "f1": over[1], "k": k, "s": strength, "qa": qp}
-    touched = f"{edge} BETWEEN 8 AND 56 AND {pos} BETWEEN {edge} - 3 AND {edge} + 2 AND ({rows})"
-    q = "least(CASE WHEN s = 2 AND qa > 0 THEN qa + 2 ELSE qa END, 63)"
+    touched = f"{edge} BETWEEN 8 AND {side - 8} AND {pos} BETWEEN {edge} - 3 AND {edge} + 2 AND ({rows})"
+    qe = f"least(qa + {plane.qp_offset}, 63)" if plane.qp_offset else "qa"
+    q = f"least(CASE WHEN s = 2 AND {qe} > 0 THEN {qe} + 2 ELSE {qe} END, 63)"
     if spark:
         pair = ", ".join(f"{v} {n}" for n, v in names.items())
         for n in ("n0", "n1", "n2", "n3", "f0", "f1", "k", "s", "qa", "old", "q"):
             value, q = _word(value, n, f"z.{n}"), _word(q, n, f"z.{n}")
         return f"if({touched}, {let(f'struct({pair})', 'z', value.replace('z.q]', q + ']').replace('int(z.q)', f'int({q})'))}, pic[i])"
-    return f"SELECT f, list(CASE WHEN {touched} THEN {value} ELSE pic_i END ORDER BY i) AS pic FROM (SELECT *, {q} AS q FROM (SELECT f, i, {', '.join(f'{v} AS {n}' for n, v in names.items())}, pic[i + 1] AS pic_i FROM {{source}}, range(0, 4096) o(i))) GROUP BY f"
+    return f"SELECT f, list(CASE WHEN {touched} THEN {value} ELSE pic_i END ORDER BY i) AS pic FROM (SELECT *, {q} AS q FROM (SELECT f, i, {', '.join(f'{v} AS {n}' for n, v in names.items())}, pic[i + 1] AS pic_i FROM {{source}}, range(0, {side * side}) o(i))) GROUP BY f"
 
 
 def _word(text: str, name: str, to: str) -> str:
     return re.sub(rf"(?<![\w.]){name}(?![\w(])", to, text)
 
 
-def _stage(vertical: bool, spark: bool, rows: str) -> str:
-    return _filter(spark, vertical, rows.format(y="(i div 64)" if spark else "(i // 64)"))
+def _stage(vertical: bool, spark: bool, rows: str, plane: Plane = LUMA) -> str:
+    return _filter(spark, vertical, rows.format(y=f"(i {'div' if spark else '//'} {plane.side})"), plane)
 
 
 _STAGES = [(True, "{y} < 8 OR {y} % 8 >= 4"), (False, "TRUE"), (True, "{y} >= 8 AND {y} % 8 < 4")]
@@ -103,6 +127,32 @@ def deblock_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("f", "cast(r.y as bigint) y", f"{total('transform(r.a, (p, x) -> p * (x + 1))')} checksum", "cast(size(filter(zip_with(r.a, r.b, (p, q) -> p != q), d -> d)) as bigint) changed")
 
 
+_CPICS = f"""{_PICS}, cpix AS (SELECT f, x // 2 AS x, y // 2 AS y, (sum(p)::BIGINT + 2) >> 2 AS u FROM pix GROUP BY ALL),
+cpics AS (SELECT 2 * f AS f, list(u ORDER BY y, x) AS pic FROM cpix GROUP BY ALL UNION ALL SELECT 2 * f + 1, list(255 - u ORDER BY y, x) FROM cpix GROUP BY ALL)"""
+
+
+def chroma_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """f, pic: the 32x32 chroma planes of each picture, under 2 f and 2 f + 1: rounded means of four pixels, and what they lack to 255."""
+    at = "pic[int((i div 32) * 128 + i % 32 * 2 + {d})]"
+    mean = "shiftright(" + " + ".join(at.format(d=d) for d in (0, 1, 64, 65)) + " + 2, 2)"
+    rows = views.pictures(spark, sf_dir).selectExpr("f", f"{let('pic', 'pic', f'transform(sequence(0, 1023), i -> {mean})')} u")
+    return rows.selectExpr("f", "posexplode(array(u, transform(u, x -> 255 - x))) as (k, pic)").selectExpr("2 * f + k f", "pic")
+
+
+@query(
+    f"WITH {_CPICS}, s1 AS ({_stage(True, False, _STAGES[0][1], CHROMA).format(source='cpics')}), s2 AS ({_stage(False, False, _STAGES[1][1], CHROMA).format(source='s1')}), s3 AS ({_stage(True, False, _STAGES[2][1], CHROMA).format(source='s2')}) "
+    "SELECT s3.f // 2 AS f, s3.f % 2 AS plane, i // 32 AS y, sum(s3.pic[i + 1] * (i % 32 + 1))::BIGINT AS checksum, count(*) FILTER (s3.pic[i + 1] <> cpics.pic[i + 1])::BIGINT AS changed FROM s3 JOIN cpics USING (f), range(0, 1024) o(i) GROUP BY ALL"
+)
+def deblock_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As deblock_filter, on both chroma planes: every edge is a block's, two pixels beside it change at most, at a coarser step."""
+    rows = chroma_planes(spark, sf_dir).selectExpr("f", "pic src", "pic")
+    for vertical, which in _STAGES:
+        body = f"transform(sequence(0, 1023), i -> {_stage(vertical, True, which, CHROMA)})"
+        rows = rows.selectExpr("f", "src", f"{let('pic', 'pic', body)} pic")
+    rows = rows.selectExpr("f", "explode(transform(sequence(0, 31), y -> struct(y, slice(pic, y * 32 + 1, 32) a, slice(src, y * 32 + 1, 32) b))) r")
+    return rows.selectExpr("f div 2 f", "f % 2 plane", "cast(r.y as bigint) y", f"{total('transform(r.a, (p, x) -> p * (x + 1))')} checksum", "cast(size(filter(zip_with(r.a, r.b, (p, q) -> p != q), d -> d)) as bigint) changed")
+
+
 def _strengths(spark: bool) -> dict[str, str]:
     s, q = _edge(spark, ("e * 8 - 1", "y * 8"), ("e * 8", "y * 8"), "e * 8")
     t, r = _edge(spark, ("y * 8", "e * 8 - 1"), ("y * 8", "e * 8"), "e * 8")
