@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tilewave.functions import tables
 from tilewave.functions.exprs import array, let, rdiv, total
-from tilewave.operators import views
+from tilewave.operators import sample_offsets, views
 from tilewave.plans import duck
 from tilewave.plans.registry import query
 
@@ -181,7 +181,7 @@ def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Steps of the four direction classes: horizontal, vertical, and both diagonals.
-_STEPS = [(1, 0), (0, 1), (1, 1), (1, -1)]
+_STEPS = sample_offsets.STEPS
 _EDGES = f"""{_BOTH}, st AS (SELECT unnest([0, 1, 2, 3]) AS class, unnest([{', '.join(str(x) for x, _ in _STEPS)}]) AS dx, unnest([{', '.join(str(y) for _, y in _STEPS)}]) AS dy),
 e AS (SELECT f, ((i // 64) // 16) * 4 + (i % 64) // 16 AS m, class, i, a[i + 1] - b[i + 1] AS d, b[i + 1] AS r,
   CASE WHEN i % 64 - dx BETWEEN 0 AND 63 AND i % 64 + dx BETWEEN 0 AND 63 AND i // 64 - dy BETWEEN 0 AND 63 AND i // 64 + dy BETWEEN 0 AND 63
@@ -199,26 +199,7 @@ def _category(dx: str, dy: str, i: str = "p.i") -> str:
     return f"if({inside}, int(sign(pic[int({i} - {dy} * 64 - {dx})] - pic[{i}]) + sign(pic[int({i} + {dy} * 64 + {dx})] - pic[{i}])), 0)"
 
 
-#: Cells of a block: 32 bands, then the categories of each direction class.
-_CATEGORIES = [-2, -1, 1, 2]
-_PER_BLOCK = 32 + len(_STEPS) * len(_CATEGORIES)
-
-
-def _cells_of(source: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(error sums, counts) of all cells of pictures (n, 64, 64), in order of picture, block and cell."""
-    y, x = np.mgrid[:64, :64]
-    base = (np.arange(len(made))[:, None, None] * 16 + y // 16 * 4 + x // 16) * _PER_BLOCK
-    error = source - made
-    keys, weights = [(base + made // 8).ravel()], [error.ravel()]
-    for k, (dx, dy) in enumerate(_STEPS):
-        inside = (x >= abs(dx)) & (x < 64 - abs(dx)) & (y >= abs(dy)) & (y < 64 - abs(dy))
-        sides = np.sign(np.roll(made, (dy, dx), (1, 2)) - made) + np.sign(np.roll(made, (-dy, -dx), (1, 2)) - made)
-        for c, category in enumerate(_CATEGORIES):
-            at = inside & (sides == category)
-            keys.append(base[at] + 32 + k * len(_CATEGORIES) + c)
-            weights.append(error[at])
-    key, total_ = np.concatenate(keys), len(made) * 16 * _PER_BLOCK
-    return np.bincount(key, np.concatenate(weights), total_).astype(np.int64), np.bincount(key, minlength=total_)
+_CATEGORIES, _PER_BLOCK = sample_offsets.CATEGORIES, sample_offsets.PER_BLOCK
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +210,7 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
             for low in range(0, len(batch), 64):
                 rows = batch.iloc[low : low + 64]
                 source, made = (np.stack(rows[c].to_numpy()).astype(np.int64).reshape(-1, 64, 64) for c in ("a", "b"))
-                err, n = _cells_of(source, made)
+                err, n = (x.ravel() for x in sample_offsets.statistics(source, made))
                 hit = np.flatnonzero(n)
                 cell = hit % _PER_BLOCK
                 edge, band = cell - 32, cell < 32
