@@ -174,6 +174,34 @@ def test_suffix_array_repeats_equal_brute_force():
         assert longest_repeats(flat, text, len(texts)).tolist() == [x for t in texts for x in longest_brute(t)]
 
 
+def test_suffix_array_of_large_batches(monkeypatch):
+    """Lanes of a few places, repeats that lie across them, and texts of one word."""
+    from tilewave.llm import quality
+
+    rng = random.Random(31)
+    texts = [[1] * 700, [2, 3] * 300, [rng.randrange(400) for _ in range(500)] * 2, [rng.randrange(3) for _ in range(400)], [5]]
+    flat, text = np.concatenate([np.array(t) for t in texts]), np.repeat(np.arange(5), [len(t) for t in texts])
+    whole = quality.longest_repeats(flat, text, 5).tolist()
+    assert whole[:700] == [699, *(700 - k for k in range(1, 700))]
+    for lanes in (1, 3, 37):
+        monkeypatch.setattr(quality, "LANES", lanes)
+        assert quality.longest_repeats(flat, text, 5).tolist() == whole
+
+
+def test_quality_memory_of_a_repeated_word():
+    import tracemalloc
+
+    from tilewave.llm.quality import measured
+
+    text = b"word " * 400_000
+    tracemalloc.start()
+    out = measured([1], [text], 6, 0.4, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (out[1][0], out[9][0]) == (400_000, 399_999)
+    assert peak < 50 * len(text)
+
+
 def quality_brute(t):
     t = t or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", t)

@@ -1,8 +1,8 @@
 """Quality rules: repetition inside a text, from a suffix array over its words.
 
 The words of a batch of texts are ranked together by prefix doubling, where only suffixes that aren't
-yet alone in their group are ranked further. The common prefix of neighbours in the suffix array bounds
-the LCP intervals; the larger of a suffix's two is the longest repeat that begins there. Repeats of at
+yet alone in their group are ranked further, and one level is kept at a time. The common prefix of neighbours in the
+suffix array, found in the order of the text, where it shrinks by one word a place at most, bounds the LCP intervals; the larger of a suffix's two is the longest repeat that begins there. Repeats of at
 least `min_repeat` words are the maximal repeated substrings; the union of their spans over the text's
 words is the covered fraction. A text is kept if it meets the base rules, its covered fraction is at
 most `max_covered` and its longest repeat has at most `max_longest` words.
@@ -12,7 +12,7 @@ text's end has a rank of its own, so that no repeat spans two texts.
 
 Edge cases: a null or empty text has no words and fails the base rules. Texts are read whole, in slices
 of about SLICE bytes; one longer text is a slice of its own. Repeated rows give repeated results, an
-empty table an empty one. Extra columns are ignored.
+empty table an empty one. Extra columns are ignored. A text takes some 40 bytes of memory a byte, whatever its repetition.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ def longest_repeats(words: np.ndarray, text: np.ndarray, n_texts: int) -> np.nda
     rank[ends] = np.arange(n_texts)
     rank[at[order]] = group + n_texts
     sa = at[order]  # suffixes by rank, the ends left out
-    levels = [rank.copy()]
+    symbols = rank.copy()
     step = 1
     multi = np.diff(np.r_[first, n]) > 1
     open_ = np.repeat(multi, np.diff(np.r_[first, n]))  # slots of sa whose group isn't single
@@ -66,27 +66,59 @@ def longest_repeats(words: np.ndarray, text: np.ndarray, n_texts: int) -> np.nda
         new = np.r_[True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])]
         begin = np.flatnonzero(new)
         length = np.diff(np.r_[begin, len(who)])
-        rank = rank.copy()
         rank[who] = np.repeat(slots[begin], length) + n_texts
-        levels.append(rank)
         open_[slots] = np.repeat(length > 1, length)
         step *= 2
-    # common prefix of neighbours, from the highest level down
-    a, b = sa[:-1], sa[1:]
-    lcp = np.zeros(len(a), np.int64)
-    live = np.flatnonzero(levels[0][a] == levels[0][b])
-    x, y, got = a[live].copy(), b[live].copy(), np.zeros(len(live), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        same = levels[k][x] == levels[k][y]
-        got[same] += 1 << k
-        x[same] += 1 << k
-        y[same] += 1 << k
-    lcp[live] = got
+    lcp = common_prefixes(symbols, sa)
     best = np.zeros(size, np.int64)
     best[sa] = np.maximum(np.r_[0, lcp], np.r_[lcp, 0])
     return best[at]
 
 
+LANES = 1024
+
+
+def common_prefixes(symbols: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """How many symbols each two neighbours of the suffix array have in common. Symbols must differ somewhere before either suffix ends.
+
+    A place's common prefix with its neighbour is at least that of the place before, less one. Stretches of places go side by side; only
+    the first place of each is compared from its beginning.
+    """
+    size = len(symbols)
+    before = np.full(size, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    out = np.zeros(size, np.int64)
+    lanes = max(1, min(LANES, size // 64))
+    edges = np.arange(lanes + 1) * size // lanes
+    at, stop = edges[:-1].copy(), edges[1:]
+    have = np.zeros(lanes, np.int64)
+    for k in range(lanes):
+        p, q, step = int(at[k]), int(before[at[k]]), 64
+        while q >= 0:
+            a, b = symbols[p + have[k] : p + have[k] + step], symbols[q + have[k] : q + have[k] + step]
+            n = min(len(a), len(b))
+            unlike = np.flatnonzero(a[:n] != b[:n])
+            have[k] += unlike[0] if len(unlike) else n
+            if len(unlike):
+                break
+            step = min(2 * step, 1 << 16)
+    live = np.flatnonzero(at < stop)
+    at, stop, have = at[live], stop[live], have[live]
+    while len(at):
+        q = before[at]
+        same = (q >= 0) & (symbols[at + have] == symbols[q + have])
+        have[same] += 1
+        done = ~same
+        ended = at[done]
+        out[ended] = np.where(before[ended] >= 0, have[done], 0)
+        at[done] += 1
+        have[done] = np.maximum(have[done] - 1, 0)
+        if (at >= stop).any():
+            live = np.flatnonzero(at < stop)
+            at, stop, have = at[live], stop[live], have[live]
+    return out[sa[1:]]
+
+
 def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     """Of n words, those in the union of the spans, as booleans."""
     edge = np.zeros(n + 1, np.int64)
