@@ -21,6 +21,7 @@ matches of an item in a text are one row, the best. An empty table on either sid
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -212,11 +213,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.1, m
         raise ValueError("edit_share must be under one half")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    out, held = None, None
+    parts: list[DataFrame] = []
+    held = None
     for block in item_blocks(benchmark, "item_id", "text", block_bytes):
         if held is not None:
             # one index at a time: what the block before has found is written, and its broadcast goes
-            out = stored(out, "leaks")
+            parts[-1] = stored(parts[-1], "leaks")
             held.destroy()
         held = shipped = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -229,9 +231,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.1, m
                 cols = list(zip(*rows)) if rows else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
-        part = own.mapInArrow(run, SCHEMA)
-        out = part if out is None else out.unionAll(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
+        parts.append(own.mapInArrow(run, SCHEMA))
+    return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
 def scanned(index: BlockIndex, ids: pa.Array, texts: pa.Array) -> Iterator[tuple]:
