@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewave.llm.common import drop_stored, stored
+
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 # seeds of each class, in English, German, French and Spanish
 SEED_INSULTS = "idiot idiots moron morons stupid pathetic worthless disgusting scum scumbag trash loser losers clown imbecile vermin".split()
@@ -224,9 +226,10 @@ def _features(texts: DataFrame, weights: dict[str, float], keep: list[str], sche
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, threshold: float = 0.3) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted, clauses (matched)."""
-    sample = labelled_sample(docs, labels, sample_rows)
+    sample = stored(labelled_sample(docs, labels, sample_rows), "labelled-sample")  # documents are scanned once for it, and once for the scores
     weights = learn_lexicon(sample)
     fit = _features(sample.where("fold = 2").select("text", F.col("toxic").cast("int").alias("toxic")), weights, ["toxic"], "toxic int").collect()  # at most sample_rows rows of four numbers
+    drop_stored(sample)
     y = np.array([1.0 if r.toxic == 1 else 0.0 for r in fit])
     x = np.array([[r.total, r.most, r.n] for r in fit]).reshape(-1, 3)
     w = logistic(inputs(x), y) if y.any() and not y.all() else np.array([-3.0, 2.0, 1.0, 0.0])
