@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewave.llm import bpe, decontam, line_dedup, minhash, quality
-from tilewave.llm.common import stored, table
+from tilewave.llm.common import drop_stored, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, held = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if (name, stage) != STAGES[-1]:
             docs = stored(docs, name)
+            if held is not None:
+                drop_stored(held)  # nothing reads what the stage before kept any more
+            held = docs
     return docs
