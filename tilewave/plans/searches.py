@@ -131,10 +131,10 @@ def motion_search_intra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _subsamples_sql() -> str:
     """CTE made(k, m, x, y, p, place, sad): the prediction of each block of ap around its whole-sample place, by pixel."""
-    return f"""h AS (SELECT f, list({_fir(False, 1)} ORDER BY i) AS pic FROM pics, range(0, 4096) o(i) GROUP BY f),
-planes AS (SELECT f, 0 AS kind, pic FROM pics UNION ALL SELECT f, 1, pic FROM h
+    return f"""across AS (SELECT f, list({_fir(False, 1)} ORDER BY i) AS pic FROM pics, range(0, 4096) o(i) GROUP BY f),
+planes AS (SELECT f, 0 AS kind, pic FROM pics UNION ALL SELECT f, 1, pic FROM across
  UNION ALL SELECT f, 2, list({_fir(False, 64)} ORDER BY i) FROM pics, range(0, 4096) o(i) GROUP BY f
- UNION ALL SELECT f, 3, list({_fir(False, 64)} ORDER BY i) FROM h, range(0, 4096) o(i) GROUP BY f),
+ UNION ALL SELECT f, 3, list({_fir(False, 64)} ORDER BY i) FROM across, range(0, 4096) o(i) GROUP BY f),
 plane AS (SELECT f, kind, i % 64 AS x, i // 64 AS y, pic[i + 1] AS p FROM planes, range(0, 4096) o(i)),
 dirs AS (SELECT u, v, 2 * ((v + 1) * 3 + u + 1 - ((v + 1) * 3 + u + 1 > 4)::INT) + quarter AS place, quarter FROM range(-1, 2) a(u), range(-1, 2) b(v), range(0, 2) c(quarter) WHERE u <> 0 OR v <> 0
  UNION ALL SELECT 0, 0, -1, 0),
