@@ -140,6 +140,32 @@ def test_secret_scan_judges_what_formats_leave_open(spark):
     assert len(got & want) >= 0.9 * len(want) and not got - want
 
 
+def test_secret_scan_leaves_harmless_values_alone(spark):
+    """UUIDs, link and commit hashes, builds, orders and product names in texts of their own; and keys of shapes that no format knows."""
+    import uuid
+
+    from tilewave.llm.secret_scan import scan_secrets
+
+    rng = random.Random(5)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    harmless = [lambda: f"session {uuid.UUID(int=rng.getrandbits(128), version=4)} closed", lambda: f"https://files.example.net/{hexes(32)}/photo", lambda: f"reverts commit {hexes(40)} today", lambda: f"order {rng.choice(WORDS)}-{digits(6)} shipped", lambda: f"build {digits(8)}-rc{digits(1)}", lambda: f"the {rng.choice(WORDS)}{digits(4)}{rng.choice(WORDS)} model"]
+    secrets = [lambda: f"password={mixed(13)}", lambda: f'token = "{mixed(30)}"', lambda: f"api_key: {hexes(36)}", lambda: f"AKIA{mixed(16).upper()}"]
+    texts, want = [], set()
+    for i in range(400):
+        bad = i % 5 == 0
+        texts.append(f"{prose(rng, 15)} {rng.choice(secrets if bad else harmless)()} {prose(rng, 8)}")
+        want |= {i} if bad else set()
+    rows = scan_secrets(docs_of(spark, texts)).collect()
+    got = {r.doc_id for r in rows}
+    # held-out recall and precision, by document
+    assert len(got & want) >= 0.95 * len(want)
+    assert len(got - want) <= 0.03 * (len(texts) - len(want))
+    uuids = {i for i, t in enumerate(texts) if " session " in t and " closed " in t}
+    assert len(uuids) > 30 and not got & uuids
+
+
 def test_secret_scan_edge_cases(spark, edge_docs):
     from tilewave.llm.secret_scan import scan_secrets
 
