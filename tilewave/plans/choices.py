@@ -38,9 +38,8 @@ costs AS (SELECT b // 16 AS f, b % 16 AS m, type, ssd + {WEIGHT} * (bits + CASE
  UNION ALL SELECT a.f, a.m, 0, sum((a.p - b.p) * (a.p - b.p))::BIGINT + {WEIGHT} FROM pix a JOIN pix b ON b.f + 1 = a.f AND b.x = a.x AND b.y = a.y GROUP BY ALL)"""
 
 
-@query(f"""{_TYPES} SELECT f, m, arg_min(type, struct_pack(cost := cost, type := type))::BIGINT AS type, {', '.join(f'min(cost) FILTER (type = {k})::BIGINT AS cost{k}' for k in range(5))} FROM costs GROUP BY f, m""")
-def rd_block_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each block's types by squared error after coding and estimated bits; of equals the first."""
+def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """f, m, type, head, q, p, s, level, rec: each quarter of a block under each type but copy: prediction, residual, levels and what they give."""
 
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,13 +55,42 @@ def rd_block_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = pictures.predicted(spark, sf_dir).join(pairs.select("f"), "f").selectExpr("f", "cast(m as bigint) m", "y", "modes", "dc")
     intra = own.selectExpr("f", "m", "y", "inline(array(struct(2L type, array_repeat(dc, 256) p), struct(3L type, transform(modes[1], x -> cast(x as bigint)) p), struct(4L type, transform(modes[2], x -> cast(x as bigint)) p)))").selectExpr("f", "m", "type", "4L head", "y", "p")
     inter = motion.join(own.select("f", "m", "y"), ["f", "m"]).selectExpr("f", "m", "1L type", "head", "y", "p")
-    rows = inter.unionAll(intra).selectExpr("f", "m", "type", "head", "zip_with(y, p, (a, b) -> a - b) d", "explode(sequence(0, 3)) q")
-    rows = transform.forward(rows.selectExpr("f", "m", "type", "head", f"{transform.quadrant('d', 'q')} s"), "s", "coef")
-    rows = rows.selectExpr("f", "m", "type", "head", "s", f"if(type = 1, {quantize.inter('coef', QP)}, {quantize.intra('coef', QP, _SCALE)}) level")
+    rows = inter.unionAll(intra).selectExpr("f", "m", "type", "head", "p", "zip_with(y, p, (a, b) -> a - b) d", "explode(sequence(0, 3)) q")
+    rows = transform.forward(rows.selectExpr("f", "m", "type", "head", "q", f"{transform.quadrant('p', 'q')} p", f"{transform.quadrant('d', 'q')} s"), "s", "coef")
+    rows = rows.selectExpr("f", "m", "type", "head", "q", "p", "s", f"if(type = 1, {quantize.inter('coef', QP)}, {quantize.intra('coef', QP, _SCALE)}) level")
     back = f"if(type = 1, {quantize.dequantize('level', QP, tables.INTER_MATRIX, None)}, {quantize.dequantize('level', QP, tables.INTRA_MATRIX, _SCALE)})"
-    rows = transform.inverse(rows.selectExpr("*", f"{back} deq"), "deq", "rec")
-    rows = rows.selectExpr("f", "m", "type", "head", f"{total('zip_with(s, rec, (a, b) -> (a - b) * (a - b))')} ssd", f"{total(f'transform(level, v -> {quantize.coefficient_bits('v')})')} bits")
-    coded = rows.groupBy("f", "m", "type").agg(F.expr(f"sum(ssd) + {WEIGHT} * (sum(bits) + max(head)) cost"))
+    return transform.inverse(rows.selectExpr("*", f"{back} deq"), "deq", "rec").drop("deq")
+
+
+def _costs(spark: SparkSession, sf_dir: str, coded: DataFrame) -> DataFrame:
+    """f, m, type, cost."""
+    rows = coded.selectExpr("f", "m", "type", "head", f"{total('zip_with(s, rec, (a, b) -> (a - b) * (a - b))')} ssd", f"{total(f'transform(level, v -> {quantize.coefficient_bits('v')})')} bits")
+    sums = rows.groupBy("f", "m", "type").agg(F.expr(f"sum(ssd) + {WEIGHT} * (sum(bits) + max(head)) cost"))
     still = pictures._pairs(spark, sf_dir).selectExpr("f", "cast(m as bigint) m", "0L type", f"{total('zip_with(a, b, (x, y) -> (x - y) * (x - y))')} + {WEIGHT} cost")
-    both = coded.unionByName(still).groupBy("f", "m")
+    return sums.unionByName(still)
+
+
+@query(f"""{_TYPES} SELECT f, m, arg_min(type, struct_pack(cost := cost, type := type))::BIGINT AS type, {', '.join(f'min(cost) FILTER (type = {k})::BIGINT AS cost{k}' for k in range(5))} FROM costs GROUP BY f, m""")
+def rd_block_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each block's types by squared error after coding and estimated bits; of equals the first."""
+    both = _costs(spark, sf_dir, _coded(spark, sf_dir)).groupBy("f", "m")
     return both.agg(F.expr("min(struct(cost, type)).type type"), *[F.expr(f"min(cost) filter (where type = {k})").alias(f"cost{k}") for k in range(5)])
+
+
+@query(f"""{_TYPES}, best AS (SELECT f * 16 + m AS b, arg_min(type, struct_pack(cost := cost, type := type)) AS type FROM costs GROUP BY ALL),
+px AS (SELECT vec_id // 32 AS b, vec_id // 4 % 8 AS type, vec_id % 4 * 64 + k AS place, own, least(greatest(p + rec, 0), 255) AS o FROM idct JOIN (SELECT *, r * 8 + c AS k FROM keyed) USING (vec_id, k)
+ UNION ALL SELECT a.f * 16 + a.m, 0, (a.y % 16 // 8 * 2 + a.x % 16 // 8) * 64 + a.y % 8 * 8 + a.x % 8, a.p, b.p FROM pix a JOIN pix b ON b.f + 1 = a.f AND b.x = a.x AND b.y = a.y),
+rec AS (SELECT b, type, sum(o * (place + 1))::BIGINT AS rebuilt, sum((own - o) * (own - o))::BIGINT AS ssd FROM px GROUP BY ALL),
+lsum AS (SELECT vec_id // 32 AS b, vec_id // 4 % 8 AS type, sum(level * (vec_id % 4 * 64 + k + 1))::BIGINT AS levels, count(*) FILTER (level <> 0)::BIGINT AS n FROM lv GROUP BY ALL)
+SELECT b // 16 AS f, b % 16 AS m, type::BIGINT AS type, coalesce(levels, 0) AS levels, coalesce(n, 0) AS n, rebuilt, ssd FROM best JOIN rec USING (b, type) LEFT JOIN lsum USING (b, type)""")
+def block_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each block coded under its best type and rebuilt from its levels: prediction and inverse transform, from 0 to 255, or the copy."""
+    coded = _coded(spark, sf_dir)
+    best = _costs(spark, sf_dir, coded).groupBy("f", "m").agg(F.expr("min(struct(cost, type)).type type"))
+    rows = coded.selectExpr("f", "m", "type", "q", "level", "zip_with(p, rec, (a, b) -> least(greatest(a + b, 0L), 255L)) o", "zip_with(p, s, (a, b) -> a + b) own")
+    still = pictures._pairs(spark, sf_dir).selectExpr("f", "cast(m as bigint) m", "0L type", "explode(sequence(0, 3)) q", "a", "b")
+    still = still.selectExpr("f", "m", "type", "q", "cast(array() as array<bigint>) level", f"{transform.quadrant('b', 'q')} o", f"{transform.quadrant('a', 'q')} own")
+    rows = rows.unionByName(still).join(best, ["f", "m", "type"])
+    place = "(x, k) -> x * (q * 64 + k + 1)"
+    rows = rows.selectExpr("f", "m", "type", f"{total(f'transform(level, {place})')} levels", "cast(size(filter(level, x -> x != 0)) as bigint) n", f"{total(f'transform(o, {place})')} rebuilt", f"{total('zip_with(own, o, (a, b) -> (a - b) * (a - b))')} ssd")
+    return rows.groupBy("f", "m", "type").agg(*[F.sum(c).alias(c) for c in ("levels", "n", "rebuilt", "ssd")])
