@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tilewave.functions import bits, exprs, tables
 from tilewave.operators import adaptive_counts, views
-from tilewave.plans import containers, duck, transforms
+from tilewave.plans import containers, duck, signals, transforms
 from tilewave.plans.registry import query
 from tilewave.sources import container
 
@@ -71,6 +71,15 @@ def coefficient_code_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("id", "size", "cast(length(code) as bigint) bits", f"md5({bits.packed_hex('code')}) digest", f"{back} decoded")
 
 
+def runs_code(z: str) -> str:
+    """The code of levels in scan order as runs: the last place, then for each level the zeros before it, its size and its sign."""
+    last = "coalesce(array_max(transform(a, p -> p.i)), -1L)"
+    run = "(p.i - coalesce(get(a, j - 1).i, -1L))"
+    parts = f"transform(a, (p, j) -> concat({bits.golomb(run)}, {bits.golomb('abs(p.x)')}, if(p.x < 0, '1', '0')))"
+    places = f"filter(transform({z}, (x, i) -> struct(x, cast(i as bigint) i)), p -> p.x != 0)"
+    return exprs.let(places, "a", f"concat({bits.golomb(f'({last} + 2)')}, array_join({parts}, ''))")
+
+
 @query(f"""{transforms._Z}, nz AS (SELECT vec_id, pos, level, pos - lag(pos, 1, -1) OVER (PARTITION BY vec_id ORDER BY pos) - 1 AS run FROM zz WHERE level <> 0),
 t AS (SELECT vec_id, pos, {_code_sql('run + 1')} || {_code_sql('abs(level)')} || (level < 0)::INT::VARCHAR AS part FROM nz
  UNION ALL SELECT vec_id, -1, {_code_sql('coalesce(max(pos) FILTER (level <> 0), -1) + 2')} FROM zz GROUP BY vec_id),
@@ -78,12 +87,7 @@ c AS (SELECT vec_id AS id, 8 AS size, string_agg(part, '' ORDER BY pos) AS code
 SELECT id AS vec_id, bits, md5(code) AS digest, (SELECT sum(level * (pos + 1))::BIGINT FROM zz WHERE zz.vec_id = id) AS decoded FROM hexed""")
 def coefficient_code_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels of 8x8 blocks as runs: the last place, then for each level the zeros before it, its size and its sign; and read back."""
-    places = "filter(transform(z, (x, i) -> struct(x, cast(i as bigint) i)), p -> p.x != 0)"
-    rows = transforms.scanned(spark, sf_dir).selectExpr("vec_id", f"{places} a")
-    last = "coalesce(array_max(transform(a, p -> p.i)), -1L)"
-    run = "(p.i - coalesce(get(a, j - 1).i, -1L))"
-    parts = f"transform(a, (p, j) -> concat({bits.golomb(run)}, {bits.golomb('abs(p.x)')}, if(p.x < 0, '1', '0')))"
-    rows = rows.selectExpr("vec_id", f"concat({bits.golomb(f'({last} + 2)')}, array_join({parts}, '')) code")
+    rows = transforms.scanned(spark, sf_dir).selectExpr("vec_id", f"{runs_code('z')} code")
     # each step reads a run, a size and a sign, until the last place is there
     head = f"named_struct('at', {bits.golomb_stop('c', '1')}, 'last', {bits.golomb_value('c', '1')} - 2, 'pos', -1L, 'sum', 0L)"
     run_m, size_at = bits.golomb_value("c", "s.at"), bits.golomb_stop("c", "s.at")
@@ -177,3 +181,26 @@ def container_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("stream_id") < 0, "lost").otherwise("packet")
     sums = rows.groupBy(kind.alias("outcome"), F.col("stream_id").cast("long").alias("stream_id")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.expr("sum(ts_us % 1000003) checksum"))
     return sums.select("outcome", "stream_id", *[F.when(F.col("outcome") == "packet", F.col(c)).alias(c) if c != "bytes" else c for c in ("n", "bytes", "checksum")])
+
+
+# ---- audio frames -------------------------------------------------------------------------------------------
+
+
+@query(f"""{signals._LEVELS}, f AS (SELECT frame, coalesce(max(k) FILTER (level <> 0), -1) AS last, max(level) FILTER (k = 0) AS first FROM lv GROUP BY frame),
+p AS (SELECT f.*, coalesce(b.first, 0) AS before FROM f LEFT JOIN f b ON b.frame + 1 = f.frame),
+t AS (SELECT frame, k, {_code_sql('(CASE WHEN d = 0 THEN 1 ELSE abs(d) * 2 + (d < 0)::INT END)')} AS code FROM (SELECT lv.frame, k, level - CASE WHEN k = 0 THEN before ELSE 0 END AS d FROM lv JOIN p ON p.frame = lv.frame AND k <= last)
+ UNION ALL SELECT frame, -1, {_code_sql('last + 2')} FROM p),
+c AS (SELECT frame AS id, 0 AS size, string_agg(code, '' ORDER BY k) AS code FROM t GROUP BY frame), {_hex_sql('c')}
+SELECT id AS frame, bits, md5(code) AS digest, (SELECT sum(level * (k + 1))::BIGINT FROM lv WHERE lv.frame = id) AS decoded FROM hexed""")
+def audio_frame_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame's levels up to the last that isn't zero, the first as its difference to that of the frame before; and read back from the code."""
+    rows = signals._levels(spark, sf_dir)
+    before = rows.selectExpr("frame + 1 frame", "y[0] before")
+    rows = rows.join(before, "frame", "left").selectExpr("frame", "y", "coalesce(before, 0L) before", "coalesce(array_max(transform(filter(transform(y, (x, k) -> struct(x, cast(k as bigint) k)), p -> p.x != 0), p -> p.k)), -1L) last")
+    each = f"transform(slice(y, 1, int(last + 1)), (x, k) -> {exprs.let('x - if(k = 0, before, 0L)', 'd', bits.golomb(exprs.signed_code('d')))})"
+    rows = rows.selectExpr("frame", "before", f"concat({bits.golomb('(last + 2)')}, array_join({each}, '')) code")
+    head = f"named_struct('at', {bits.golomb_stop('c', '1')}, 'last', {bits.golomb_value('c', '1')} - 2, 'sum', 0L)"
+    value = exprs.let(bits.golomb_value("c", "s.at"), "x", bits.signed_of("x"))
+    step = f"if(k <= s.last, named_struct('at', {bits.golomb_stop('c', 's.at')}, 'last', s.last, 'sum', s.sum + ({value} + if(k = 0, before, 0L)) * (k + 1)), s)"
+    back = exprs.let("code", "c", f"aggregate(sequence(0L, {signals.HOP - 1}L), {head}, (s, k) -> {step}).sum")
+    return rows.selectExpr("frame", "cast(length(code) as bigint) bits", f"md5({bits.packed_hex('code')}) digest", f"{back} decoded")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewave.plans import bitstreams, blocks, choices, coders, codes, containers, extras, filters, offsets, pictures, searches, signals, streams, transforms  # noqa: F401  (each module puts its queries into the registry)
+from tilewave.plans import bitstreams, blocks, choices, coders, codes, containers, extras, filters, offsets, pictures, searches, signals, slices, streams, transforms  # noqa: F401  (each module puts its queries into the registry)
 from tilewave.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

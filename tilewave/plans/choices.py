@@ -38,23 +38,28 @@ costs AS (SELECT b // 16 AS f, b % 16 AS m, type, ssd + {WEIGHT} * (bits + CASE
  UNION ALL SELECT a.f, a.m, 0, sum((a.p - b.p) * (a.p - b.p))::BIGINT + {WEIGHT} FROM pix a JOIN pix b ON b.f + 1 = a.f AND b.x = a.x AND b.y = a.y GROUP BY ALL)"""
 
 
-def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """f, m, type, head, q, p, s, level, rec: each quarter of a block under each type but copy: prediction, residual, levels and what they give."""
+def _motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """f, m, dx, dy, place, p: each block's vector, its sub-sample and the prediction."""
 
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(k, 64) for k in range(0, batch.num_rows, 64)):
                 now, ref = (c.flatten().to_numpy().reshape(-1, 64, 64) for c in part.columns[1:])
                 dx, dy, *_ = block_search.ring_search(now, ref, RATE)
-                made = block_search.subsample_search(now, ref, dx, dy)[2].reshape(-1, 256)
+                place, _, made = block_search.subsample_search(now, ref, dx, dy)
+                made = made.reshape(-1, 256)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * 256), pa.array(made.ravel(), pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), 16)), pa.array(np.tile(np.arange(16), part.num_rows)), pa.array((np.abs(dx) + np.abs(dy) + 4).ravel(), pa.int64()), lists], ["f", "m", "head", "p"])
+                vector = [pa.array(x.ravel(), pa.int64()) for x in (dx, dy, place)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), 16)), pa.array(np.tile(np.arange(16), part.num_rows)), *vector, lists], ["f", "m", "dx", "dy", "place", "p"])
+
+    return _narrow(picture_pairs(spark, sf_dir).select("f", "a", "b")).mapInArrow(moved, "f long, m long, dx long, dy long, place long, p array<bigint>")
 
-    pairs = picture_pairs(spark, sf_dir)
-    motion = _narrow(pairs.select("f", "a", "b")).mapInArrow(moved, "f long, m long, head long, p array<bigint>")
-    own = pictures.predicted(spark, sf_dir).join(pairs.select("f"), "f").selectExpr("f", "cast(m as bigint) m", "y", "modes", "dc")
+
+def _coded(spark: SparkSession, sf_dir: str, motion: DataFrame) -> DataFrame:
+    """f, m, type, head, q, p, s, level, rec: each quarter of a block under each type but copy: prediction, residual, levels and what they give."""
+    own = pictures.predicted(spark, sf_dir).join(picture_pairs(spark, sf_dir).select("f"), "f").selectExpr("f", "cast(m as bigint) m", "y", "modes", "dc")
     intra = own.selectExpr("f", "m", "y", "inline(array(struct(2L type, array_repeat(dc, 256) p), struct(3L type, transform(modes[1], x -> cast(x as bigint)) p), struct(4L type, transform(modes[2], x -> cast(x as bigint)) p)))").selectExpr("f", "m", "type", "4L head", "y", "p")
-    inter = motion.join(own.select("f", "m", "y"), ["f", "m"]).selectExpr("f", "m", "1L type", "head", "y", "p")
+    inter = motion.join(own.select("f", "m", "y"), ["f", "m"]).selectExpr("f", "m", "1L type", "abs(dx) + abs(dy) + 4 head", "y", "p")
     rows = inter.unionAll(intra).selectExpr("f", "m", "type", "head", "p", "zip_with(y, p, (a, b) -> a - b) d", "explode(sequence(0, 3)) q")
     rows = transform.forward(rows.selectExpr("f", "m", "type", "head", "q", f"{transform.quadrant('p', 'q')} p", f"{transform.quadrant('d', 'q')} s"), "s", "coef")
     rows = rows.selectExpr("f", "m", "type", "head", "q", "p", "s", f"if(type = 1, {quantize.inter('coef', QP)}, {quantize.intra('coef', QP, _SCALE)}) level")
@@ -73,7 +78,7 @@ def _costs(spark: SparkSession, sf_dir: str, coded: DataFrame) -> DataFrame:
 @query(f"""{_TYPES} SELECT f, m, arg_min(type, struct_pack(cost := cost, type := type))::BIGINT AS type, {', '.join(f'min(cost) FILTER (type = {k})::BIGINT AS cost{k}' for k in range(5))} FROM costs GROUP BY f, m""")
 def rd_block_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each block's types by squared error after coding and estimated bits; of equals the first."""
-    both = _costs(spark, sf_dir, _coded(spark, sf_dir)).groupBy("f", "m")
+    both = _costs(spark, sf_dir, _coded(spark, sf_dir, _motion(spark, sf_dir))).groupBy("f", "m")
     return both.agg(F.expr("min(struct(cost, type)).type type"), *[F.expr(f"min(cost) filter (where type = {k})").alias(f"cost{k}") for k in range(5)])
 
 
@@ -85,7 +90,7 @@ lsum AS (SELECT vec_id // 32 AS b, vec_id // 4 % 8 AS type, sum(level * (vec_id
 SELECT b // 16 AS f, b % 16 AS m, type::BIGINT AS type, coalesce(levels, 0) AS levels, coalesce(n, 0) AS n, rebuilt, ssd FROM best JOIN rec USING (b, type) LEFT JOIN lsum USING (b, type)""")
 def block_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each block coded under its best type and rebuilt from its levels: prediction and inverse transform, from 0 to 255, or the copy."""
-    coded = _coded(spark, sf_dir)
+    coded = _coded(spark, sf_dir, _motion(spark, sf_dir))
     best = _costs(spark, sf_dir, coded).groupBy("f", "m").agg(F.expr("min(struct(cost, type)).type type"))
     rows = coded.selectExpr("f", "m", "type", "q", "level", "zip_with(p, rec, (a, b) -> least(greatest(a + b, 0L), 255L)) o", "zip_with(p, s, (a, b) -> a + b) own")
     still = pictures._pairs(spark, sf_dir).selectExpr("f", "cast(m as bigint) m", "0L type", "explode(sequence(0, 3)) q", "a", "b")
