@@ -21,6 +21,7 @@ table an empty one. Extra columns are ignored. Very long runs are one candidate
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -100,9 +101,19 @@ def format_label() -> Column:
     return F.when(s.rlike(FORMATS), 1.0).when(s.rlike(HARMLESS), 0.0)
 
 
-def built(spark: SparkSession, rows: int, seed: str = "built") -> DataFrame:
-    """(doc_id, text, label): built findings, `rows` in all, made from the templates in turn and the digests of their numbers."""
+def _word(digest: Column, known: Column | None, n: int) -> Column:
+    if known is not None:
+        return F.concat(*[F.get(known, F.conv(F.substring(digest, k, 6), 16, 10).cast("int") % n) for k in (1, 7, 13)])
+    vowels = F.translate(digest, "0123456789abcdef", "aeiouaeioaeeiora")
+    consonants = F.translate(digest, "0123456789abcdef", "bcdfglmnprstvkhs")
+    return F.concat(*[F.concat(F.substring(consonants, k + 1, 1), F.substring(vowels, k + 40, 1)) for k in range(5)])
+
+
+def built(spark: SparkSession, rows: int, pieces: Sequence[str] = (), seed: str = "built") -> DataFrame:
+    """(doc_id, text, label): built findings, `rows` in all, made from the templates in turn and the digests of their numbers. Words are made of
+    pieces, which are those of the corpus's own words, or of consonants and vowels in turn."""
     parts = []
+    known = F.array(*map(F.lit, pieces)) if pieces else None
     for label, templates in BUILT.items():
         own = spark.range(rows // 2).withColumn("t", F.get(F.array(*map(F.lit, templates)), F.col("id").cast("int") % len(templates)))
         text = F.col("t")
@@ -116,8 +127,7 @@ def built(spark: SparkSession, rows: int, seed: str = "built") -> DataFrame:
                     "u": F.concat_ws("-", *[F.substring(digest, a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]),
                     "h": F.substring(digest, 1, n), "b": F.substring(wide, 1, n), "A": F.upper(F.substring(wide, 1, n)),
                     "d": F.translate(F.substring(digest, 1, n), "abcdef", "012345"),
-                    # consonants and vowels in turn, as words have
-                    "w": F.substring(F.concat_ws("", *[F.concat(F.substring(F.translate(digest, "0123456789abcdef", "bcdfglmnprstvkhs"), k + 1, 1), F.substring(F.translate(digest, "0123456789abcdef", "aeiouaeioaeeiora"), k + 40, 1)) for k in range(5)]), 1, n),
+                    "w": F.substring(_word(digest, known, len(pieces)), 1, n),
                 }[kind]
                 text = F.replace(text, F.lit("{" + kind + (str(n) if n else "") + "}"), value)
         parts.append(own.select((F.col("id") + int(label) * rows).alias("doc_id"), F.concat(F.lit("then "), text, F.lit(" again")).alias("text"), F.lit(label).alias("label")))
@@ -133,7 +143,8 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold:
     else:
         marked = found.join(labelled.select("doc_id", "start", "stop", F.col("label").cast("double").alias("label")), ["doc_id", "start", "stop"])
     chosen = marked.where("label is not null").orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start").limit(sample_rows)
-    own = built(docs.sparkSession, built_rows)
+    pieces = [r.fragment for r in fragments.orderBy(F.xxhash64("fragment")).limit(200).collect()]
+    own = built(docs.sparkSession, built_rows, pieces)
     more = described(candidates(own, min_chars), fragments).join(own.select("doc_id", "label"), "doc_id")
     train = stored(chosen.select(*FEATURES, "label").unionAll(more.select(*FEATURES, "label")), "labelled")
     kinds = {r.label for r in train.select("label").distinct().limit(2).collect()}
