@@ -176,3 +176,31 @@ def test_without_expiry_a_key_waits_for_what_is_missing(spark, tmp_path):
     batches = [[(1, 2, False, b"c")], [(1, 1, False, b"b")], [(1, 0, False, struct.pack("<I", 3) + b"a")], [(1, 1, False, b"again"), (1, 3, False, framed([b"z"]))]]
     out = run_stream(spark, frames_log(spark, str(tmp_path / "in"), batches), str(tmp_path), lambda s: stateful.reassembled(s, ["part"]))
     assert [(n, bytes(m)) for batch in out for _, n, m in batch] == [(0, b"abc"), (1, b"z")]
+
+
+def test_streams_of_a_lane_share_calls_and_stay_apart(spark, tmp_path):
+    """60 streams in two lanes, one of them without a name: two calls a batch, whatever comes early, again or at a reset."""
+    stateful.stateful(spark)
+    at, wide = str(tmp_path / "calls"), "lane long, part long, nth long, reset boolean, data binary"
+    os.makedirs(at)
+
+    class Counted(stateful.Reassembly):
+        def handleInputRows(self, key, rows, timerValues):
+            with open(f"{at}/{time.time_ns()}-{key[0]}", "w"):
+                pass
+            return super().handleInputRows(key, rows, timerValues)
+
+    names = [None, *range(1, 60)]
+    text = {p: framed([b"%d" % (p or 0) * 5, b"", b"end"]) for p in names}
+    piece = lambda p, k: ((p or 0) % 2, p, k, False, text[p][5 * k : 5 * k + 5])
+    batches = [[piece(p, k) for p in names for k in (2, 4)], [piece(p, k) for p in names for k in (0, 2, 1)], [piece(p, k) for p in names for k in (1, 3, 5)]]
+    batches[2].append((1, 1, 6, True, framed([b"anew"])))
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, wide).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    folders = [f"{tmp_path}/in/{k}" for k in range(3)]
+    out = run_stream(spark, folders, str(tmp_path), lambda s: stateful.applied(s, ["part", "lane"], Counted(), ["lane"]))
+    got = sorted(((p or 0, n, bytes(m)) for batch in out for p, _, n, m in batch))
+    assert got == sorted([(p or 0, n, m) for p in names for n, m in enumerate([b"%d" % (p or 0) * 5, b"", b"end"])] + [(1, 0, b"anew")])
+    assert {p for batch in out for p, *_ in batch} == set(names) and len(os.listdir(at)) == 6
+    with pytest.raises(ValueError):
+        stateful.reassembled(spark.createDataFrame(batches[0], wide), ["part", "lane"], ttl_ms=10, lane=["lane"])

@@ -92,12 +92,13 @@ PIECE, HOP, RESET = 37, 8, 40
 
 @query("SELECT user_id AS part, event_id // 4096 AS chunk, row_number() OVER (PARTITION BY user_id, event_id // 4096 ORDER BY event_id) - 1 AS message, props AS payload FROM events")
 def stream_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """framed_split on a stream: each buffer comes cut into pieces that end anywhere, spread over batches in no order."""
+    """framed_split on a stream: each buffer comes cut into pieces that end anywhere, spread over batches in no order. Buffers are short
+    and many; those of a chunk, of at most 4,096 events, are a lane."""
     buffers_ = framed_buffers(views.table(spark, sf_dir, "events"))
     pieces = buffers_.selectExpr("part", "chunk", f"posexplode(transform(sequence(1, greatest(length(b), 1), {PIECE}), i -> substring(b, i, {PIECE}))) as (nth, data)")
     stateful.stateful(spark)
     log = message_log(pieces, ["part", "chunk", "nth"])
-    return drained(stateful.reassembled(log, ["part", "chunk"]).selectExpr("part", "chunk", "message", "cast(payload as string) payload"))
+    return drained(stateful.reassembled(log, ["part", "chunk"], lane=["chunk"]).selectExpr("part", "chunk", "message", "cast(payload as string) payload"))
 
 
 _LAPPED = f"""WITH e AS (SELECT event_id // 1000 AS part, event_id % 1000 AS n, floor(value * 100 + 0.5)::BIGINT AS iv FROM events),
