@@ -96,3 +96,19 @@ def test_damage_is_named_and_reading_goes_on():
     container.read_streams(src)
     rows = list(container.read_damaged(src, len(out.getvalue()) - 1, {0: 0, 1: 1}))
     assert len(rows) == 30 and rows[-1][1] == -1 and rows[-1][5] == places[-1][0]
+
+
+def test_blocks_of_a_stream_hand_on_their_counts(spark):
+    """Blocks anywhere between two halvings, and no task holds more of a stream than one of them."""
+    from tilewave.plans import bitstreams
+
+    rng = np.random.default_rng(11)
+    lines = [(s, int(k), int(v), 0, 0.5) for s, n in ((1, 25_000), (2, 7)) for k, v in enumerate(rng.integers(0, 1 << 14, n) & rng.integers(0, 1 << 14, n))]
+    shuffled = [lines[i] for i in rng.permutation(len(lines))]
+    got = bitstreams.counted(spark, spark.createDataFrame(shuffled, "stream long, a long, b long, c long, d double"), 997).toPandas()
+    assert got["n"].max() <= 100_000 and (got["stream"] == 1).sum() >= 3
+    for stream in (1, 2):
+        want = adaptive_counts.cost(adaptive_counts.low_bits(np.array([b for s, _, b, _, _ in lines if s == stream]), 10), 997)
+        own = got[got["stream"] == stream]
+        assert (own["n"].sum(), own["halvings"].sum(), own["checksum"].sum()) == (want.n, want.halvings, (want.ones % 9973).sum())
+        assert abs(own["cost"].sum() - want.bits) < 1e-6

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,15 +145,51 @@ c AS (SELECT m.stream, p.i, bit, m.n0 + p.i - 1 - start - (p.ones - bit - base)
 SELECT stream, count(*)::BIGINT AS n, (SELECT max(halved) FROM m WHERE m.stream = c.stream)::BIGINT AS halvings, sum(n1 % 9973)::BIGINT AS checksum, round(sum(-log2(CASE bit WHEN 0 THEN n0 ELSE n1 END::DOUBLE / (n0 + n1))), 3) AS cost FROM c GROUP BY stream""")
 def adaptive_cost_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bits that an adaptive coder needs for streams of any length, whose counts are halved whenever they reach 65,536 together."""
-    rows = views.table(spark, sf_dir, "lineitem").selectExpr("cast(l_linenumber as bigint) stream", "struct(l_orderkey, l_partkey, l_suppkey, l_extendedprice) o", "l_partkey v")
+    lines = views.table(spark, sf_dir, "lineitem").where("l_linenumber is not null").selectExpr("cast(l_linenumber as bigint) stream", "l_orderkey a", "l_partkey b", "l_suppkey c", "l_extendedprice d")
+    sums = counted(spark, lines).groupBy("stream").agg(*[F.sum(c).alias(c) for c in ("n", "halvings", "checksum", "cost")])
+    return sums.selectExpr("stream", "n", "halvings", "checksum", "round(cost, 3) cost")
 
-    def run(stream: pa.Table) -> pa.Table:
-        values = stream.sort_by([("a", "ascending"), ("b", "ascending"), ("c", "ascending"), ("d", "ascending")])["b"].to_numpy()
-        found = adaptive_counts.cost(adaptive_counts.low_bits(values, 10))
-        return pa.table({"stream": [stream["stream"][0].as_py()], "n": [found.n], "halvings": [found.halvings], "checksum": [int((found.ones % 9973).sum())], "cost": [found.bits]})
 
-    own = rows.selectExpr("stream", "o.l_orderkey a", "o.l_partkey b", "o.l_suppkey c", "o.l_extendedprice d")
-    return own.groupBy("stream").applyInArrow(run, "stream long, n long, halvings long, checksum long, cost double").selectExpr("stream", "n", "halvings", "checksum", "round(cost, 3) cost")
+def counted(spark: SparkSession, lines: DataFrame, limit: int = adaptive_counts.LIMIT) -> DataFrame:
+    """stream, n, halvings, checksum, cost of each block of lines (stream, a, b, c, d), taken in order; the symbols are the ten lowest bits of b.
+
+    A sort by ranges cuts the streams into blocks. Only the two counts are handed from block to block: a task for each stream goes
+    over its blocks, one bit a symbol and a block at a time, and notes the counts at each one's beginning. The costs are then found
+    for each block by itself."""
+    columns, block = ["stream", "a", "b", "c", "d"], "stream long, a long, b long, c long, d double, n long, bits binary"
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stream = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, stream[1:] != stream[:-1]]) if len(stream) else []
+            for first, end in zip(cuts, [*cuts[1:], len(stream)]):
+                symbols = adaptive_counts.low_bits(batch.column(2)[first:end].to_numpy(), 10)
+                yield pa.RecordBatch.from_arrays([c[first : first + 1] for c in batch.columns] + [pa.array([len(symbols)]), pa.array([np.packbits(symbols.astype(np.uint8)).tobytes()])], [*columns, "n", "bits"])
+
+    unpacked = lambda n, data: np.unpackbits(np.frombuffer(data, np.uint8), count=n)
+
+    def handed_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, counts, nth = None, (1, 1), 0
+        for batch in batches:
+            for stream, n, data in zip(batch["stream"].to_pylist(), batch["n"].to_pylist(), batch["bits"]):
+                if stream != now:
+                    now, counts, nth = stream, (1, 1), 0
+                yield pa.RecordBatch.from_pydict({"stream": [stream], "nth": [nth], "n": [n], "n0": [counts[0]], "n1": [counts[1]], "bits": pa.array([data.as_py()], pa.binary())})
+                counts, nth = adaptive_counts.advance(unpacked(n, data.as_py()), counts, limit), nth + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for stream, _, n, n0, n1, data in zip(*(c.to_pylist() for c in batch.columns)):
+                found = adaptive_counts.cost(unpacked(n, data).astype(np.int64), limit, (n0, n1))
+                yield pa.RecordBatch.from_pydict({"stream": [stream], "n": [n], "halvings": [found.halvings], "checksum": [int((found.ones % 9973).sum())], "cost": [found.bits]})
+
+    order = [F.asc_nulls_last(c) for c in columns]
+    blocks = lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(packed, block)
+    # blocks of equal first lines hold nothing but lines like these
+    chain = blocks.repartition("stream").sortWithinPartitions(*order).mapInArrow(handed_on, "stream long, nth long, n long, n0 long, n1 long, bits binary")
+    # by number: what is so small would be put together to few tasks
+    dealt = chain.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "stream", "nth")
+    return dealt.mapInArrow(run, "stream long, n long, halvings long, checksum long, cost double")
 
 
 # ---- damage -------------------------------------------------------------------------------------------------
