@@ -108,3 +108,24 @@ def test_short_chunks_are_resampled(spark, sf_dir, tmp_path):
     rows = QUERIES["linear_resample"](spark, str(tmp_path)).collect()
     got = [r.v for r in sorted(rows, key=lambda r: r.n)]
     assert len(iv) == 10 and np.allclose(got, np.interp(np.arange(8) * 4 / 3, np.arange(10), iv), atol=1e-3)
+
+
+def test_frames_around_a_groups_edges_and_gaps(spark, sf_dir, tmp_path):
+    """Samples over three groups of hops, with a gap and one place twice: transform, levels and inverse equal their SQL."""
+    from compare import connection, rows_of, sql_rows
+    from tilewave.plans.catalogue import SQL
+    from tilewave.plans.signals import HOP, SPAN
+
+    edge = SPAN * HOP
+    places = f"(SELECT unnest([x.n, x.n + {edge - 2 * HOP}, x.n + {2 * edge - HOP}]) AS n, x.value FROM (SELECT event_id * 3 AS n, value FROM '{sf_dir}/events.parquet') x)"
+    duckdb.sql(f"COPY (SELECT n AS event_id, TIMESTAMP '2024-01-01' AS ts, 1::BIGINT AS user_id, 'a' AS event_type, value, 'p' AS props FROM {places} UNION ALL SELECT 6, TIMESTAMP '2024-01-01', 1, 'a', 10.0, 'p') TO '{tmp_path}/events.parquet'")
+    con = connection(str(tmp_path))
+    for name in ("mdct_low_bands", "audio_frame_code", "mdct_inverse", "bark_bands"):
+        assert rows_of(QUERIES[name](spark, str(tmp_path))) == sql_rows(con, SQL[name]), name
+
+
+def test_no_frame_looks_its_samples_up_one_by_one(spark, sf_dir):
+    """A map that the optimizer moves into a lambda is built anew for each element."""
+    for name in ("mdct_low_bands", "bark_bands", "audio_frame_code", "mdct_inverse"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "map_from_entries" not in plan, name

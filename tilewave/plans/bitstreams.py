@@ -231,9 +231,7 @@ c AS (SELECT frame AS id, 0 AS size, string_agg(code, '' ORDER BY k) AS code FRO
 SELECT id AS frame, bits, md5(code) AS digest, (SELECT sum(level * (k + 1))::BIGINT FROM lv WHERE lv.frame = id) AS decoded FROM hexed""")
 def audio_frame_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A frame's levels up to the last that isn't zero, the first as its difference to that of the frame before; and read back from the code."""
-    rows = signals._levels(spark, sf_dir)
-    before = rows.selectExpr("frame + 1 frame", "y[0] before")
-    rows = rows.join(before, "frame", "left").selectExpr("frame", "y", "coalesce(before, 0L) before", "coalesce(array_max(transform(filter(transform(y, (x, k) -> struct(x, cast(k as bigint) k)), p -> p.x != 0), p -> p.k)), -1L) last")
+    rows = signals._levels(spark, sf_dir).selectExpr("frame", "y", "before", "coalesce(array_max(transform(filter(transform(y, (x, k) -> struct(x, cast(k as bigint) k)), p -> p.x != 0), p -> p.k)), -1L) last")
     each = f"transform(slice(y, 1, int(last + 1)), (x, k) -> {exprs.let('x - if(k = 0, before, 0L)', 'd', bits.golomb(exprs.signed_code('d')))})"
     rows = rows.selectExpr("frame", "before", f"concat({bits.golomb('(last + 2)')}, array_join({each}, '')) code")
     head = f"named_struct('at', {bits.golomb_stop('c', '1')}, 'last', {bits.golomb_value('c', '1')} - 2, 'sum', 0L)"
