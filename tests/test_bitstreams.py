@@ -112,3 +112,23 @@ def test_blocks_of_a_stream_hand_on_their_counts(spark):
         own = got[got["stream"] == stream]
         assert (own["n"].sum(), own["halvings"].sum(), own["checksum"].sum()) == (want.n, want.halvings, (want.ones % 9973).sum())
         assert abs(own["cost"].sum() - want.bits) < 1e-6
+
+
+@pytest.mark.parametrize("limit", [65536, 40])
+def test_sequences_side_by_side_are_coded_as_one_by_one(monkeypatch, limit):
+    import time
+
+    from tilewave.plans import codes
+
+    monkeypatch.setattr(arithmetic_coder, "LIMIT", limit)
+    rng = np.random.default_rng(limit)
+    counts = np.r_[1, 0, 400, rng.integers(1, 8, 3000)]
+    values = np.where(rng.random(counts.sum()) < 0.02, rng.integers(0, 1 << 50, counts.sum()), rng.integers(0, 51, counts.sum()) * (rng.random(counts.sum()) < 0.7))
+    want = codes._one_by_one(values, counts)
+    got = codes._side_by_side(values, counts)
+    assert got[0] == want[0] and (got[1] == values).all() and (want[1] == values).all()
+    assert codes._side_by_side(values[:0], counts[:0])[0] == []
+    short = np.full(20_000, 4)
+    began = time.process_time()
+    codes._side_by_side(rng.integers(1, 51, short.sum()), short)
+    assert time.process_time() - began < 4  # 12 one by one

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,20 +97,44 @@ def arith_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each sequence's values as Exp-Golomb codes through the arithmetic coder, even and odd places with a context each: the code's
     bits, and the values decoded from them."""
 
-    def coded(batches):
-        for rows in batches:
-            out = []
-            for seq, values in zip(rows["seq"], rows["v"]):
-                coder = arithmetic_coder.Encoder()
-                for i, v in enumerate(values):
-                    arithmetic_coder.put_golomb(coder, int(v), i % 2)
-                bits = coder.finish()
-                decoder = arithmetic_coder.Decoder(bits)
-                back = [arithmetic_coder.get_golomb(decoder, i % 2) for i in range(len(values))]
-                out.append((seq, "".join(map(str, bits)), len(bits), ",".join(map(str, back))))
-            yield pd.DataFrame(out, columns=["seq", "code", "bits", "decoded"])
-
-    return views.symbols(spark, sf_dir).select("seq", "v").mapInPandas(coded, "seq long, code string, bits long, decoded string")
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b for b in batches if b.num_rows):
+            rows = batch.column(1)
+            values, counts = rows.flatten().to_numpy(), rows.value_lengths().to_numpy().astype(np.int64)
+            code, back = _side_by_side(values, counts) if counts.max(initial=0) <= LONG else _one_by_one(values, counts)
+            decoded = [",".join(map(str, x.tolist())) for x in np.split(back, np.cumsum(counts)[:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code), pa.array([len(c) for c in code]), pa.array(decoded, pa.string())], ["seq", "code", "bits", "decoded"])
+
+    return views.symbols(spark, sf_dir).select("seq", "v").mapInArrow(coded, "seq long, code string, bits long, decoded string")
+
+
+#: A batch with a sequence of more values than these is coded sequence by sequence, as few would go side by side to its end.
+LONG = 1000
+
+
+def _side_by_side(values: np.ndarray, counts: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The codes as text, and the values decoded from them."""
+    symbols, size = arithmetic_coder.golomb_bits(values)
+    starts = np.cumsum(counts) - counts
+    places = (np.arange(len(values)) - np.repeat(starts, counts)) % 2
+    lengths = np.diff(np.r_[0, np.cumsum(size)][np.r_[starts, len(values)]])
+    code, ends = arithmetic_coder.encode_many(symbols, np.repeat(places, size), lengths)
+    text = (code[np.arange(code.shape[1]) < ends[:, None]] + ord("0")).tobytes().decode()
+    edges = [0, *np.cumsum(ends).tolist()]
+    return [text[i:j] for i, j in zip(edges, edges[1:])], arithmetic_coder.golomb_many(code, counts, 2)
+
+
+def _one_by_one(values: np.ndarray, counts: np.ndarray) -> tuple[list[str], np.ndarray]:
+    codes, back = [], []
+    for own in np.split(values, np.cumsum(counts)[:-1]):
+        coder = arithmetic_coder.Encoder()
+        for i, v in enumerate(own.tolist()):
+            arithmetic_coder.put_golomb(coder, v, i % 2)
+        bits = coder.finish()
+        decoder = arithmetic_coder.Decoder(bits)
+        back += [arithmetic_coder.get_golomb(decoder, i % 2) for i in range(len(own))]
+        codes.append("".join(map(str, bits)))
+    return codes, np.array(back, np.int64)
 
 
 @query(f"""SELECT p_partkey, n, CASE WHEN abs(n) > 0 THEN {duck.bitlen('abs(n)')} - 1 ELSE 0 END::BIGINT AS log2, CASE WHEN abs(n) > 0 THEN {duck.bitlen('abs(n)')} ELSE 1 END::BIGINT AS bits, sign(n)::BIGINT AS sgn, least(abs(n), 32767)::BIGINT AS sat_abs,
