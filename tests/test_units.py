@@ -214,3 +214,19 @@ def test_group_buffer_orders_flushes_and_forces():
 def test_metrics_are_written_as_csv(spark, tmp_path):
     write_metrics(spark.range(3).selectExpr("id picture", "id * 1.5 psnr"), str(tmp_path / "m"))
     assert spark.read.option("header", True).csv(str(tmp_path / "m")).count() == 3
+
+
+def test_many_blocks_are_transformed_as_one_by_one():
+    rng = np.random.default_rng(17)
+    blocks = rng.integers(-255, 256, (40, 8, 8))
+    levels = picture_coder.forward8(blocks)
+    assert (levels == np.stack([picture_coder.forward8(b) for b in blocks])).all()
+    for qp in (8, 20):
+        for intra in (False, True):
+            q = picture_coder.quantize8(levels, qp, intra)
+            d = picture_coder.dequantize8(q, qp, intra)
+            for k in range(40):
+                one = picture_coder.quantize8(levels[k], qp, intra)
+                back = picture_coder.dequantize8(one, qp, intra)
+                assert (q[k] == one).all() and (d[k] == back).all()
+                assert (picture_coder.inverse8(d)[k] == picture_coder.inverse8(back)).all()

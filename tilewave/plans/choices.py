@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tilewave.functions import tables
 from tilewave.functions.exprs import total
-from tilewave.operators import block_search, quantize, transform
+from tilewave.operators import block_search, picture_coder, quantize, transform
 from tilewave.plans import duck, pictures, transforms
 from tilewave.plans.filters import _PICS, RATE, _narrow, picture_pairs
 from tilewave.plans.registry import query
@@ -60,11 +60,29 @@ def _coded(spark: SparkSession, sf_dir: str, motion: DataFrame) -> DataFrame:
     own = pictures.predicted(spark, sf_dir).join(picture_pairs(spark, sf_dir).select("f"), "f").selectExpr("f", "cast(m as bigint) m", "y", "modes", "dc")
     intra = own.selectExpr("f", "m", "y", "inline(array(struct(2L type, array_repeat(dc, 256) p), struct(3L type, transform(modes[1], x -> cast(x as bigint)) p), struct(4L type, transform(modes[2], x -> cast(x as bigint)) p)))").selectExpr("f", "m", "type", "4L head", "y", "p")
     inter = motion.join(own.select("f", "m", "y"), ["f", "m"]).selectExpr("f", "m", "1L type", "abs(dx) + abs(dy) + 4 head", "y", "p")
-    rows = inter.unionAll(intra).selectExpr("f", "m", "type", "head", "p", "zip_with(y, p, (a, b) -> a - b) d", "explode(sequence(0, 3)) q")
-    rows = transform.forward(rows.selectExpr("f", "m", "type", "head", "q", f"{transform.quadrant('p', 'q')} p", f"{transform.quadrant('d', 'q')} s"), "s", "coef")
-    rows = rows.selectExpr("f", "m", "type", "head", "q", "p", "s", f"if(type = 1, {quantize.inter('coef', QP)}, {quantize.intra('coef', QP, _SCALE)}) level")
-    back = f"if(type = 1, {quantize.dequantize('level', QP, tables.INTER_MATRIX, None)}, {quantize.dequantize('level', QP, tables.INTRA_MATRIX, _SCALE)})"
-    return transform.inverse(rows.selectExpr("*", f"{back} deq"), "deq", "rec").drop("deq")
+    return _quarters(inter.unionAll(intra))
+
+
+def _quarters(rows: DataFrame) -> DataFrame:
+    """f, m, type, head, q, p, s, level, rec of blocks (f, m, type, head, y, p): a batch's quarters are transformed together."""
+    schema = "f long, m long, type long, head long, q int, p array<bigint>, s array<bigint>, level array<bigint>, rec array<bigint>"
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+                y, p = (part[c].flatten().to_numpy().reshape(-1, 2, 8, 2, 8).swapaxes(2, 3).reshape(-1, 8, 8) for c in ("y", "p"))
+                s, inter = y - p, np.repeat(part["type"].to_numpy() == 1, 4)
+                level = picture_coder.forward8(s)
+                rec = np.empty_like(level)
+                for own, intra in ((inter, False), (~inter, True)):
+                    level[own] = picture_coder.quantize8(level[own], QP, intra)
+                    rec[own] = picture_coder.dequantize8(level[own], QP, intra)
+                offsets = pa.array(np.arange(len(s) + 1, dtype=np.int32) * 64)
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x).ravel())) for x in (p, s, level, picture_coder.inverse8(rec))]
+                keys = [pa.array(np.repeat(part[c].to_numpy(), 4)) for c in ("f", "m", "type", "head")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.tile(np.arange(4, dtype=np.int32), part.num_rows)), *lists], ["f", "m", "type", "head", "q", "p", "s", "level", "rec"])
+
+    return rows.mapInArrow(coded, schema)
 
 
 def _costs(spark: SparkSession, sf_dir: str, coded: DataFrame) -> DataFrame:
